@@ -26,7 +26,7 @@ from quillstream.llm import anchors
 from quillstream.llm.common import materialize
 
 #: Bytes of segments that one search task takes at most, about; and segments of one anchor before it is cut into chunks.
-SHARD_BYTES, CHUNK = 2 << 20, 8192
+SHARD_BYTES, CHUNK = 1 << 19, 4096
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -33,29 +33,24 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, dtype=np.uint64)
     for j in range(7):
         key |= padded[j : j + n] << np.uint64(9 * (6 - j))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = head
+    slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # places whose suffix is still tied
     h = 7
-    while True:
-        single = new & np.append(new[1:], True)
-        slots = np.flatnonzero(~single)
-        if not len(slots):
-            break
+    while len(slots):
         members = order[slots]
         ahead = members + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        sorter = np.lexsort((second, rank[members]))
-        members, second = members[sorter], second[sorter]
-        first = rank[members]
+        both = rank[members] * (n + 2) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        sorter = np.argsort(both)
+        both, members = both[sorter], members[sorter]
         order[slots] = members
-        fresh = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-        new[slots] = fresh
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order] = head
+        new = np.concatenate(([True], both[1:] != both[:-1]))
+        rank[members] = np.maximum.accumulate(np.where(new, slots, 0))
+        slots = slots[~(new & np.append(new[1:], True))]
         h *= 2
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
