@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from quillstream.llm import automata, mixing, quality, sharding, suffix_dedup
+from quillstream.llm import automata, containment, mixing, quality, revisits, sharding, signature_join, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_revisits": revisits.query,
     "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_substring_dedup": automata.query,
+    "op7_jaccard_join": signature_join.query,
     "op8_sharding": sharding.query,
     "op9_quality_rules": quality.query,
+    "op10_decontamination": containment.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op2_revisits": revisits.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op10_decontamination": containment.ORACLE,
 }
