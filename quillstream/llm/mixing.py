@@ -22,6 +22,10 @@ def _draw(doc_id: Column) -> Column:
     return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - BITS * ROUNDS)
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
     """source, source_size, weight, target from (source, source_size).
 
@@ -40,27 +44,49 @@ def targets(sizes: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
     return final.select("source", "source_size", "weight", F.when(F.col("water").isNull() | (F.col("cap") <= F.col("water") * F.col("weight")), F.col("cap").cast("double")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs.
+def thresholds(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
+    """A row for each source of docs: source, source_size, weight, target, whole, prefix, left.
 
-    Each document is taken floor(target / source_size) times, and once more if its hash lies below the source's
-    threshold: the largest one at which the words below it do not exceed what is left of the target.
-    Null text: size 0.  Null source: a source of its own, last.  Rows with equal ids share a hash and so a decision.
-    Empty table: no rows.  A source without words: target 0, taken 0.  Other columns are ignored.
+    Every document of the source is taken `whole` times, and once more if its hash lies below prefix; left is what is then
+    missing in the target.
     """
-    narrow = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("draw", _draw(F.col("doc_id")))
-    narrow = materialize(narrow, "mix-sizes")
-    # the histogram of the first round also gives the sources' sizes
-    first = narrow.groupBy("source", F.shiftright("draw", BITS * (ROUNDS - 1)).alias("bucket")).agg(F.sum("size").alias("words"))
-    goal = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), max_repeats, cycle)
+    narrow = docs.select("doc_id", "source", _size().alias("size")).withColumn("draw", _draw(F.col("doc_id")))
+    # the finest histogram is as long as the table at most and is all that the rounds look at
+    narrow = materialize(narrow.groupBy("source", "draw").agg(F.sum("size").alias("size")), "mix-sizes")
+    goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats, cycle)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     state = materialize(goal.select("*", (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("prefix")), "mix-goal")
     for k in range(ROUNDS):
         state = materialize(_refine(narrow, state, k), f"mix-round{k}")
-    s = state.select(F.col("source").alias("s_source"), "source_size", "target", "whole", "prefix")
-    joined = narrow.join(s, narrow.source.eqNullSafe(s.s_source))
-    copies = F.col("whole") + (F.col("draw") < F.col("prefix")).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return state
+
+
+def take(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """docs with size, source_size, target, copies and taken, by the thresholds of its sources."""
+    made = ("size", "source_size", "target", "copies", "taken")
+    d = docs.drop(*[c for c in docs.columns if c.lower() in made]).alias("d")
+    s = state.select("source", "source_size", "target", "whole", "prefix").alias("s")
+    joined = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
+    copies = F.col("s.whole") + (_draw(F.col("d.doc_id")) < F.col("s.prefix")).cast("long")
+    out = joined.select("d.*", _size().alias("size"), "s.source_size", "s.target", copies.alias("copies"))
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mix(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
+    """docs with size, source_size, target, copies and taken for every row.
+
+    Each document is taken floor(target / source_size) times, and once more if its hash lies below the source's
+    threshold: the largest one at which the words below it do not exceed what is left of the target.
+    Null text: size 0.  Null source: a source of its own, last.  Rows with equal ids share a hash and so a decision.
+    Empty table: no rows.  A source without words: target 0, taken 0.  Columns named like a result are replaced.
+    """
+    return take(docs, thresholds(docs, max_repeats, cycle))
+
+
+def sample(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
+    """The rows of docs as often as the mix takes them."""
+    mixed = mix(docs, max_repeats, cycle).where("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
 
 
 def _refine(narrow: DataFrame, state: DataFrame, k: int) -> DataFrame:
@@ -82,7 +108,7 @@ def _refine(narrow: DataFrame, state: DataFrame, k: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = rf"""

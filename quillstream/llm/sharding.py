@@ -69,21 +69,25 @@ def _branch(key: Column, choice: Column, nodes: list[Node]) -> Column:
     return out
 
 
+def assign(docs: DataFrame, shards: int = 24, weights: dict[int, float] | None = None) -> DataFrame:
+    """docs with shard and grown_shard (with one more shard); the id and the number of shards alone decide."""
+    plain = docs.drop("shard", "grown_shard")
+    return plain.select("*", descend(F.col("doc_id"), tree(shards, weights=weights)).alias("shard"), descend(F.col("doc_id"), tree(shards + 1, weights=weights)).alias("grown_shard"))
+
+
 def shard(docs: DataFrame, shards: int = 24, weights: dict[int, float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, grown_shard, slot for every row of docs.
 
-    size: UTF-8 bytes of the text (null: none) plus 8.  The id and the number of shards alone decide; a null id is a key
-    like any other, rows with equal ids share a shard.  slot numbers the rows of a shard from 0 without gaps, in the
-    order of (slice, doc_id, crc): slices are counted first, then numbered each on its own with the sum of those before.
-    Empty table: no rows.  Other columns are ignored.
+    size: UTF-8 bytes of the text (null: none) plus 8.  A null id is a key like any other, rows with equal ids share a
+    shard.  slot numbers the rows of a shard from 0 without gaps, in the order of (slice, doc_id, crc): slices are counted
+    first, then numbered each on its own with the sum of those before.  Empty table: no rows.  Other columns are ignored.
     """
     base = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    key = F.col("doc_id")
-    placed = base.select("*", descend(key, tree(shards, weights=weights)).alias("shard"), descend(key, tree(shards + 1, weights=weights)).alias("grown_shard"), F.floor(hex_draw(F.lit("slice"), key) * SLICES).cast("int").alias("slice"))
+    placed = assign(base, shards, weights).withColumn("slice", F.floor(hex_draw(F.lit("slice"), F.col("doc_id")) * SLICES).cast("int"))
     counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("rows"))
     offsets = counts.select(F.col("shard").alias("o_shard"), F.col("slice").alias("o_slice"), (F.sum("rows").over(Window.partitionBy("shard").orderBy("slice")) - F.col("rows")).alias("offset"))
-    # shards x SLICES rows: a fixed number, so this may be broadcast
     numbered = placed.withColumn("rn", F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")) - 1)
+    # shards x SLICES rows, a fixed number
     out = numbered.join(F.broadcast(offsets), (F.col("shard") == F.col("o_shard")) & (F.col("slice") == F.col("o_slice")))
     return out.select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("offset") + F.col("rn")).cast("long").alias("slot"))
 

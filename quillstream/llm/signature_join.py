@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -297,7 +297,7 @@ def _possible(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
-    """doc_id, th, n_shingles, component_id for every row of docs.
+    """doc_id, th, n_shingles, component_id and root (of the component, null for the empty set) for every row of docs.
 
     The set of a text: its distinct shingles of `words` words, A-Z in lower case; fewer words make one shingle; null or no
     words: the empty set, linked with nothing.  Two documents are linked if 100 * intersection >= percent * union.
@@ -332,7 +332,20 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     named = described.withColumn("cid", F.when(F.col("n") > 0, cid)).join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", "th", "root", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the least by (doc_id, hash of the text); repeated rows of it go.
+
+    Documents without words are kept.
+    """
+    found = link(docs, words, percent)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*")
+    kept = first.unionByName(found.where("root is null").select("doc_id", "th").distinct()).alias("k")
+    d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    joined = d.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__th") == F.col("k.th")), "left_semi")
+    return joined.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__th").orderBy("__th"))).where("__n = 1").drop("__n", "__th")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
