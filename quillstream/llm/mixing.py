@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
 
     Sources by code point, null last, weigh 1..cycle, repeating.  All words are shared by weight; a source stops at
     max_repeats times its own size and the excess goes to the others by weight.  That is water-filling: with the sources
-    in the order of cap / weight, those before the first one that the remaining level does not fill get their cap.
+    in the order of cap / weight, those before the first one that the remaining level does not fill get their cap; levels fall
+    from there on, so it is the highest of them.
     """
     # one row for each source: the global windows are over that small table, not over documents
     ranked = sizes.withColumn("weight", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % cycle + 1).cast("long")).withColumn("cap", F.col("source_size") * max_repeats)
@@ -40,7 +41,7 @@ def targets(sizes: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     filled = ranked.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
-    final = filled.withColumn("water", F.min(F.when(F.col("open"), F.col("level"))).over(everything))
+    final = filled.withColumn("water", F.max(F.when(F.col("open"), F.col("level"))).over(everything))
     return final.select("source", "source_size", "weight", F.when(F.col("water").isNull() | (F.col("cap") <= F.col("water") * F.col("weight")), F.col("cap").cast("double")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
@@ -121,7 +122,7 @@ r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0) AS DOUBLE)
                / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
       FROM r WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, min(CASE WHEN cap > level * weight THEN level END) OVER () AS water FROM l),
+f AS (SELECT *, max(CASE WHEN cap > level * weight THEN level END) OVER () AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN water IS NULL OR cap <= water * weight THEN CAST(cap AS DOUBLE) ELSE water * weight END AS target FROM f),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, u.source_size, u.target, u.whole,
