@@ -77,7 +77,7 @@ def mix(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
     """docs with size, source_size, target, copies and taken for every row.
 
     Each document is taken floor(target / source_size) times, and once more if its hash lies below the source's
-    threshold: the largest one at which the words below it do not exceed what is left of the target.
+    threshold: the one at which the words below it come nearest to what is left of the target.
     Null text: size 0.  Null source: a source of its own, last.  Rows with equal ids share a hash and so a decision.
     Empty table: no rows.  A source without words: target 0, taken 0.  Columns named like a result are replaced.
     """
@@ -99,12 +99,14 @@ def _refine(narrow: DataFrame, state: DataFrame, k: int) -> DataFrame:
     running = Window.partitionBy("source").orderBy("bucket")
     full = histogram.withColumn("sum", F.sum("words").over(running)).where(F.col("sum") <= F.col("left"))
     # the boundary bucket is the first one with words that does not fit any more
-    over = histogram.withColumn("sum", F.sum("words").over(running)).where(F.col("sum") > F.col("left")).groupBy("source").agg(F.min("bucket").alias("edge"))
+    over = histogram.withColumn("sum", F.sum("words").over(running)).where(F.col("sum") > F.col("left")).groupBy("source").agg(F.min("bucket").alias("edge"), F.min("sum").alias("reached"))
     used = full.groupBy("source").agg(F.max("sum").alias("used"))
     t, o, u = state.alias("t"), over.alias("o"), used.alias("u")
     out = t.join(o, F.col("t.source").eqNullSafe(F.col("o.source")), "left").join(u, F.col("t.source").eqNullSafe(F.col("u.source")), "left")
     # without an edge everything fits: the threshold is the end of the bucket that was split
     edge = F.coalesce(F.col("o.edge"), F.shiftleft(F.col("t.prefix") + 1, BITS))
+    if k == ROUNDS - 1:  # nothing is left to split: the bucket goes in if that comes nearer to the target
+        edge = edge + (F.coalesce(F.col("o.reached") - F.col("t.left") < F.col("t.left") - F.coalesce(F.col("u.used"), F.lit(0)), F.lit(False))).cast("long")
     return out.select("t.source", "t.source_size", "t.weight", "t.target", "t.whole", (F.col("t.left") - F.coalesce(F.col("u.used"), F.lit(0))).alias("left"), edge.cast("long").alias("prefix"))
 
 
@@ -126,9 +128,10 @@ f AS (SELECT *, max(CASE WHEN cap > level * weight THEN level END) OVER () AS wa
 t AS (SELECT source, source_size, CASE WHEN water IS NULL OR cap <= water * weight THEN CAST(cap AS DOUBLE) ELSE water * weight END AS target FROM f),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, u.source_size, u.target, u.whole,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw RANGE UNBOUNDED PRECEDING) AS below
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw RANGE UNBOUNDED PRECEDING) AS below,
+             sum(d.size) OVER (PARTITION BY d.source, d.draw) AS own, target - whole * source_size AS rest
       FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN below <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN below <= rest OR (below - own <= rest AND below - rest < rest - (below - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """

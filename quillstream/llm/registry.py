@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillstream.llm import automata, containment, mixing, pii, quality, revisits, sharding, signature_join, suffix_dedup
+from quillstream.llm import automata, containment, line_dedup, mixing, pii, quality, revisits, sharding, signature_join, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_revisits": revisits.query,
     "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_substring_dedup": automata.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_pii": pii.query,
     "op7_jaccard_join": signature_join.query,
     "op8_sharding": sharding.query,
