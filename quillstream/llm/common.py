@@ -30,6 +30,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffles behind the table are of no more use; Spark deletes their files once the driver has dropped them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

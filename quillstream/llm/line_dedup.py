@@ -30,43 +30,49 @@ from quillstream.llm.repeats import keyed, same_doc
 PERCENT = 80
 #: Slots of the frequency table, and slices in which tasks add up to it.
 SLOTS, SLICES = 1 << 18, 16
+#: Bits of a token, and lines in a block: both fit one word.
+TOKEN, LINES = np.uint64((1 << 48) - 1), 1 << 16
 #: Pairs that are looked at at once, classes in a verifying group, and about so many rows of keys for a bucket.
 PAIRS, CHUNK, BUCKET_ROWS = 1 << 20, 1024, 100_000
 
 CLASS = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.LongType())]
 
 
-def line_sets(raw: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(text, line, sorted distinct word hashes) of each line that has a word."""
+def line_sets(raw: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of lines that have a word: text, line, where the line's tokens begin (and the last one's end), tokens.
+
+    A token is a 48-bit hash of a word; those of a line are distinct and sorted.
+    """
     lo = 0
     while lo < len(edge) - 1:
         hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + anchors.BLOCK, side="right")) - 1)
         own, at = raw[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo]
         start, end, owner = anchors.words(own, at)
-        hashes = anchors.word_hashes(own, start, end)
+        hashes = anchors.word_hashes(own, start, end) >> np.uint64(16)
         breaks = np.flatnonzero(own == 10)
         line = np.searchsorted(breaks, start) - np.searchsorted(breaks, at[:-1])[owner]
-        if len(hashes):
-            cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]))))
-            group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(hashes))))
-            order = np.lexsort((hashes, group))
-            group, hashes = group[order], hashes[order]
-            fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (hashes[1:] != hashes[:-1])))
-            group, hashes = group[fresh], hashes[fresh]
-            bounds = np.searchsorted(group, np.arange(len(cut) + 1))
-            for k in range(len(cut)):
-                yield lo + int(owner[cut[k]]), int(line[cut[k]]), hashes[bounds[k] : bounds[k + 1]]
+        cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])))) if len(hashes) else np.empty(0, dtype=np.int64)
+        for k in range(0, len(cut), LINES):
+            c = cut[k : k + LINES]
+            stop = cut[k + LINES] if k + LINES < len(cut) else len(hashes)
+            group = np.repeat(np.arange(len(c), dtype=np.uint64), np.diff(np.append(c, stop)))
+            packed = np.sort(group << np.uint64(48) | hashes[c[0] : stop])
+            packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+            bounds = np.searchsorted(packed, np.arange(len(c) + 1, dtype=np.uint64) << np.uint64(48)) if len(c) < LINES else np.append(np.searchsorted(packed, np.arange(len(c), dtype=np.uint64) << np.uint64(48)), len(packed))
+            yield lo + owner[c], line[c], bounds, packed & TOKEN
         lo = hi
 
 
-def slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(46)).astype(np.int64) & (SLOTS - 1)
+def slot(tokens: np.ndarray) -> np.ndarray:
+    """The first 18 bits of a token."""
+    return (tokens >> np.uint64(30)).astype(np.int64)
 
 
-def digest(values: np.ndarray) -> tuple[int, int]:
-    a = values.sum(dtype=np.uint64)
-    b = anchors.mix(values ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def digests(bounds: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line's set."""
+    a = np.add.reduceat(anchors.mix(tokens + np.uint64(1)), bounds[:-1])
+    b = np.add.reduceat(anchors.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1])
+    return a.view(np.int64), b.view(np.int64)
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
@@ -76,9 +82,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            sets = [s for _, _, s in line_sets(*anchors.utf8(batch.column("text")))]
-            if sets:
-                sums += np.bincount(slot(np.concatenate(sets)), minlength=SLOTS)
+            for *_, tokens in line_sets(*anchors.utf8(batch.column("text"))):
+                sums += np.bincount(slot(tokens), minlength=SLOTS)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([sums[k * width : (k + 1) * width].tobytes() for k in range(SLICES)])], names=["k", "sums"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -98,44 +103,47 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, line, *digest(s), len(s)) for t, line, s in line_sets(*anchors.utf8(batch.column("text")))]
-            if rows:
-                text, *rest = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), batch.column("th").take(pa.array(text)), *(pa.array(c) for c in rest)], names=schema.names)
+            for text, line, bounds, tokens in line_sets(*anchors.utf8(batch.column("text"))):
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(line), *(pa.array(h) for h in digests(bounds, tokens)), pa.array(np.diff(bounds))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-#: A key of the join; two words of 64 bits are the bitmap.
-KEY = np.dtype([("token", "<i8"), ("place", "<i4"), ("n", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("m1", "<u8"), ("m2", "<u8")])
+#: A key of the join: a token, its place in the line, the line's tokens and class, and a bitmap of them.
+KEY = np.dtype([("token", "<u8"), ("place", "<i4"), ("n", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("bits", "<u8")])
 
 
 def _keys(docs: DataFrame, rarity, percent: int, buckets: int) -> DataFrame:
     """(bucket, packed keys): the prefix of every line of the texts, each class once in a batch."""
+    low = np.uint64((1 << 30) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = rarity.value
+        # slots by frequency, and the place of each in that order: a total order of tokens is (place of the slot, token)
+        by_rank = np.argsort(rarity.value, kind="stable").astype(np.uint64)
+        rank = np.empty(SLOTS, dtype=np.uint64)
+        rank[by_rank.astype(np.int64)] = np.arange(SLOTS, dtype=np.uint64)
         for batch in batches:
-            parts, seen = [], set()
-            for _, _, s in line_sets(*anchors.utf8(batch.column("text"))):
-                h1, h2 = digest(s)
-                if (h1, h2) in seen:
-                    continue
-                seen.add((h1, h2))
-                n = len(s)
-                prefix = s[np.lexsort((s, frequency[slot(s)]))[: n - (percent * n + 99) // 100 + 1]]
-                rows = np.zeros(len(prefix), dtype=KEY)
-                rows["token"] = prefix.view(np.int64)
-                rows["place"] = np.arange(len(prefix))
-                rows["n"], rows["h1"], rows["h2"] = n, h1, h2
-                bits = np.left_shift(np.uint64(1), s & np.uint64(63))
-                high = (s & np.uint64(64)) != 0
-                rows["m1"], rows["m2"] = np.bitwise_or.reduce(bits[~high], initial=np.uint64(0)), np.bitwise_or.reduce(bits[high], initial=np.uint64(0))
+            parts = []
+            for _, _, bounds, tokens in line_sets(*anchors.utf8(batch.column("text"))):
+                h1, h2 = digests(bounds, tokens)
+                n = np.diff(bounds)
+                line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), tokens & np.uint64(63)), bounds[:-1])
+                packed = np.sort(line << np.uint64(48) | rank[slot(tokens)] << np.uint64(30) | (tokens & low))
+                place = np.arange(len(packed)) - np.repeat(bounds[:-1], n)
+                keep = np.flatnonzero(place < np.repeat(n - (percent * n + 99) // 100 + 1, n))
+                own = line[keep].astype(np.int64)
+                rows = np.empty(len(keep), dtype=KEY)
+                rows["token"] = by_rank[slot(packed[keep] & TOKEN)] << np.uint64(30) | (packed[keep] & low)
+                rows["place"], rows["n"], rows["h1"], rows["h2"], rows["bits"] = place[keep], n[own], h1[own], h2[own], bits[own]
                 parts.append(rows)
             if not parts:
                 continue
             rows = np.concatenate(parts)
-            bucket = (anchors.mix(rows["token"].view(np.uint64).copy()) % np.uint64(buckets)).astype(np.int64)
+            _, first = np.unique(rows["token"] ^ rows["h1"].view(np.uint64), return_index=True)  # a line that the batch has again
+            rows = rows[first]
+            bucket = (anchors.mix(rows["token"].copy()) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             own, at = np.unique(bucket, return_index=True)
@@ -147,11 +155,11 @@ def _keys(docs: DataFrame, rarity, percent: int, buckets: int) -> DataFrame:
 
 def _close(keys: np.ndarray, percent: int) -> np.ndarray:
     """Those keys that have a partner which length, place and bitmap leave."""
-    keys = np.sort(keys, order=["token", "n", "h1", "h2"])
+    keys = keys[np.lexsort((keys["h2"], keys["h1"], keys["n"], keys["token"]))]
     same = (keys["token"][1:] == keys["token"][:-1]) & (keys["h1"][1:] == keys["h1"][:-1]) & (keys["h2"][1:] == keys["h2"][:-1])
     keys = keys[np.concatenate(([True], ~same))]
-    token, n = keys["token"], keys["n"].astype(np.int64)
-    place, m1, m2 = keys["place"].astype(np.int64), keys["m1"], keys["m2"]
+    token, n = keys["token"].copy(), keys["n"].astype(np.int64)
+    place, bits = keys["place"].astype(np.int64), keys["bits"].copy()
     # the partners of a key that are not shorter: those after it, up to the length that similarity allows
     number = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
     stride = int(n.max()) * 100 // percent + 2
@@ -166,13 +174,12 @@ def _close(keys: np.ndarray, percent: int) -> np.ndarray:
         count = todo[live[a:b]]
         i = np.repeat(live[a:b], count)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        both = n[i] + n[j]
-        need = -(-percent * both // (100 + percent))
-        keep = np.minimum(n[i] - place[i], n[j] - place[j]) >= need - np.minimum(place[i], place[j])
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
+        keep = most >= need
         i, j, need = i[keep], j[keep], need[keep]
-        missing = np.bitwise_count(m1[i] & ~m1[j]).astype(np.int64) + np.bitwise_count(m2[i] & ~m2[j])
-        more = np.bitwise_count(m1[j] & ~m1[i]).astype(np.int64) + np.bitwise_count(m2[j] & ~m2[i])
-        keep = np.minimum(n[i] - missing, n[j] - more) >= need
+        x, y = bits[i], bits[j]
+        keep = np.minimum(n[i] - np.bitwise_count(x & ~y), n[j] - np.bitwise_count(y & ~x)) >= need
         good[i[keep]] = True
         good[j[keep]] = True
         a = b
@@ -278,10 +285,11 @@ def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = [set(x) for x in batch.column("lines").to_pylist()]
-            rows = [(*digest(s), t, line, s.tobytes()) for t, line, s in line_sets(*anchors.utf8(batch.column("text"))) if line in lines[t]]
-            if rows:
-                h1, h2, text, line, tokens = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("doc_id").take(pa.array(text)), batch.column("th").take(pa.array(text)), pa.array(line), pa.array(tokens, type=pa.binary())], names=schema.names)
+            for text, line, bounds, tokens in line_sets(*anchors.utf8(batch.column("text"))):
+                own = [k for k, (t, x) in enumerate(zip(text.tolist(), line.tolist(), strict=True)) if x in lines[t]]
+                h1, h2 = digests(bounds, tokens)
+                row = pa.array(text[own])
+                yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(h2[own]), batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(line[own]), pa.array([tokens[bounds[k] : bounds[k + 1]].tobytes() for k in own], type=pa.binary())], names=schema.names)
 
     return joined.mapInArrow(run, schema).dropDuplicates(["h1", "h2"])
 

@@ -3,11 +3,12 @@
 Texts with equal shingle sets form a class, of which one member is compared.  Two linked sets share one of the first
 `n - ceil(t n) + 1` of their shingles in the order of hashes, so only classes that meet at such a token are compared:
 
-1. Contraction.  Each class goes to the group of its first shared token; a signature tree over the group finds linked
-   pairs, which are verified and merged at once, so a group of g near copies takes about g links, not g * g / 2.  A second
-   round does the same with one class of each merged set, which joins what was cut into chunks.
-2. The rest.  Tokens at which classes meet that are not merged yet: trees over bitmaps alone leave the classes that could
-   still be linked with one of another merged set, and only their texts are compared.
+1. Trees over the bitmaps of the classes that meet at a token leave those that could be linked with another one there.
+   Only the texts of these go further.
+2. Contraction.  Each class goes to the group of its first token; a signature tree over the group finds pairs, which are
+   verified and merged at once, so a group of g near copies takes about g links, not g * g / 2.  A second round does the
+   same with one class of each merged set, which joins what was cut into chunks.
+3. The rest.  Tokens at which classes meet that are not merged yet: all pairs of these that the tree leaves are verified.
 
 The leaves of a tree are sets, ordered so that near copies are neighbours; a node holds the OR of the bitmaps below, the
 range of sizes and the largest number of shingles that share a bit with others of their set.  Two nodes share at most
@@ -170,14 +171,17 @@ def merged(sets: list[np.ndarray], merged_already: np.ndarray, percent: int) ->
 
 
 def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, th, n and two hashes of the shingle set of each keyed document."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("th", "n", "h1", "h2"))])
+    """doc_id, th, n, two hashes and the bitmap of the shingle set of each keyed document."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("th", "n", "h1", "h2")), T.StructField("map", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *_digest(s)) for s in shingle_sets(*anchors.utf8(batch.column("text")), words)]
+            rows, maps = [], []
+            for s in shingle_sets(*anchors.utf8(batch.column("text")), words):
+                rows.append((len(s), *_digest(s)))
+                maps.append(bitmap(s, bits_for(len(s))).tobytes())
             columns = np.array(rows, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(np.ascontiguousarray(c)) for c in columns.T), pa.array(maps, type=pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -189,25 +193,22 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 
 def _tokens(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFrame:
-    """token and h1 of the prefix of each keyed document; with owners also h2, n, doc_id and th."""
-    fields = [T.StructField("token", T.LongType()), T.StructField("h1", T.LongType())]
-    if owners:
-        fields += [T.StructField("h2", T.LongType()), T.StructField("n", T.LongType()), docs.schema["doc_id"], T.StructField("th", T.LongType())]
+    """token and h1 of the prefix of each keyed document; with owners also h2 and n."""
+    fields = [T.StructField(x, T.LongType()) for x in ("token", "h1", *(("h2", "n") if owners else ()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, rows = [], []
-            for i, s in enumerate(shingle_sets(*anchors.utf8(batch.column("text")), words)):
+            for s in shingle_sets(*anchors.utf8(batch.column("text")), words):
                 if len(s):
                     parts.append(s[: prefix_length(len(s), percent)].view(np.int64))
-                    rows.append((i, len(s), *_digest(s)))
+                    rows.append((len(s), *_digest(s)))
             if not rows:
                 continue
-            index, n, h1, h2 = (np.repeat(np.array(x, dtype=np.int64), [len(p) for p in parts]) for x in zip(*rows, strict=True))
+            n, h1, h2 = (np.repeat(np.array(x, dtype=np.int64), [len(p) for p in parts]) for x in zip(*rows, strict=True))
             out = [pa.array(np.concatenate(parts)), pa.array(h1)]
             if owners:
-                row = pa.array(index)
-                out += [pa.array(h2), pa.array(n), batch.column("doc_id").take(row), batch.column("th").take(row)]
+                out += [pa.array(h2), pa.array(n)]
             table = pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
             for at in range(0, len(table), 100_000):
                 yield table.slice(at, 100_000)
@@ -234,15 +235,13 @@ def _deal(rows: DataFrame, chunk: int, pairs: bool, weight: int) -> DataFrame:
     return sized.select(*rows.columns, g1.alias("g1"), F.when(hot, cell).otherwise(F.lit(-1)).alias("g2"))
 
 
-def _merge(rows: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int, pairs: bool) -> DataFrame:
-    """(a, b) edges between numbers `comp` of rows (token, cid, comp, n, doc_id, th) whose sets are linked."""
+def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: bool) -> DataFrame:
+    """(a, b) edges between numbers `comp` of rows (token, cid, comp, n) whose sets are linked."""
     weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 7
-    dealt = _deal(rows, chunk, pairs, weight)
-    joined = docs.alias("d").join(dealt.alias("r"), same_doc("d", "r")).select("r.g1", "r.g2", "r.token", "r.cid", "r.comp", "d.text")
+    joined = _deal(rows, CHUNK, pairs, weight).join(texts, "cid").select("g1", "g2", "token", "cid", "comp", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, str]] = []
-        group = group.drop_duplicates(["token", "cid"])
         for _, part in group.groupby("token", sort=False):
             comps, number = part["comp"].tolist(), pd.factorize(part["comp"])[0]
             if number.max() == 0:
@@ -256,42 +255,64 @@ def _merge(rows: DataFrame, docs: DataFrame, words: int, percent: int, chunk: in
     return joined.groupBy("g1", "g2").applyInPandas(run, "a string, b string")
 
 
-def _possible(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those rows whose bitmap could be linked with that of a row of the same token and another comp."""
-    wanted = rows.groupBy("cid").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"))
-    joined = docs.alias("d").join(wanted.alias("r"), same_doc("d", "r")).select("r.cid", "d.text")
+def survivors(token: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which rows could be linked with another one of their token, by sizes and bitmaps.
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = [bitmap(s, bits_for(len(s))).tobytes() for s in shingle_sets(*anchors.utf8(batch.column("text")), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(maps, type=pa.binary())], names=["cid", "map"])
-
-    maps = joined.mapInArrow(signatures, "cid string, map binary").dropDuplicates(["cid"])
-    weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = _deal(rows, BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "map")
+    Tokens with many rows get a tree each; the pairs of the others are bounded all at once.
+    """
+    bits = np.array([8 * len(m) for m in maps])
+    good = np.zeros(len(token), dtype=bool)
+    order = np.argsort(token, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], token[order][1:] != token[order][:-1])))
+    count = np.diff(np.append(cut, len(order)))
+    few = np.repeat((count > 1) & (count <= 2 * FANOUT), count)
+    ends = np.repeat(cut + count, count)
+    at = np.flatnonzero(few)
+    todo = ends[at] - at - 1
+    a = np.repeat(at, todo)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo) - todo, todo)
+    a, b = order[a], order[b]
+    fits = (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+    a, b = a[fits], b[fits]
+    both = np.minimum(bits[a], bits[b])
+    large = [order[c : c + n] for c, n in zip(cut[count > 2 * FANOUT], count[count > 2 * FANOUT], strict=True)]
+    for width in np.unique(bits):  # bitmaps of linked sets are of equal width or one is twice the other
+        pairs = np.flatnonzero(both == width)
+        trees = [own[(bits[own] == width) | (bits[own] == 2 * width)] for own in large]
+        used = np.unique(np.concatenate([a[pairs], b[pairs], *trees]))
+        if not len(used):
+            continue
+        row = np.full(len(token), -1)
+        row[used] = np.arange(len(used))
+        stacked = np.empty((len(used), width // 64), dtype=np.uint64)
+        for k, i in enumerate(used):
+            m = np.frombuffer(maps[i], dtype=np.uint64)
+            stacked[k] = m if len(m) == width // 64 else fold(m[None, :])[0]
+        excess = sizes[used] - np.bitwise_count(stacked).sum(axis=1)
+        step = max(1, (1 << 18) // stacked.shape[1])
+        for k in range(0, len(pairs), step):
+            i, j = a[pairs[k : k + step]], b[pairs[k : k + step]]
+            x, y = row[i], row[j]
+            most = np.bitwise_count(stacked[x] & stacked[y]).sum(axis=1) + np.minimum(excess[x], excess[y])
+            keep = (100 + percent) * most >= percent * (sizes[i] + sizes[j])
+            good[i[keep]] = True
+            good[j[keep]] = True
+        for own in trees:
+            if len(own) > 1:
+                x, y = SignatureTree(stacked[row[own]], sizes[own], percent).pairs()
+                good[own[x]] = True
+                good[own[y]] = True
+    return good
+
+
+def _possible(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(token, cid) of those rows (token, cid, n) whose bitmap could be linked with another one's of their token."""
+    weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+    dealt = _deal(rows.select("token", "cid", "n"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "n", "map")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for _, part in group.groupby("token", sort=False):
-            comp = pd.factorize(part["comp"])[0]
-            if comp.max() == 0:
-                continue
-            sizes = part["n"].to_numpy(dtype=np.int64)
-            bits = np.array([8 * len(m) for m in part["map"]])
-            good = np.zeros(len(part), dtype=bool)
-            maps = list(part["map"])
-            for b in np.unique(bits):  # sizes of linked sets differ by less than a power of two
-                own = np.flatnonzero((bits == b) | (bits == 2 * b))
-                stacked = np.empty((len(own), b // 64), dtype=np.uint64)
-                for k, i in enumerate(own):
-                    m = np.frombuffer(maps[i], dtype=np.uint64)[None, :]
-                    stacked[k] = (m if bits[i] == b else fold(m))[0]
-                x, y = SignatureTree(stacked, sizes[own], percent).pairs()
-                apart = comp[own[x]] != comp[own[y]]
-                good[own[x[apart]]] = True
-                good[own[y[apart]]] = True
-            kept.append(part.loc[good, ["token", "cid"]])
-        return pd.concat(kept) if kept else group.iloc[:0][["token", "cid"]]
+        good = survivors(group["token"].to_numpy(), group["n"].to_numpy(dtype=np.int64), list(group["map"]), percent)
+        return group.loc[good, ["token", "cid"]]
 
     return dealt.groupBy("g1", "g2").applyInPandas(run, "token long, cid string").distinct()
 
@@ -305,31 +326,34 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     texts are linked, so repeated rows and equal ids need no rule.  Empty table: no rows.  Other columns are ignored.
     """
     own = keyed(docs)
-    described = materialize(_describe(own, words), "sets")
-    meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
     cid = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
-    met = _tokens(own, words, percent, True).join(meeting, "token").groupBy("token", "h1", "h2", "n").agg(F.min(F.struct("doc_id", "th")).alias("d"))
-    # the least member stands for the class in every row
-    met = materialize(met.select("token", cid.alias("cid"), "n", "d.*"), "met")
+    described = materialize(_describe(own, words).withColumn("cid", F.when(F.col("n") > 0, cid)), "sets")
+    # one member of each class stands for it
+    one = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "d.*")
+    meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
+    met = materialize(_tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n").distinct(), "met")
+    close = materialize(met.join(_possible(met, one.select("cid", "map"), percent), ["token", "cid"]), "close")
+    wanted = close.select("cid").distinct().join(one.drop("map"), "cid").alias("w")
+    texts = materialize(own.alias("d").join(wanted, same_doc("d", "w")).select("w.cid", "d.text").dropDuplicates(["cid"]), "texts")
     comp = None
     for _ in range(rounds):
-        roots = met if comp is None else met.join(comp.where("cid <> comp").select("cid"), "cid", "left_anti")
+        # the first round has all classes, the next one those that stand for several
+        roots = close if comp is None else close.join(comp.select(F.col("comp").alias("cid")).distinct(), "cid", "left_semi")
         shared = roots.groupBy("token").count().where(F.col("count") > 1).select("token")
-        home = roots.join(shared, "token").groupBy("cid").agg(F.min(F.struct("token", "n", "doc_id", "th")).alias("h")).select("cid", "h.*", F.col("cid").alias("comp"))
-        edges = _merge(materialize(home, "home"), own, words, percent, CHUNK, False)
+        home = roots.join(shared, "token").groupBy("cid").agg(F.min(F.struct("token", "n")).alias("h")).select("cid", "h.*", F.col("cid").alias("comp"))
+        edges = _merge(materialize(home, "home"), texts, words, percent, False)
         step = materialize(edges.groupBy("a").agg(F.min("b").alias("b")), "step")  # stars: each class is in one group
-        if comp is None:
-            comp = materialize(step.toDF("cid", "comp"), "comp")
-        else:
+        if comp is not None:
             moved = comp.join(step, comp.comp == step.a, "left").select("cid", F.coalesce("b", "comp").alias("comp"))
             comp = materialize(moved.union(step.join(comp, step.a == comp.cid, "left_anti")), "comp")
-    rows = met.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        else:
+            comp = step.toDF("cid", "comp")
+    rows = close.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     apart = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("token")
-    rest = materialize(rows.join(apart, "token"), "rest")
-    left = materialize(rest.join(_possible(rest, own, words, percent), ["token", "cid"]), "left")
-    late = components(_merge(left, own, words, percent, CHUNK, True))
+    left = materialize(rows.join(apart, "token"), "left")
+    late = components(_merge(left, texts, words, percent, True))
     final = rows.select("cid", "comp").distinct().join(late, F.col("comp") == late.node, "left").select("cid", F.coalesce("root", "comp").alias("root"))
-    named = described.withColumn("cid", F.when(F.col("n") > 0, cid)).join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = described.drop("map").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select("doc_id", "th", "root", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
