@@ -73,8 +73,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bits_for(n: int) -> int:
-    """Bits of the bitmap of a set: a power of two, at least four times its size, so that few shingles share a bit."""
-    return max(256, 1 << (4 * n - 1).bit_length())
+    """Bits of the bitmap of a set: a power of two, at least its size: a third of a bit's shingles share it at most, about."""
+    return max(64, 1 << (n - 1).bit_length())
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
