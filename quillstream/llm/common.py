@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +30,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    # the shuffles behind the table are of no more use; Spark deletes their files once the driver has dropped them, which
-    # it has as soon as its listeners have heard of the end of the query
+    # the shuffles behind the table are of no more use; Spark deletes their files once the driver has dropped the plan
+    del df
     gc.collect()
-    time.sleep(0.3)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

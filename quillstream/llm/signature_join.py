@@ -255,8 +255,8 @@ def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: b
     return joined.groupBy("g1", "g2").applyInPandas(run, "a string, b string")
 
 
-def survivors(token: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
-    """Which rows could be linked with another one of their token, by sizes and bitmaps.
+def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which rows could be linked with one of their token and of another comp, by sizes and bitmaps.
 
     Tokens with many rows get a tree each; the pairs of the others are bounded all at once.
     """
@@ -272,7 +272,7 @@ def survivors(token: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent:
     a = np.repeat(at, todo)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo) - todo, todo)
     a, b = order[a], order[b]
-    fits = (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+    fits = (comp[a] != comp[b]) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
     a, b = a[fits], b[fits]
     both = np.minimum(bits[a], bits[b])
     large = [order[c : c + n] for c, n in zip(cut[count > 2 * FANOUT], count[count > 2 * FANOUT], strict=True)]
@@ -300,18 +300,19 @@ def survivors(token: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent:
         for own in trees:
             if len(own) > 1:
                 x, y = SignatureTree(stacked[row[own]], sizes[own], percent).pairs()
-                good[own[x]] = True
-                good[own[y]] = True
+                apart = comp[own[x]] != comp[own[y]]
+                good[own[x[apart]]] = True
+                good[own[y[apart]]] = True
     return good
 
 
 def _possible(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(token, cid) of those rows (token, cid, n) whose bitmap could be linked with another one's of their token."""
+    """(token, cid) of those rows (token, cid, comp, n) whose bitmap could be linked with that of one of another comp."""
     weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
-    dealt = _deal(rows.select("token", "cid", "n"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "n", "map")
+    dealt = _deal(rows.select("token", "cid", "comp", "n"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "map")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        good = survivors(group["token"].to_numpy(), group["n"].to_numpy(dtype=np.int64), list(group["map"]), percent)
+        good = survivors(group["token"].to_numpy(), pd.factorize(group["comp"])[0], group["n"].to_numpy(dtype=np.int64), list(group["map"]), percent)
         return group.loc[good, ["token", "cid"]]
 
     return dealt.groupBy("g1", "g2").applyInPandas(run, "token long, cid string").distinct()
@@ -332,7 +333,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     one = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "d.*")
     meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
     met = materialize(_tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n").distinct(), "met")
-    close = materialize(met.join(_possible(met, one.select("cid", "map"), percent), ["token", "cid"]), "close")
+    close = materialize(met.join(_possible(met.withColumn("comp", F.col("cid")), one.select("cid", "map"), percent), ["token", "cid"]), "close")
     wanted = close.select("cid").distinct().join(one.drop("map"), "cid").alias("w")
     texts = materialize(own.alias("d").join(wanted, same_doc("d", "w")).select("w.cid", "d.text").dropDuplicates(["cid"]), "texts")
     comp = None
@@ -351,6 +352,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     rows = close.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     apart = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("token")
     left = materialize(rows.join(apart, "token"), "left")
+    left = materialize(left.join(_possible(left, one.select("cid", "map"), percent), ["token", "cid"]), "left")
     late = components(_merge(left, texts, words, percent, True))
     final = rows.select("cid", "comp").distinct().join(late, F.col("comp") == late.node, "left").select("cid", F.coalesce("root", "comp").alias("root"))
     named = described.drop("map").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
