@@ -34,6 +34,8 @@ from quillstream.llm.repeats import keyed, same_doc
 WORDS, PERCENT = 3, 90
 #: Sets in one tree with texts, and with bitmaps alone; children of a node; bytes of text that one task takes, about.
 CHUNK, BITMAP_CHUNK, FANOUT, SHARD_BYTES = 512, 2048, 8, 4 << 20
+#: Tokens of a set by which a pair is recognised that met before.
+LEAST = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -201,7 +203,7 @@ def _tokens(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFram
             parts, rows = [], []
             for s in shingle_sets(*anchors.utf8(batch.column("text")), words):
                 if len(s):
-                    parts.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                    parts.append((s[: prefix_length(len(s), percent)] >> np.uint64(1)).view(np.int64))
                     rows.append((len(s), *_digest(s)))
             if not rows:
                 continue
@@ -255,9 +257,21 @@ def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: b
     return joined.groupBy("g1", "g2").applyInPandas(run, "a string, b string")
 
 
-def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+def met_before(token: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b, pair by pair, share one of their least tokens before the one that they meet at here."""
+    out = np.zeros(len(a), dtype=bool)
+    for k in range(0, len(a), 1 << 14):
+        i, j = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+        x = np.where(low[i] < token[i][:, None], low[i], -1)
+        out[k : k + (1 << 14)] = ((x[:, :, None] == low[j][:, None, :]) & (x[:, :, None] >= 0)).any(axis=(1, 2))
+    return out
+
+
+def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[bytes], low: np.ndarray, percent: int) -> np.ndarray:
     """Which rows could be linked with one of their token and of another comp, by sizes and bitmaps.
 
+    low: the LEAST smallest tokens of each row's set, none negative; a pair counts only at the first of them that both have.
+
     Tokens with many rows get a tree each; the pairs of the others are bounded all at once.
     """
     bits = np.array([8 * len(m) for m in maps])
@@ -295,24 +309,33 @@ def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list
             x, y = row[i], row[j]
             most = np.bitwise_count(stacked[x] & stacked[y]).sum(axis=1) + np.minimum(excess[x], excess[y])
             keep = (100 + percent) * most >= percent * (sizes[i] + sizes[j])
-            good[i[keep]] = True
-            good[j[keep]] = True
+            i, j = i[keep], j[keep]
+            fresh = ~met_before(token, low, i, j)
+            good[i[fresh]] = True
+            good[j[fresh]] = True
         for own in trees:
             if len(own) > 1:
                 x, y = SignatureTree(stacked[row[own]], sizes[own], percent).pairs()
-                apart = comp[own[x]] != comp[own[y]]
-                good[own[x[apart]]] = True
-                good[own[y[apart]]] = True
+                i, j = own[x], own[y]
+                apart = comp[i] != comp[j]
+                i, j = i[apart], j[apart]
+                fresh = ~met_before(token, low, i, j)
+                good[i[fresh]] = True
+                good[j[fresh]] = True
     return good
 
 
 def _possible(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """(token, cid) of those rows (token, cid, comp, n) whose bitmap could be linked with that of one of another comp."""
     weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
-    dealt = _deal(rows.select("token", "cid", "comp", "n"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "map")
+    least = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("low"))  # of one prefix
+    dealt = _deal(rows.select("token", "cid", "comp", "n"), BITMAP_CHUNK, True, weight).join(maps.join(least, "cid"), "cid").select("g1", "g2", "token", "cid", "comp", "n", "map", "low")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        good = survivors(group["token"].to_numpy(), pd.factorize(group["comp"])[0], group["n"].to_numpy(dtype=np.int64), list(group["map"]), percent)
+        low = np.full((len(group), LEAST), -1, dtype=np.int64)
+        for k, own in enumerate(group["low"]):
+            low[k, : len(own)] = own
+        good = survivors(group["token"].to_numpy(), pd.factorize(group["comp"])[0], group["n"].to_numpy(dtype=np.int64), list(group["map"]), low, percent)
         return group.loc[good, ["token", "cid"]]
 
     return dealt.groupBy("g1", "g2").applyInPandas(run, "token long, cid string").distinct()
