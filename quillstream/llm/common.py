@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    # the shuffles behind the table are of no more use; Spark deletes their files once the driver has dropped the plan
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the files of shuffles that no plan refers to: it does once the driver's garbage is collected."""
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, although body may use it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -325,11 +325,15 @@ def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list
     return good
 
 
-def _possible(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(token, cid) of those rows (token, cid, comp, n) whose bitmap could be linked with that of one of another comp."""
+def _possible(rows: DataFrame, maps: DataFrame, percent: int, once: bool) -> DataFrame:
+    """(token, cid) of those rows (token, cid, comp, n) whose bitmap could be linked with that of one of another comp.
+
+    once: a pair counts only at the first token that both have, if that is one of the LEAST first of either.
+    """
     weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
     least = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("low"))  # of one prefix
-    dealt = _deal(rows.select("token", "cid", "comp", "n"), BITMAP_CHUNK, True, weight).join(maps.join(least, "cid"), "cid").select("g1", "g2", "token", "cid", "comp", "n", "map", "low")
+    maps = maps.join(least, "cid") if once else maps.withColumn("low", F.array().cast("array<long>"))
+    dealt = _deal(rows.select("token", "cid", "comp", "n"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "map", "low")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         low = np.full((len(group), LEAST), -1, dtype=np.int64)
@@ -356,7 +360,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     one = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "d.*")
     meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
     met = materialize(_tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n").distinct(), "met")
-    close = materialize(met.join(_possible(met.withColumn("comp", F.col("cid")), one.select("cid", "map"), percent), ["token", "cid"]), "close")
+    close = materialize(met.join(_possible(met.withColumn("comp", F.col("cid")), one.select("cid", "map"), percent, False), ["token", "cid"]), "close")
     wanted = close.select("cid").distinct().join(one.drop("map"), "cid").alias("w")
     texts = materialize(own.alias("d").join(wanted, same_doc("d", "w")).select("w.cid", "d.text").dropDuplicates(["cid"]), "texts")
     comp = None
@@ -375,7 +379,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     rows = close.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     apart = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("token")
     left = materialize(rows.join(apart, "token"), "left")
-    left = materialize(left.join(_possible(left, one.select("cid", "map"), percent), ["token", "cid"]), "left")
+    left = materialize(left.join(_possible(left, one.select("cid", "map"), percent, True), ["token", "cid"]), "left")
     late = components(_merge(left, texts, words, percent, True))
     final = rows.select("cid", "comp").distinct().join(late, F.col("comp") == late.node, "left").select("cid", F.coalesce("root", "comp").alias("root"))
     named = described.drop("map").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
