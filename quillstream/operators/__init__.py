@@ -1,0 +1 @@
+"""operators of the document pipeline and its operational analytics."""

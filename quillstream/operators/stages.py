@@ -1,0 +1,65 @@
+"""The stage runner and the workflow fold: driver-side plans over DataFrames."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+
+@dataclass
+class Report:
+    done: list[str] = field(default_factory=list)
+    skipped: list[str] = field(default_factory=list)
+    failed: str | None = None
+    error: str | None = None
+
+    @property
+    def last_successful(self) -> str | None:
+        return self.done[-1] if self.done else None
+
+
+def run_stages(stages: list[tuple[str, Callable[[], None]]], skip: frozenset[str] = frozenset()) -> Report:
+    """Stages in order; the first that raises ends the run."""
+    report = Report()
+    for name, stage in stages:
+        if name in skip:
+            report.skipped.append(name)
+            continue
+        try:
+            stage()
+        except Exception as e:  # noqa: BLE001  the report carries it
+            report.failed, report.error = name, str(e)
+            break
+        report.done.append(name)
+    return report
+
+
+@dataclass(frozen=True)
+class Step:
+    """A step reads context keys by its input mapping and adds keys by its output mapping."""
+
+    name: str
+    run: Callable[[Mapping[str, DataFrame]], Mapping[str, DataFrame]]
+    inputs: Mapping[str, str] = field(default_factory=dict)
+    outputs: Mapping[str, str] = field(default_factory=dict)
+    optional: bool = False
+
+
+def fold(steps: list[Step], context: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Mapped results replace keys of the context, others are added only if new; an optional step may fail."""
+    now = dict(context)
+    for step in steps:
+        try:
+            made = step.run({**now, **{k: now[v] for k, v in step.inputs.items()}})
+        except Exception:
+            if step.optional:
+                continue
+            raise
+        for k, v in made.items():
+            if k in step.outputs:
+                now[step.outputs[k]] = v
+            else:
+                now.setdefault(k, v)
+    return now

@@ -1,0 +1,31 @@
+"""A versioned directory of Parquet: a new version is written whole, then a pointer names it; one writer for a table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _pointer(self) -> str | None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return None
+        return max(r[0] for r in self.spark.read.text(str(at.toString())).collect())
+
+    def read(self) -> DataFrame | None:
+        version = self._pointer()
+        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
+
+    def write(self, df: DataFrame) -> None:
+        """Readers see the old version until the pointer, one small file, has been replaced."""
+        old = self._pointer()
+        version = f"v{int(old[1:9]) + 1 if old else 1:08d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.path}/{version}")
+        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_current")

@@ -1,0 +1 @@
+"""plans of the document pipeline and its operational analytics."""

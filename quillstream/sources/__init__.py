@@ -1,0 +1 @@
+"""sources of the document pipeline and its operational analytics."""

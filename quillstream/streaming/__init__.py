@@ -1,0 +1 @@
+"""streaming of the document pipeline and its operational analytics."""
