@@ -207,7 +207,7 @@ def _verified(rows: DataFrame, sets: DataFrame, percent: int, ask: DataFrame) ->
     sized = sized.withColumn("side", F.pmod(F.xxhash64("h1", "h2"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cell = F.least("side", "other").cast("long") * F.col("chunks") + F.greatest("side", "other")
     hot = F.col("chunks") > 1
-    dealt = sized.select("token", "h1", "h2", "asks", F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(total // CHUNK + 1))).alias("g1"), F.when(hot, cell).otherwise(F.lit(-1)).alias("g2"))
+    dealt = sized.select("token", "h1", "h2", "asks", F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(total // CHUNK + 64))).alias("g1"), F.when(hot, cell).otherwise(F.lit(-1)).alias("g2"))
     joined = dealt.join(sets, ["h1", "h2"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -250,14 +250,17 @@ def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pd.DataFrame({c: keys[c].astype(np.int64) for c in ("token", "h1", "h2")})
 
     rows = materialize(keys.groupBy("bucket").applyInPandas(meet, "token long, h1 long, h2 long"), "line-rows")
-    wanted = rows.select("h1", "h2").distinct().join(classes, ["h1", "h2"]).select("h1", "h2", "first.*")
-    sets = materialize(_fetch(wanted, own), "line-sets")
-    # each class at the token where fewest meet first, and at all of its tokens only if it finds nothing there
-    count = rows.groupBy("token").agg(F.count("*").alias("c"))
-    once = rows.join(count, "token").groupBy("h1", "h2").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
+    wanted = rows.select("h1", "h2").distinct().join(classes.drop("n"), ["h1", "h2"])
+    sets = materialize(_fetch(wanted.select("h1", "h2", "first.*"), own), "line-sets")
+    # a class asks at the tokens where an earlier one is: first at the one where fewest meet, at all of them only if it
+    # finds nothing there
+    ranked = rows.join(wanted, ["h1", "h2"])
+    earliest = ranked.groupBy("token").agg(F.count("*").alias("c"), F.min("first").alias("earliest"))
+    asks = materialize(ranked.join(earliest, "token").where(F.col("first") > F.col("earliest")).select("token", "h1", "h2", "c"), "line-asks")
+    once = asks.groupBy("h1", "h2").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
     quick = materialize(_verified(rows, sets, percent, once), "line-quick")
-    rest = materialize(rows.join(quick, ["h1", "h2"], "left_anti"), "line-rest")
-    late = quick.unionByName(_verified(rows, sets, percent, rest)).distinct().withColumn("late", F.lit(True))
+    rest = materialize(asks.drop("c").join(quick, ["h1", "h2"], "left_anti"), "line-rest")
+    late = materialize(quick.unionByName(_verified(rows, sets, percent, rest)).distinct().withColumn("late", F.lit(True)), "line-late")
     verdict = classes.join(late, ["h1", "h2"], "left").select("h1", "h2", F.when(F.col("late").isNull(), F.col("first")).alias("keep"))
     lines = _lines(own).join(verdict, ["h1", "h2"]).where(F.col("keep").isNull() | ~where.eqNullSafe(F.col("keep")))
     gone = lines.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")).alias("s")

@@ -224,7 +224,7 @@ def _deal(rows: DataFrame, chunk: int, pairs: bool, weight: int) -> DataFrame:
     A token of more than `chunk` rows is cut into chunks; with pairs each pair of chunks has a cell, else each chunk.
     """
     count = rows.groupBy("token").count().where(F.col("count") > 1)
-    shards = F.lit(max(1, weight // SHARD_BYTES))
+    shards = F.lit(max(64, weight // SHARD_BYTES))
     sized = rows.join(count, "token").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
     sized = sized.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     if pairs:
@@ -359,7 +359,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     # one member of each class stands for it
     one = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "d.*")
     meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
-    met = materialize(_tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n").distinct(), "met")
+    met = _tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n").distinct()
+    # the neighbours by size at the token must be near enough; this needs no more than the order of the join
+    by_size = Window.partitionBy("token").orderBy("n", "cid")
+    near = (percent * F.col("n") <= 100 * F.lag("n").over(by_size)) | (percent * F.lead("n").over(by_size) <= 100 * F.col("n"))
+    met = materialize(met.withColumn("near", near).where("near").drop("near"), "met")
     close = materialize(met.join(_possible(met.withColumn("comp", F.col("cid")), one.select("cid", "map"), percent, False), ["token", "cid"]), "close")
     wanted = close.select("cid").distinct().join(one.drop("map"), "cid").alias("w")
     texts = materialize(own.alias("d").join(wanted, same_doc("d", "w")).select("w.cid", "d.text").dropDuplicates(["cid"]), "texts")
