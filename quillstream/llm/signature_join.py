@@ -75,8 +75,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bits_for(n: int) -> int:
-    """Bits of the bitmap of a set: a power of two, at least its size: a third of a bit's shingles share it at most, about."""
-    return max(64, 1 << (n - 1).bit_length())
+    """Bits of the bitmap of a set: a power of two, at least twice its size, so that unequal sets differ in many bits."""
+    return max(64, 2 << (n - 1).bit_length()) if n else 64
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
