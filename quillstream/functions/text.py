@@ -62,14 +62,17 @@ def language(clean: Column) -> Column:
 
 def keyword_topics(c: Column, most: int = 5, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Topics of which a keyword occurs as a substring of the lower-cased text, in the table's order, `most` at most."""
-    low = F.lower(c)
-    hits = []
-    for topic, words in (keywords or TOPIC_KEYWORDS).items():
-        hit = F.contains(low, F.lit(words[0]))
-        for w in words[1:]:
-            hit = hit | F.contains(low, F.lit(w))
-        hits.append(F.when(hit, F.lit(topic)))
-    return F.slice(F.array_compact(F.array(*hits)), 1, most)
+    def hits(low: Column) -> Column:
+        found = []
+        for topic, words in (keywords or TOPIC_KEYWORDS).items():
+            hit = F.contains(low, F.lit(words[0]))
+            for w in words[1:]:
+                hit = hit | F.contains(low, F.lit(w))
+            found.append(F.when(hit, F.lit(topic)))
+        return F.slice(F.array_compact(F.array(*found)), 1, most)
+
+    # bound once: behind OR and CASE, Spark would lower the text again for every keyword
+    return F.element_at(F.transform(F.array(F.lower(c)), hits), 1)
 
 
 def lead_summary(c: Column) -> Column:
