@@ -1,7 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 Texts with equal shingle sets form a class, of which one member is compared.  Two linked sets share one of the first
-`n - ceil(t n) + 1` of their shingles in the order of hashes, so only classes that meet at such a token are compared:
+`n - ceil(t n) + 1` of their shingles in the order of hashes, so only classes that meet at such a token are compared.  At
+the first token that both have, all that they share lies behind it, so its place bounds the size of a partner:
 
 1. Trees over the bitmaps of the classes that meet at a token leave those that could be linked with another one there.
    Only the texts of these go further.
@@ -67,6 +68,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def largest_partner(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The size up to which a set may be linked with one of n whose first shingle in common has this place (from 0)."""
+    return ((100 + percent) * (n - place) - percent * n) // percent
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.concatenate((a, b))
     both.sort()
@@ -195,8 +201,8 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 
 def _tokens(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFrame:
-    """token and h1 of the prefix of each keyed document; with owners also h2 and n."""
-    fields = [T.StructField(x, T.LongType()) for x in ("token", "h1", *(("h2", "n") if owners else ()))]
+    """token and h1 of the prefix of each keyed document; with owners also h2, n and the largest partner's size there."""
+    fields = [T.StructField(x, T.LongType()) for x in ("token", "h1", *(("h2", "n", "top") if owners else ()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +216,8 @@ def _tokens(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFram
             n, h1, h2 = (np.repeat(np.array(x, dtype=np.int64), [len(p) for p in parts]) for x in zip(*rows, strict=True))
             out = [pa.array(np.concatenate(parts)), pa.array(h1)]
             if owners:
-                out += [pa.array(h2), pa.array(n)]
+                place = np.concatenate([np.arange(len(p)) for p in parts])
+                out += [pa.array(h2), pa.array(n), pa.array(largest_partner(n, place, percent))]
             table = pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
             for at in range(0, len(table), 100_000):
                 yield table.slice(at, 100_000)
@@ -267,9 +274,10 @@ def met_before(token: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out
 
 
-def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[bytes], low: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows could be linked with one of their token and of another comp, by sizes and bitmaps.
+def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, top: np.ndarray, maps: list[bytes], low: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows could be linked with one of their token and of another comp, by sizes, places and bitmaps.
 
+    top: the largest size of a partner that each row may have if the token is the first one in common.
     low: the LEAST smallest tokens of each row's set, none negative; a pair counts only at the first of them that both have.
 
     Tokens with many rows get a tree each; the pairs of the others are bounded all at once.
@@ -286,7 +294,7 @@ def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list
     a = np.repeat(at, todo)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo) - todo, todo)
     a, b = order[a], order[b]
-    fits = (comp[a] != comp[b]) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+    fits = (comp[a] != comp[b]) & (top[a] >= sizes[b]) & (top[b] >= sizes[a])
     a, b = a[fits], b[fits]
     both = np.minimum(bits[a], bits[b])
     large = [order[c : c + n] for c, n in zip(cut[count > 2 * FANOUT], count[count > 2 * FANOUT], strict=True)]
@@ -317,7 +325,7 @@ def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list
             if len(own) > 1:
                 x, y = SignatureTree(stacked[row[own]], sizes[own], percent).pairs()
                 i, j = own[x], own[y]
-                apart = comp[i] != comp[j]
+                apart = (comp[i] != comp[j]) & (top[i] >= sizes[j]) & (top[j] >= sizes[i])
                 i, j = i[apart], j[apart]
                 fresh = ~met_before(token, low, i, j)
                 good[i[fresh]] = True
@@ -326,20 +334,20 @@ def survivors(token: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list
 
 
 def _possible(rows: DataFrame, maps: DataFrame, percent: int, once: bool) -> DataFrame:
-    """(token, cid) of those rows (token, cid, comp, n) whose bitmap could be linked with that of one of another comp.
+    """(token, cid) of those rows (token, cid, comp, n, top) whose bitmap could be linked with that of one of another comp.
 
     once: a pair counts only at the first token that both have, if that is one of the LEAST first of either.
     """
     weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
     least = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("low"))  # of one prefix
     maps = maps.join(least, "cid") if once else maps.withColumn("low", F.array().cast("array<long>"))
-    dealt = _deal(rows.select("token", "cid", "comp", "n"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "map", "low")
+    dealt = _deal(rows.select("token", "cid", "comp", "n", "top"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "top", "map", "low")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         low = np.full((len(group), LEAST), -1, dtype=np.int64)
         for k, own in enumerate(group["low"]):
             low[k, : len(own)] = own
-        good = survivors(group["token"].to_numpy(), pd.factorize(group["comp"])[0], group["n"].to_numpy(dtype=np.int64), list(group["map"]), low, percent)
+        good = survivors(group["token"].to_numpy(), pd.factorize(group["comp"])[0], group["n"].to_numpy(dtype=np.int64), group["top"].to_numpy(dtype=np.int64), list(group["map"]), low, percent)
         return group.loc[good, ["token", "cid"]]
 
     return dealt.groupBy("g1", "g2").applyInPandas(run, "token long, cid string").distinct()
@@ -359,10 +367,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     # one member of each class stands for it
     one = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "d.*")
     meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
-    met = _tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n").distinct()
-    # the neighbours by size at the token must be near enough; this needs no more than the order of the join
+    met = _tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n", "top").distinct()
+    # some smaller set at the token must reach up to this one, or this one up to the next larger; the join has the order
     by_size = Window.partitionBy("token").orderBy("n", "cid")
-    near = (percent * F.col("n") <= 100 * F.lag("n").over(by_size)) | (percent * F.lead("n").over(by_size) <= 100 * F.col("n"))
+    reached = F.max("top").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")
+    near = F.coalesce(reached, F.lit(False)) | F.coalesce(F.lead("n").over(by_size) <= F.col("top"), F.lit(False))
     met = materialize(met.withColumn("near", near).where("near").drop("near"), "met")
     close = materialize(met.join(_possible(met.withColumn("comp", F.col("cid")), one.select("cid", "map"), percent, False), ["token", "cid"]), "close")
     wanted = close.select("cid").distinct().join(one.drop("map"), "cid").alias("w")

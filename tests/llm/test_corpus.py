@@ -131,6 +131,24 @@ def test_signature_tree_loses_no_pair():
     assert all(frozenset((i, j)) in found for i in range(60) for j in range(i) if signature_join.linked(sets[i], sets[j], 90))
 
 
+def test_largest_partner_holds_at_the_first_shingle_in_common():
+    rng, seen = np.random.default_rng(5), 0
+    for percent in (80, 90):
+        for _ in range(2000):
+            n = int(rng.integers(1, 60))
+            a = np.unique(rng.integers(0, 1 << 40, n)).astype(np.uint64)
+            b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.06], rng.integers(0, 1 << 40, int(rng.integers(0, 6))).astype(np.uint64))))
+            if not len(b) or not signature_join.linked(a, b, percent):
+                continue
+            seen += 1
+            w = np.intersect1d(a, b)[0]
+            for x, y in ((a, b), (b, a)):
+                place = int(np.searchsorted(x, w))
+                assert place < signature_join.prefix_length(len(x), percent)
+                assert len(y) <= signature_join.largest_partner(np.array([len(x)]), np.array([place]), percent)[0]
+    assert seen > 500
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("x", "y")], "a string, b string")
     assert {tuple(r) for r in components.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")}
