@@ -4,12 +4,12 @@ Texts with equal shingle sets form a class, of which one member is compared.  Tw
 `n - ceil(t n) + 1` of their shingles in the order of hashes, so only classes that meet at such a token are compared.  At
 the first token that both have, all that they share lies behind it, so its place bounds the size of a partner:
 
-1. Trees over the bitmaps of the classes that meet at a token leave those that could be linked with another one there.
-   Only the texts of these go further.
-2. Contraction.  Each class goes to the group of its first token; a signature tree over the group finds pairs, which are
-   verified and merged at once, so a group of g near copies takes about g links, not g * g / 2.  A second round does the
-   same with one class of each merged set, which joins what was cut into chunks.
-3. The rest.  Tokens at which classes meet that are not merged yet: all pairs of these that the tree leaves are verified.
+1. Meeting.  The tokens of each class are dealt out once; those without a neighbour of like size at the token go.
+2. Contraction.  Each class goes to the group of its first token that is left.  Trees over bitmaps leave those that could be
+   linked there, only the texts of these are fetched, and a second tree finds pairs, which are verified and merged at
+   once, so a group of g near copies takes about g links, not g * g / 2.  A second round does the same with one class of
+   each merged set, which joins what was cut into chunks.
+3. The rest.  Tokens at which classes meet that are not merged yet: all pairs of these that the trees leave are verified.
 
 The leaves of a tree are sets, ordered so that near copies are neighbours; a node holds the OR of the bitmaps below, the
 range of sizes and the largest number of shingles that share a bit with others of their set.  Two nodes share at most
@@ -179,50 +179,66 @@ def merged(sets: list[np.ndarray], merged_already: np.ndarray, percent: int) ->
 
 
 def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, th, n, two hashes and the bitmap of the shingle set of each keyed document."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("th", "n", "h1", "h2")), T.StructField("map", T.BinaryType())])
+    """doc_id, th, n, h1, class (two hashes; null for the empty set) and bitmap of the shingle set of each keyed document."""
+    fields = [docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("th", "n", "h1")), *(T.StructField(x, T.BinaryType()) for x in ("cid", "map"))]
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, maps = [], []
+            n, h1, cids, maps = [], [], [], []
             for s in shingle_sets(*anchors.utf8(batch.column("text")), words):
-                rows.append((len(s), *_digest(s)))
+                cid = _digest(s)
+                n.append(len(s))
+                h1.append(int.from_bytes(cid[:8], "little", signed=True))
+                cids.append(cid if len(s) else None)
                 maps.append(bitmap(s, bits_for(len(s))).tobytes())
-            columns = np.array(rows, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(np.ascontiguousarray(c)) for c in columns.T), pa.array(maps, type=pa.binary())], names=schema.names)
+            columns = [pa.array(n, type=pa.int64()), pa.array(h1, type=pa.int64()), pa.array(cids, type=pa.binary()), pa.array(maps, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _digest(values: np.ndarray) -> tuple[int, int]:
-    a = values.sum(dtype=np.uint64)
-    b = anchors.mix(values ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def _digest(values: np.ndarray) -> bytes:
+    """Two hashes of a set, of eight bytes each."""
+    return values.sum(dtype=np.uint64).tobytes() + anchors.mix(values ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes()
 
 
-def _tokens(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFrame:
-    """token and h1 of the prefix of each keyed document; with owners also h2, n and the largest partner's size there."""
-    fields = [T.StructField(x, T.LongType()) for x in ("token", "h1", *(("h2", "n", "top") if owners else ()))]
+def _tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """token, h1, n and the largest partner's size there, for the prefix of each set of keyed documents, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # at most one entry for each row of the task
         for batch in batches:
             parts, rows = [], []
             for s in shingle_sets(*anchors.utf8(batch.column("text")), words):
-                if len(s):
+                cid = _digest(s)
+                if len(s) and cid not in seen:
+                    seen.add(cid)
                     parts.append((s[: prefix_length(len(s), percent)] >> np.uint64(1)).view(np.int64))
-                    rows.append((len(s), *_digest(s)))
+                    rows.append((int.from_bytes(cid[:8], "little", signed=True), len(s)))
             if not rows:
                 continue
-            n, h1, h2 = (np.repeat(np.array(x, dtype=np.int64), [len(p) for p in parts]) for x in zip(*rows, strict=True))
-            out = [pa.array(np.concatenate(parts)), pa.array(h1)]
-            if owners:
-                place = np.concatenate([np.arange(len(p)) for p in parts])
-                out += [pa.array(h2), pa.array(n), pa.array(largest_partner(n, place, percent))]
-            table = pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+            h1, n = (np.repeat(np.array(x, dtype=np.int64), [len(p) for p in parts]) for x in zip(*rows, strict=True))
+            place = np.concatenate([np.arange(len(p)) for p in parts])
+            out = [pa.array(x) for x in (np.concatenate(parts), h1, n, largest_partner(n, place, percent))]
+            table = pa.RecordBatch.from_arrays(out, names=["token", "h1", "n", "top"])
             for at in range(0, len(table), 100_000):
                 yield table.slice(at, 100_000)
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(run, "token long, h1 long, n long, top long")
+
+
+def _meetings(tokens: DataFrame) -> DataFrame:
+    """Those rows of tokens that have another class of like size at their token, each once.
+
+    Some smaller set at the token must reach up to this one, or this one up to the next larger.  One shuffle by token
+    serves both windows.
+    """
+    by_size = Window.partitionBy("token").orderBy("n", "h1")
+    once = tokens.withColumn("again", F.lag("h1").over(by_size).eqNullSafe(F.col("h1"))).where("not again").drop("again")
+    reached = F.max("top").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")
+    near = F.coalesce(reached, F.lit(False)) | F.coalesce(F.lead("n").over(by_size) <= F.col("top"), F.lit(False))
+    return once.withColumn("near", near).where("near").drop("near")
 
 
 def _deal(rows: DataFrame, chunk: int, pairs: bool, weight: int) -> DataFrame:
@@ -250,7 +266,7 @@ def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: b
     joined = _deal(rows, CHUNK, pairs, weight).join(texts, "cid").select("g1", "g2", "token", "cid", "comp", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[str, str]] = []
+        out: list[tuple[bytes, bytes]] = []
         for _, part in group.groupby("token", sort=False):
             comps, number = part["comp"].tolist(), pd.factorize(part["comp"])[0]
             if number.max() == 0:
@@ -261,7 +277,7 @@ def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: b
             out += [(comps[i], comps[r]) for i, r in enumerate(merged(sets, number, percent)) if comps[i] != comps[r]]
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype=object)
 
-    return joined.groupBy("g1", "g2").applyInPandas(run, "a string, b string")
+    return joined.groupBy("g1", "g2").applyInPandas(run, "a binary, b binary")
 
 
 def met_before(token: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -350,7 +366,7 @@ def _possible(rows: DataFrame, maps: DataFrame, percent: int, once: bool) -> Dat
         good = survivors(group["token"].to_numpy(), pd.factorize(group["comp"])[0], group["n"].to_numpy(dtype=np.int64), group["top"].to_numpy(dtype=np.int64), list(group["map"]), low, percent)
         return group.loc[good, ["token", "cid"]]
 
-    return dealt.groupBy("g1", "g2").applyInPandas(run, "token long, cid string").distinct()
+    return dealt.groupBy("g1", "g2").applyInPandas(run, "token long, cid binary").distinct()
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
@@ -362,40 +378,41 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     texts are linked, so repeated rows and equal ids need no rule.  Empty table: no rows.  Other columns are ignored.
     """
     own = keyed(docs)
-    cid = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
-    described = materialize(_describe(own, words).withColumn("cid", F.when(F.col("n") > 0, cid)), "sets")
+    described = materialize(_describe(own, words), "sets")
     # one member of each class stands for it
-    one = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "d.*")
-    meeting = _tokens(own, words, percent, False).groupBy("token").agg((F.min("h1") != F.max("h1")).alias("again")).where("again").drop("again")
-    met = _tokens(own, words, percent, True).join(meeting, "token").select("token", cid.alias("cid"), "n", "top").distinct()
-    # some smaller set at the token must reach up to this one, or this one up to the next larger; the join has the order
-    by_size = Window.partitionBy("token").orderBy("n", "cid")
-    reached = F.max("top").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")
-    near = F.coalesce(reached, F.lit(False)) | F.coalesce(F.lead("n").over(by_size) <= F.col("top"), F.lit(False))
-    met = materialize(met.withColumn("near", near).where("near").drop("near"), "met")
-    close = materialize(met.join(_possible(met.withColumn("comp", F.col("cid")), one.select("cid", "map"), percent, False), ["token", "cid"]), "close")
-    wanted = close.select("cid").distinct().join(one.drop("map"), "cid").alias("w")
-    texts = materialize(own.alias("d").join(wanted, same_doc("d", "w")).select("w.cid", "d.text").dropDuplicates(["cid"]), "texts")
+    one = described.where("n > 0").groupBy("cid").agg(F.first("h1").alias("h1"), F.min(F.struct("doc_id", "th", "map")).alias("d")).select("cid", "h1", "d.*")
+    classes = described.where("n > 0").select("h1", "cid").distinct()
+    met = materialize(_meetings(_tokens(own, words, percent)).join(classes, "h1").drop("h1"), "met")
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        wanted = rows.select("cid").distinct().join(one.drop("map", "h1"), "cid").alias("w")
+        return materialize(own.alias("d").join(wanted, same_doc("d", "w")).select("w.cid", "d.text").dropDuplicates(["cid"]), "texts")
+
+    def first_token(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cid").agg(F.min(F.struct("token", "n", "top")).alias("h")).select("cid", "h.*", F.col("cid").alias("comp"))
+
+    home = materialize(first_token(met), "home")
+    home = materialize(home.join(_possible(home, one.select("cid", "map"), percent, False), ["token", "cid"]), "close")
+    texts = texts_of(home)
     comp = None
     for _ in range(rounds):
-        # the first round has all classes, the next one those that stand for several
-        roots = close if comp is None else close.join(comp.select(F.col("comp").alias("cid")).distinct(), "cid", "left_semi")
-        shared = roots.groupBy("token").count().where(F.col("count") > 1).select("token")
-        home = roots.join(shared, "token").groupBy("cid").agg(F.min(F.struct("token", "n")).alias("h")).select("cid", "h.*", F.col("cid").alias("comp"))
-        edges = _merge(materialize(home, "home"), texts, words, percent, False)
+        if comp is not None:  # the first round has all classes, the next one those that stand for several
+            home = materialize(first_token(met.join(comp.select(F.col("comp").alias("cid")).distinct(), "cid", "left_semi")), "home")
+        edges = _merge(home, texts, words, percent, False)
         step = materialize(edges.groupBy("a").agg(F.min("b").alias("b")), "step")  # stars: each class is in one group
         if comp is not None:
             moved = comp.join(step, comp.comp == step.a, "left").select("cid", F.coalesce("b", "comp").alias("comp"))
             comp = materialize(moved.union(step.join(comp, step.a == comp.cid, "left_anti")), "comp")
         else:
             comp = step.toDF("cid", "comp")
-    rows = close.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rows = met.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     apart = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("token")
     left = materialize(rows.join(apart, "token"), "left")
     left = materialize(left.join(_possible(left, one.select("cid", "map"), percent, True), ["token", "cid"]), "left")
+    texts = texts_of(left)
     late = components(_merge(left, texts, words, percent, True))
     final = rows.select("cid", "comp").distinct().join(late, F.col("comp") == late.node, "left").select("cid", F.coalesce("root", "comp").alias("root"))
-    named = described.drop("map").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = described.drop("map", "h1").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select("doc_id", "th", "root", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
