@@ -34,13 +34,20 @@ def _synthetic_topics(s, d):
 
 
 def keyword_clusters(s, d, least=2, most=10):
-    """Topics by the number of documents; the refs of a group are counted and sampled, never gathered."""
+    """Topics by the number of documents, with samples; the refs of a group are rows of keyword_cluster_members, never gathered."""
     e = _synthetic_topics(s, d).select("doc_id", "source_ref", F.explode(F.array_distinct("topics")).alias("topic"), F.substring("text", 1, 100).alias("sample"))
     e = e.withColumn("rn", F.row_number().over(Window.partitionBy("topic").orderBy("doc_id")))
     g = e.groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("rn") <= 3, F.struct("rn", "sample")))), lambda x: x.getField("sample")), "|").alias("samples"), F.min("source_ref").alias("first_ref"))
     return g.where(C("n") >= least).orderBy(F.desc("n"), "topic").limit(most)
 
 
+def keyword_cluster_members(s, d, least=2, most=10):
+    """Every document of the topics of keyword_clusters, a row each; the order within a topic is that of doc_id."""
+    e = _synthetic_topics(s, d).select("doc_id", "source_ref", F.explode(F.array_distinct("topics")).alias("topic"))
+    top = e.groupBy("topic").agg(F.count("*").alias("n")).where(C("n") >= least).orderBy(F.desc("n"), "topic").limit(most)
+    return e.join(F.broadcast(top), "topic").select("topic", "n", "doc_id", "source_ref")
+
+
 def topic_jaccard(s, d):
     t = _synthetic_topics(s, d).select("doc_id", C("topics").alias("a"), F.array(F.concat(F.lit("mod_"), (C("doc_id") % 5).cast("string")), F.lit("lang_en")).alias("b"))
     inter, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
@@ -83,6 +90,7 @@ QUERIES = {
     "resolved_sources": resolved_sources,
     "card_bundle": lambda s, d: topics.gate(_ranked(s, d)).select("topic_id", "passed").join(topics.bundle_items(_ranked(s, d), L.proposals(s, d)).groupBy("topic_id").agg(F.count("*").alias("items")), "topic_id", "left"),
     "keyword_clusters": keyword_clusters,
+    "keyword_cluster_members": keyword_cluster_members,
     "topic_jaccard": topic_jaccard,
     "agent_daily": _daily,
     "agent_summary": lambda s, d: _stats(L.tasks(s, d)),
@@ -142,6 +150,7 @@ ORACLES = {
     "resolved_sources": _t("SELECT topic_id, ref, role, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY role, score IS NULL OR score = 0, score DESC NULLS LAST, ref) AS INTEGER) AS place, CASE WHEN length(username) > 0 THEN 'https://t.me/' || username || '/' || id WHEN regexp_matches(r.channel_id, '^[A-Za-z0-9_]{5,}$') THEN 'https://t.me/' || r.channel_id || '/' || id END AS url FROM items LEFT JOIN raw r ON r.source_ref = ref LEFT JOIN sources s ON s.channel_id = r.channel_id", "proposals", "sources", **RANKED),
     "card_bundle": _t("SELECT topic_id, passed, items FROM gate LEFT JOIN (SELECT topic_id, count(*) AS items FROM bundle GROUP BY 1) USING (topic_id)", "proposals", **RANKED),
     "keyword_clusters": _t("SELECT topic, count(*) AS n, string_agg(sample, '|' ORDER BY doc_id) FILTER (rn <= 3) AS samples, min(source_ref) AS first_ref FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS rn FROM (SELECT doc_id, source_ref, substr(text, 1, 100) AS sample, unnest(list_distinct(topics)) AS topic FROM syn)) GROUP BY topic HAVING count(*) >= 2 ORDER BY n DESC, topic LIMIT 10", "raw", syn=SYN),
+    "keyword_cluster_members": _t("SELECT topic, n, doc_id, source_ref FROM members JOIN (SELECT topic, count(*) AS n FROM members GROUP BY topic HAVING count(*) >= 2 ORDER BY n DESC, topic LIMIT 10) USING (topic)", "raw", syn=SYN, members="SELECT doc_id, source_ref, unnest(list_distinct(topics)) AS topic FROM syn"),
     "topic_jaccard": _t("SELECT doc_id, round(len(list_intersect(topics, b)) / len(list_distinct(topics || b)), 6) AS jaccard, array_to_string(list_sort(list_filter(topics, lambda x: NOT list_contains(b, x))), ',') AS only_a FROM (SELECT *, ['mod_' || (doc_id % 5), 'lang_en'] AS b FROM syn)", "raw", syn=SYN),
     "agent_daily": _t(DAILY),
     "agent_summary": _t(f"SELECT {STATS}"),

@@ -32,6 +32,15 @@ def test_oracle(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(rel.fetchall(), rel.columns)
 
 
+def test_clusters_have_all_their_members(spark):
+    clusters = {r.topic: r for r in catalogue.QUERIES["keyword_clusters"](spark, D).collect()}
+    members = {}
+    for r in catalogue.QUERIES["keyword_cluster_members"](spark, D).collect():
+        assert r.n == clusters[r.topic].n
+        members.setdefault(r.topic, set()).add(r.source_ref)
+    assert {t: (len(m), min(m)) for t, m in members.items()} == {t: (r.n, r.first_ref) for t, r in clusters.items()}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
