@@ -1,7 +1,8 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
 
 The base patterns find seeds.  The words before a seed are a lexical pattern; the same words before another word that has a
-digit or an at sign make that word an instance of the pattern.  Patterns and instances form a bipartite graph for each
+digit or an at sign make that word an instance of the pattern.  In a pattern such a word stands as its class, and the start
+of the text counts as words, so each of them has a pattern; the words of one base span count as one.  Patterns and instances form a bipartite graph for each
 kind, on which scores are passed to and fro: a pattern is as good as its instances are, an instance as its best pattern.
 Words that patterns of high confidence bring in are added as spans.
 
@@ -26,6 +27,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Words of context, rounds of scoring, distinct seeds that a pattern needs, and confidence from which it brings in others.
 CONTEXT, ROUNDS, SUPPORT, CONFIDENCE = 2, 4, 5, 0.8
+#: What stands in a context for a word with an at sign, for one with a digit, and for the start of the text: never words.
+AT, NUMBER, START = "<@>", "<0>", ""
 
 SPANS = "array<struct<s:int,e:int,m:string,gap:string>>"
 
@@ -71,10 +74,24 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"email": located(text, EMAIL, F.contains(text, F.lit("@"))), "ip": ip, "card": card, "phone": phone}
 
 
-def _context(gap: Column) -> Column:
-    """The last words of a gap in lower case with single spaces; null unless there are CONTEXT of them."""
-    words = F.filter(F.split(F.lower(gap), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    return F.when(F.size(words) == CONTEXT, F.array_join(words, " "))
+def contexts(candidates: Column, base: Column) -> Column:
+    """s, e, m and pattern (the CONTEXT words before, joined) of each candidate but those inside a base span that began earlier."""
+    empty = F.array().cast("array<struct<s:int,e:int,m:string,pattern:string>>")
+    start = F.struct(F.array(*[F.lit(START)] * CONTEXT).alias("before"), empty.alias("out"))
+    last = lambda words: F.slice(words, -CONTEXT, CONTEXT)
+
+    def add(acc: Column, c: Column) -> Column:
+        words = F.filter(F.split(F.lower(c.getField("gap")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+        name = F.when(F.contains(c.getField("m"), F.lit("@")), AT).otherwise(NUMBER)
+
+        def step(before: Column) -> Column:
+            one = F.struct(c.getField("s").alias("s"), c.getField("e").alias("e"), c.getField("m").alias("m"), F.array_join(before, " ").alias("pattern"))
+            return F.struct(last(F.concat(before, F.array(name))).alias("before"), F.concat(acc.getField("out"), F.array(one)).alias("out"))
+
+        inside = F.exists(base, lambda b: (b.getField("s") < c.getField("s")) & (b.getField("e") > c.getField("s")))
+        return F.when(inside, acc).otherwise(let(last(F.concat(acc.getField("before"), words)), step))
+
+    return F.aggregate(candidates, start, add, lambda acc: acc.getField("out"))
 
 
 def score(edges: DataFrame, rounds: int, support: int) -> DataFrame:
@@ -113,9 +130,11 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     tagged = F.flatten(F.array(*[F.transform(F.col(k), tag(n)) for n, k in enumerate(KINDS)]))
     narrow = narrow.select("doc_id", "th", F.array_sort(tagged).alias("base"), "candidates")
 
-    words = narrow.select("doc_id", "th", "base", F.explode("candidates").alias("c")).withColumn("pattern", _context(F.col("c.gap"))).where("pattern is not null")
+    words = narrow.select("doc_id", "th", "base", F.explode(contexts(F.col("candidates"), F.col("base"))).alias("c"))
     own = F.filter("base", lambda b: (b.getField("s") < F.col("c.e")) & (b.getField("e") > F.col("c.s")))
-    words = words.withColumn("kind", F.try_element_at(own, F.lit(1)).getField("kind")).select("doc_id", "th", "pattern", F.lower("c.m").alias("instance"), "kind", F.col("c.s").alias("s"), F.col("c.e").alias("e"))
+    words = words.withColumn("own", F.try_element_at(own, F.lit(1)))
+    whole = F.when(F.col("own.e") > F.col("c.e"), F.col("own.m")).otherwise(F.col("c.m"))  # not just the first word of a phone number
+    words = words.select("doc_id", "th", F.col("c.pattern").alias("pattern"), F.lower(whole).alias("instance"), F.col("own.kind").alias("kind"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
     good = score(words, rounds, support).where(F.col("confidence") >= confidence).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("as_kind"))
     fresh = words.where("kind is null").join(good, "pattern")
     added = fresh.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("s", F.col("as_kind").alias("kind"), "e"))).alias("added"))

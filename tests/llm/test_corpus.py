@@ -209,6 +209,15 @@ def test_pii_discovers(spark):
     assert got[9].base == [] and [x.kind for x in got[10].base] == [3, 1]
 
 
+def test_pii_context_does_not_end_at_another_identifier(spark):
+    rows = [(i, f"a{i}@x.com, phone +1 (743) 555-38{i:02d} is it") for i in range(12)] + [(20, "b@x.com, phone 5551234 is it"), (21, "so c9 or"), (22, "in 12 34 56 555-3824")]
+    rows += [(30 + i, f"mail u{i}@y.org") for i in range(12)] + [(50, "mail v77"), (51, "so mail v77")]
+    got = {r.doc_id: [tuple(x) for x in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == [(15, 3, 22)] and got[50] == [(5, 0, 8)]
+    # The words of a phone number are no pattern for numbers in a list, nor is the start of a text left out of a pattern.
+    assert got[22] == [] and got[51] == []
+
+
 def test_revisits(spark):
     h = "map<string,string>"
     rows = [(1, "http://WWW.a.com/x/?b=2&a=1#f", 10, False, {"etag": "W/q", "date": "1", "content-type": "t"}, "d1"), (2, "https://a.com/x?a=1&b=2&utm_source=z", 20, True, {"etag": "q", "date": "2", "content-type": "no"}, None), (3, "a.com/x?a=1&b=2", 5, True, None, None), (4, "a.com/x?a=1&b=2", 300000, True, {"etag": "other"}, "d1"), (5, None, 1, True, None, "d1")]
