@@ -209,6 +209,34 @@ def test_pii_discovers(spark):
     assert got[9].base == [] and [x.kind for x in got[10].base] == [3, 1]
 
 
+def plain_spans(t):
+    """(s, kind, e) by the base patterns in their plain form, without possessive quantifiers, lookbehind and \\G."""
+    def luhn(n):
+        of = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(n))))
+        return 12 <= len(n) <= 19 and of % 10 == 0
+
+    forms = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True), (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", lambda m: all(int(p) <= 255 for p in m.split("."))), (r"[0-9](?:[ -]?[0-9])+", lambda m: luhn(re.sub("[^0-9]", "", m))), (r"\+[0-9][ ().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15)]
+    return sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(forms) for m in re.finditer(p, t or "") if good(m[0]))
+
+
+def test_pii_base_spans_are_those_of_the_plain_patterns(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    odd = ["a@b.c@d.e", "a@b.c,x@y.z", "a@b", "@b.c", "a@b..c", "a@b.c.", "%@-.-", "a@b.cd@e.f.g@h", "1.2.3.4.5.6.7.8", "1.2.3.4.", "256.1.1.1", "000001.002.3.0255", "1.2.3.99999999999999999999", "..1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111111", "0000000000000000", "4" * 12, "1" * 400, "0" * 19, "0" * 20, "1-" * 40, "+1 (743) 555-3824", "+1+2 34567890", "+1 2 3", "++12345678901", "+12345678901234567", "+1 23456789 +1 98765432", "é4111111111111111é", "😀 a@b.c 1.2.3.4", "x1@y.z1.2.3.4"]
+    letters = list("01259a@..+- ()%\n")
+    texts = odd + ["".join(rng.choice(letters, int(rng.integers(1, 60)))) for _ in range(1500)]
+    small = [(r.doc_id, r.text) for r in spark.read.parquet(DOCS).collect()]
+    rows = small + [(10000 + i, t) for i, t in enumerate(texts)] + [(None, None), (99999, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        want = plain_spans(t)
+        assert [got[d][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == n for x in want) for n in range(4)], t
+        assert got[d].base_sha256 == sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want).encode()), t
+        listed = got[d].spans.split(",") if got[d].spans else []
+        assert {f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want} <= set(listed) and len(listed) == len(want) + got[d].n_added
+
+
 def test_pii_context_does_not_end_at_another_identifier(spark):
     rows = [(i, f"a{i}@x.com, phone +1 (743) 555-38{i:02d} is it") for i in range(12)] + [(20, "b@x.com, phone 5551234 is it"), (21, "so c9 or"), (22, "in 12 34 56 555-3824")]
     rows += [(30 + i, f"mail u{i}@y.org") for i in range(12)] + [(50, "mail v77"), (51, "so mail v77")]
