@@ -45,3 +45,10 @@ def resolved_order(items: DataFrame) -> DataFrame:
     missing = F.col("score").isNull() | (F.col("score") == 0)
     order = Window.partitionBy("topic_id").orderBy("role", missing, F.desc("score"), "ref")
     return items.select("topic_id", "ref", "role", "score", F.row_number().over(order).cast("int").alias("place"))
+
+
+def kb_entries(cards: DataFrame) -> DataFrame:
+    """Cards as knowledge-base entries: the summary with both scopes as content, the card's id as its only topic, no tags for null."""
+    scope = lambda name: F.coalesce(F.array_join(name, ", "), F.lit(""))
+    content = F.concat("summary", F.lit("\n\n**Scope In:** "), scope("scope_in"), F.lit("\n**Scope Out:** "), scope("scope_out"))
+    return cards.select(F.concat(F.lit("kb:topic:"), "topic_id").alias("kb_id"), F.lit("topic").alias("source_type"), "topic_id", F.col("updated_at").alias("created_at"), "title", content.alias("content"), F.array("topic_id").alias("topics"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))

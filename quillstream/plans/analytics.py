@@ -41,6 +41,19 @@ def keyword_clusters(s, d, least=2, most=10):
     return g.where(C("n") >= least).orderBy(F.desc("n"), "topic").limit(most)
 
 
+def _cards(s, d):
+    """Cards of the topics that pass, with what the model would write made from the anchors."""
+    r = _ranked(s, d)
+    last = r.groupBy("channel_id", "topic_seq").agg(F.max("pos").alias("last"))
+    c = topics.gate(r).where("passed").join(last, ["channel_id", "topic_seq"])
+    return c.selectExpr("topic_id", "'Untitled Topic' AS title", "concat(type, ' of ', anchors) AS summary", "array(type, channel_id) AS scope_in", "filter(array(CASE WHEN topic_seq > 0 THEN 'singleton' END), x -> x IS NOT NULL) AS scope_out", "CASE WHEN topic_seq % 2 = 0 THEN array(type, 'even') END AS tags", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(last AS int), 0) AS updated_at")
+
+
+def kb_topics(s, d):
+    """Topic cards as knowledge-base entries; the table of their sources is resolved_sources, by topic_id."""
+    return topics.kb_entries(_cards(s, d)).withColumns({c: F.array_join(c, ",") for c in ("topics", "tags")})
+
+
 def keyword_cluster_members(s, d, least=2, most=10):
     """Every document of the topics of keyword_clusters, a row each; the order within a topic is that of doc_id."""
     e = _synthetic_topics(s, d).select("doc_id", "source_ref", F.explode(F.array_distinct("topics")).alias("topic"))
@@ -89,6 +102,7 @@ QUERIES = {
     "topic_bundles": lambda s, d: topics.bundle_items(_ranked(s, d), L.proposals(s, d)),
     "resolved_sources": resolved_sources,
     "card_bundle": lambda s, d: topics.gate(_ranked(s, d)).select("topic_id", "passed").join(topics.bundle_items(_ranked(s, d), L.proposals(s, d)).groupBy("topic_id").agg(F.count("*").alias("items")), "topic_id", "left"),
+    "kb_topics": kb_topics,
     "keyword_clusters": keyword_clusters,
     "keyword_cluster_members": keyword_cluster_members,
     "topic_jaccard": topic_jaccard,
@@ -149,6 +163,7 @@ ORACLES = {
     "topic_bundles": _t("SELECT * FROM bundle", "proposals", **RANKED),
     "resolved_sources": _t("SELECT topic_id, ref, role, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY role, score IS NULL OR score = 0, score DESC NULLS LAST, ref) AS INTEGER) AS place, CASE WHEN length(username) > 0 THEN 'https://t.me/' || username || '/' || id WHEN regexp_matches(r.channel_id, '^[A-Za-z0-9_]{5,}$') THEN 'https://t.me/' || r.channel_id || '/' || id END AS url FROM items LEFT JOIN raw r ON r.source_ref = ref LEFT JOIN sources s ON s.channel_id = r.channel_id", "proposals", "sources", **RANKED),
     "card_bundle": _t("SELECT topic_id, passed, items FROM gate LEFT JOIN (SELECT topic_id, count(*) AS items FROM bundle GROUP BY 1) USING (topic_id)", "proposals", **RANKED),
+    "kb_topics": _t("SELECT 'kb:topic:' || topic_id AS kb_id, 'topic' AS source_type, topic_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(last AS INTEGER)) AS created_at, 'Untitled Topic' AS title, type || ' of ' || anchors || chr(10) || chr(10) || '**Scope In:** ' || type || ', ' || channel_id || chr(10) || '**Scope Out:** ' || CASE WHEN topic_seq > 0 THEN 'singleton' ELSE '' END AS content, topic_id AS topics, CASE WHEN topic_seq % 2 = 0 THEN type || ',even' ELSE '' END AS tags FROM gate JOIN (SELECT channel_id, topic_seq, max(pos) AS last FROM ranked GROUP BY 1, 2) USING (channel_id, topic_seq) WHERE passed", "proposals", **RANKED),
     "keyword_clusters": _t("SELECT topic, count(*) AS n, string_agg(sample, '|' ORDER BY doc_id) FILTER (rn <= 3) AS samples, min(source_ref) AS first_ref FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS rn FROM (SELECT doc_id, source_ref, substr(text, 1, 100) AS sample, unnest(list_distinct(topics)) AS topic FROM syn)) GROUP BY topic HAVING count(*) >= 2 ORDER BY n DESC, topic LIMIT 10", "raw", syn=SYN),
     "keyword_cluster_members": _t("SELECT topic, n, doc_id, source_ref FROM members JOIN (SELECT topic, count(*) AS n FROM members GROUP BY topic HAVING count(*) >= 2 ORDER BY n DESC, topic LIMIT 10) USING (topic)", "raw", syn=SYN, members="SELECT doc_id, source_ref, unnest(list_distinct(topics)) AS topic FROM syn"),
     "topic_jaccard": _t("SELECT doc_id, round(len(list_intersect(topics, b)) / len(list_distinct(topics || b)), 6) AS jaccard, array_to_string(list_sort(list_filter(topics, lambda x: NOT list_contains(b, x))), ',') AS only_a FROM (SELECT *, ['mod_' || (doc_id % 5), 'lang_en'] AS b FROM syn)", "raw", syn=SYN),

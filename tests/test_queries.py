@@ -41,6 +41,14 @@ def test_clusters_have_all_their_members(spark):
     assert {t: (len(m), min(m)) for t, m in members.items()} == {t: (r.n, r.first_ref) for t, r in clusters.items()}
 
 
+def test_topic_as_entry(spark):
+    from quillstream.operators import topics
+
+    card = spark.sql("SELECT 'topic:r' AS topic_id, 'T' AS title, 's' AS summary, array('a', 'b') AS scope_in, array('c') AS scope_out, cast(null AS array<string>) AS tags, timestamp_ntz'2024-01-02 00:00:00' AS updated_at")
+    r = topics.kb_entries(card).first()
+    assert (r.kb_id, r.title, r.content, r.topics, r.tags) == ("kb:topic:topic:r", "T", "s\n\n**Scope In:** a, b\n**Scope Out:** c", ["topic:r"], [])
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
