@@ -1,15 +1,16 @@
 """Line dedup by an exact set-similarity join.
 
 The tokens of a line are its distinct words, rarest first; rarity is the frequency of the word's slot in a table of fixed
-size, which any number of documents fits.  Lines of equal token sets form a class.  Two sets with a Jaccard similarity of
-t or more share one of their first `n - ceil(t n) + 1` tokens, so these are the keys of the join:
-
-1. Python tasks deal (token, place, size, class, bitmap) rows to token buckets as packed columns.  In a bucket, pairs of one
-   token are cut by length, by place (what may still follow in both sets) and by bitmap.  What goes on are not the pairs but
-   the classes that have any, each with the tokens at which it has an earlier one.
-2. Token sets of those classes alone are fetched, and verified in groups of one token.  A class needs just one
-   earlier class that it resembles, so each is verified first at a single token, and only those without success at all.
-3. A line goes if its class, or one that resembles it, occurs earlier.
+size, which any number of documents fits.  Lines of equal word sequences form a class.  Two sets with a Jaccard similarity
+of t or more share one of their first `n - ceil(t n) + 1` tokens, so these are the keys of the join:
+
+1. A survey of the texts writes the class of each line and counts slots.
+2. Python tasks deal (token, class, size, place, bitmap) keys to token buckets as packed columns.  In a bucket, pairs of one
+   token are cut by size, by place and by bitmap: at the first token in common, whatever two sets share lies from there
+   on in both.  What goes on are not the pairs but the classes that have any, with the tokens at which they do.
+3. Token sets of those classes alone are fetched.  A class needs just one earlier class that it resembles, so each asks
+   first at one token, in its own chunk of it; what finds nothing there asks at all its tokens, in all chunks.
+4. A line goes if its class, or one that resembles it, occurs earlier.
 """
 
 from __future__ import annotations
@@ -28,162 +29,179 @@ from quillstream.llm.common import materialize, table
 from quillstream.llm.repeats import keyed, same_doc
 
 PERCENT = 80
-#: Slots of the frequency table, and slices in which tasks add up to it.
-SLOTS, SLICES = 1 << 18, 16
-#: Bits of a token, and lines in a block: both fit one word.
-TOKEN, LINES = np.uint64((1 << 48) - 1), 1 << 16
+#: Bits of a slot of the frequency table, and slices in which tasks add up to it.
+SLOT_BITS, SLICES = 18, 16
+SLOTS, REST = 1 << SLOT_BITS, np.uint64((1 << (64 - SLOT_BITS)) - 1)
+#: Words in a slot from which its tokens are split by the size of the line as well.
+HOT = 1 << 20
 #: Pairs that are looked at at once, classes in a verifying group, and about so many rows of keys for a bucket.
 PAIRS, CHUNK, BUCKET_ROWS = 1 << 20, 1024, 100_000
+#: Neighbours by size with which a key is compared before all others are.
+NEAR = 4
 
-CLASS = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.LongType())]
 
+def lines(raw: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of lines that have a word: text, line, where the line's words begin (and the last one's end), words, class.
 
-def line_sets(raw: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of lines that have a word: text, line, where the line's tokens begin (and the last one's end), tokens.
-
-    A token is a 48-bit hash of a word; those of a line are distinct and sorted.
+    A word is a 64-bit hash, and so is the class, of the sequence of words.
     """
     lo = 0
     while lo < len(edge) - 1:
         hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + anchors.BLOCK, side="right")) - 1)
         own, at = raw[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo]
         start, end, owner = anchors.words(own, at)
-        hashes = anchors.word_hashes(own, start, end) >> np.uint64(16)
-        breaks = np.flatnonzero(own == 10)
-        line = np.searchsorted(breaks, start) - np.searchsorted(breaks, at[:-1])[owner]
-        cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])))) if len(hashes) else np.empty(0, dtype=np.int64)
-        for k in range(0, len(cut), LINES):
-            c = cut[k : k + LINES]
-            stop = cut[k + LINES] if k + LINES < len(cut) else len(hashes)
-            group = np.repeat(np.arange(len(c), dtype=np.uint64), np.diff(np.append(c, stop)))
-            packed = np.sort(group << np.uint64(48) | hashes[c[0] : stop])
-            packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
-            bounds = np.searchsorted(packed, np.arange(len(c) + 1, dtype=np.uint64) << np.uint64(48)) if len(c) < LINES else np.append(np.searchsorted(packed, np.arange(len(c), dtype=np.uint64) << np.uint64(48)), len(packed))
-            yield lo + owner[c], line[c], bounds, packed & TOKEN
+        if len(start):
+            hashes = anchors.word_hashes(own, start, end)
+            breaks = np.flatnonzero(own == 10)
+            line = np.searchsorted(breaks, start) - np.searchsorted(breaks, at[:-1])[owner]
+            cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]))))
+            bounds = np.append(cut, len(hashes))
+            sums = anchors.prefix_sums(hashes, "segment")
+            yield lo + owner[cut], line[cut], bounds, hashes, anchors.ranges_hash(sums, bounds[:-1], bounds[1:], "segment").view(np.int64)
         lo = hi
 
 
-def slot(tokens: np.ndarray) -> np.ndarray:
-    """The first 18 bits of a token."""
-    return (tokens >> np.uint64(30)).astype(np.int64)
+def distinct(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of each line, and where each line's begin."""
+    n = len(bounds) - 1
+    line = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int64), np.diff(bounds))
+    order = np.argsort(values)
+    order = order[np.argsort(line[order], kind="stable")]
+    values, line = values[order], line[order]
+    first = np.concatenate(([True], (values[1:] != values[:-1]) | (line[1:] != line[:-1])))
+    values, line = values[first], line[first]
+    return np.searchsorted(line, np.arange(n + 1)), values
 
 
-def digests(bounds: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each line's set."""
-    a = np.add.reduceat(anchors.mix(tokens + np.uint64(1)), bounds[:-1])
-    b = np.add.reduceat(anchors.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1])
-    return a.view(np.int64), b.view(np.int64)
+def slot(tokens: np.ndarray) -> np.ndarray:
+    """The first bits of a token."""
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Lines with a word of each slot: SLOTS numbers, however long the table is."""
+def _survey(docs: DataFrame) -> DataFrame:
+    """doc_id, th, line, its class q and words n for each line with a word; then the task's counts of slots, a row a slice k."""
+    fields = [docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("q", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("sums", T.BinaryType())]
+    schema, kinds = T.StructType(fields), (pa.int32(), pa.int64(), pa.int32())
     width = SLOTS // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SLOTS, dtype=np.int64)
+        ids = None
         for batch in batches:
-            for *_, tokens in line_sets(*anchors.utf8(batch.column("text"))):
-                sums += np.bincount(slot(tokens), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([sums[k * width : (k + 1) * width].tobytes() for k in range(SLICES)])], names=["k", "sums"])
+            ids = batch.column("doc_id").type
+            for text, line, bounds, words, q in lines(*anchors.utf8(batch.column("text"))):
+                sums += np.bincount(slot(words), minlength=SLOTS)
+                row = pa.array(text)
+                own = [pa.array(x).cast(t) for x, t in zip((line, q, np.diff(bounds)), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *own, pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())], names=schema.names)
+        if ids is not None:
+            counts = pa.array([sums[k * width : (k + 1) * width].tobytes() for k in range(SLICES)])
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, ids), pa.nulls(SLICES, pa.int64()), *(pa.nulls(SLICES, t) for t in kinds), pa.array(range(SLICES), pa.int32()), counts], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
 
+def _frequencies(survey: DataFrame) -> np.ndarray:
+    """Words of each slot: SLOTS numbers, however long the table is."""
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, dtype=np.int64) for x in group["sums"]], axis=0)
         return pd.DataFrame({"k": [int(group["k"].iloc[0])], "sums": [total.tobytes()]})
 
-    rows = docs.select("text").mapInArrow(count, "k long, sums binary").groupBy("k").applyInPandas(add, "k long, sums binary").collect()
-    out = np.zeros(SLOTS, dtype=np.int64)
-    for k, sums in rows:
+    width, out = SLOTS // SLICES, np.zeros(SLOTS, dtype=np.int64)
+    for k, sums in survey.where("k is not null").select("k", "sums").groupBy("k").applyInPandas(add, "k int, sums binary").collect():
         out[k * width : (k + 1) * width] = np.frombuffer(sums, dtype=np.int64)
     return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line and the class h1, h2, n of each line with a word of keyed docs."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("line", T.LongType()), *CLASS])
+#: The packed columns of a key: a short name of its token, the line's class, size, the token's place, a bitmap.
+KEY = (("tag", np.uint32), ("q", np.int64), ("n", np.int32), ("place", np.int32), ("bits", np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, line, bounds, tokens in line_sets(*anchors.utf8(batch.column("text"))):
-                row = pa.array(text)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(line), *(pa.array(h) for h in digests(bounds, tokens)), pa.array(np.diff(bounds))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+def prefix(bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each line's prefix, and the line of each."""
+    n = np.diff(bounds)
+    length = n - (percent * n + 99) // 100 + 1
+    line = np.repeat(np.arange(len(n)), length)
+    return bounds[:-1][line] + np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length), line
 
 
-#: A key of the join: a token, its place in the line, the line's tokens and class, and a bitmap of them.
-KEY = np.dtype([("token", "<u8"), ("place", "<i4"), ("n", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("bits", "<u8")])
-
-
-def _keys(docs: DataFrame, rarity, percent: int, buckets: int) -> DataFrame:
+def _keys(docs: DataFrame, table, percent: int, buckets: int) -> DataFrame:
     """(bucket, packed keys): the prefix of every line of the texts, each class once in a batch."""
-    low = np.uint64((1 << 30) - 1)
+    limit = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # slots by frequency, and the place of each in that order: a total order of tokens is (place of the slot, token)
-        by_rank = np.argsort(rarity.value, kind="stable").astype(np.uint64)
+        frequency = table.value
         rank = np.empty(SLOTS, dtype=np.uint64)
-        rank[by_rank.astype(np.int64)] = np.arange(SLOTS, dtype=np.uint64)
+        rank[np.argsort(frequency, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
         for batch in batches:
             parts = []
-            for _, _, bounds, tokens in line_sets(*anchors.utf8(batch.column("text"))):
-                h1, h2 = digests(bounds, tokens)
-                n = np.diff(bounds)
-                line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            for _, _, bounds, words, q in lines(*anchors.utf8(batch.column("text"))):
+                # the rank of the slot before the rest of the token: rarest first, and still one number for each token
+                bounds, tokens = distinct(bounds, rank[slot(words)] << np.uint64(64 - SLOT_BITS) | (words & REST))
                 bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), tokens & np.uint64(63)), bounds[:-1])
-                packed = np.sort(line << np.uint64(48) | rank[slot(tokens)] << np.uint64(30) | (tokens & low))
-                place = np.arange(len(packed)) - np.repeat(bounds[:-1], n)
-                keep = np.flatnonzero(place < np.repeat(n - (percent * n + 99) // 100 + 1, n))
-                own = line[keep].astype(np.int64)
-                rows = np.empty(len(keep), dtype=KEY)
-                rows["token"] = by_rank[slot(packed[keep] & TOKEN)] << np.uint64(30) | (packed[keep] & low)
-                rows["place"], rows["n"], rows["h1"], rows["h2"], rows["bits"] = place[keep], n[own], h1[own], h2[own], bits[own]
-                parts.append(rows)
+                at, line = prefix(bounds, percent)
+                parts.append((tokens[at], q[line], np.diff(bounds)[line], at - bounds[:-1][line], bits[line]))
             if not parts:
                 continue
-            rows = np.concatenate(parts)
-            _, first = np.unique(rows["token"] ^ rows["h1"].view(np.uint64), return_index=True)  # a line that the batch has again
-            rows = rows[first]
-            bucket = (anchors.mix(rows["token"].copy()) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
+            token, q, n, place, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, once = np.unique(anchors.mix(token) ^ q.view(np.uint64), return_index=True)  # a line that the batch has again
+            token, q, n, place, bits = (x[once] for x in (token, q, n, place, bits))
+            # sizes of resembling lines are in the same band or in neighbours, so a hot token may be split by them
+            hot = np.sort(frequency)[slot(token)] > limit
+            band = np.where(hot, 1 + np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64), 0)
+            again = np.flatnonzero(hot)
+            band = np.concatenate((band, band[again] + 1)).astype(np.uint64)
+            token, q, n, place, bits = (np.concatenate((x, x[again])) for x in (token, q, n, place, bits))
+            name = anchors.mix(token + band * np.uint64(0x9E3779B97F4A7C15))
+            bucket = (name % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((n, bucket))
+            bucket = bucket[order]
+            columns = {c: x[order].astype(t) for (c, t), x in zip(KEY, (name >> np.uint64(32), q, n, place, bits), strict=True)}
             own, at = np.unique(bucket, return_index=True)
-            at = np.append(at, len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([rows[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], type=pa.binary())], names=["bucket", "keys"])
-
-    return docs.select("text").mapInArrow(run, "bucket long, keys binary")
-
-
-def _close(keys: np.ndarray, percent: int) -> np.ndarray:
-    """Those keys that have a partner which length, place and bitmap leave."""
-    keys = keys[np.lexsort((keys["h2"], keys["h1"], keys["n"], keys["token"]))]
-    same = (keys["token"][1:] == keys["token"][:-1]) & (keys["h1"][1:] == keys["h1"][:-1]) & (keys["h2"][1:] == keys["h2"][:-1])
-    keys = keys[np.concatenate(([True], ~same))]
-    token, n = keys["token"].copy(), keys["n"].astype(np.int64)
-    place, bits = keys["place"].astype(np.int64), keys["bits"].copy()
-    # the partners of a key that are not shorter: those after it, up to the length that similarity allows
-    number = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
-    stride = int(n.max()) * 100 // percent + 2
-    ends = np.searchsorted(number * stride + n, number * stride + n * 100 // percent, side="right")
-    todo = ends - np.arange(len(keys)) - 1
-    good = np.zeros(len(keys), dtype=bool)
-    live = np.flatnonzero(todo > 0)
-    sums = np.concatenate(([0], np.cumsum(todo[live])))
-    a = 0
-    while a < len(live):
-        b = max(a + 1, int(np.searchsorted(sums, sums[a] + PAIRS, side="right")) - 1)
-        count = todo[live[a:b]]
-        i = np.repeat(live[a:b], count)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.append(at, len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], type=pa.binary()) for x in columns.values())], names=["bucket", *columns])
+
+    return docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c, _ in KEY))
+
+
+def meeting(tag: np.ndarray, q: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tag, q) of those keys that have a partner which size, place and bitmap leave."""
+    order = np.lexsort((place, q, n, tag))
+    tag, q, n, place, bits = (x[order] for x in (tag, q, n.astype(np.int64), place.astype(np.int64), bits))
+    first = np.concatenate(([True], (tag[1:] != tag[:-1]) | (q[1:] != q[:-1])))
+    tag, q, n, place, bits = (x[first] for x in (tag, q, n, place, bits))
+    good = np.zeros(len(tag), dtype=bool)
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
-        keep = most >= need
+        keep = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
         i, j, need = i[keep], j[keep], need[keep]
         x, y = bits[i], bits[j]
         keep = np.minimum(n[i] - np.bitwise_count(x & ~y), n[j] - np.bitwise_count(y & ~x)) >= need
         good[i[keep]] = True
         good[j[keep]] = True
+
+    # the partners of a key are a run around it, by size
+    number = np.cumsum(np.concatenate(([0], tag[1:] != tag[:-1])))
+    stride = int(n.max(initial=0)) * 100 // percent + 2
+    scale = number * stride + n
+    until = np.searchsorted(scale, number * stride + n * 100 // percent, side="right")
+    since = np.searchsorted(scale, number * stride + -(-n * percent // 100), side="left")
+    at = np.arange(len(tag))
+    for k in range(1, NEAR + 1):
+        i = at[at + k < until]
+        look(i, i + k)
+    rest = np.flatnonzero(~good & (until - since > 1))
+    sums = np.concatenate(([0], np.cumsum((until - since)[rest])))
+    a = 0
+    while a < len(rest):
+        b = max(a + 1, int(np.searchsorted(sums, sums[a] + PAIRS, side="right")) - 1)
+        count = (until - since)[rest[a:b]]
+        i = np.repeat(rest[a:b], count)
+        j = np.repeat(since[rest[a:b]], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        look(i[i != j], j[i != j])
         a = b
-    return keys[good]
+    return tag[good], q[good]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -193,39 +211,61 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified(rows: DataFrame, sets: DataFrame, percent: int, ask: DataFrame) -> DataFrame:
-    """The classes of ask (token, h1, h2) that resemble a class of an earlier first line at their token.
+def late(sets: list[np.ndarray], asks: list[bool], percent: int) -> list[int]:
+    """Those sets that ask and resemble an earlier one; those that have resembled none are tried first."""
+    size = np.array([len(s) for s in sets])
+    bits = np.array([np.bitwise_or.reduce(np.left_shift(np.uint64(1), s & np.uint64(63))) for s in sets])
+    alone, out = np.zeros(len(sets), dtype=bool), []
+    for k, ask in enumerate(asks):
+        found = False
+        if ask and k:
+            need = -(-percent * (size[:k] + size[k]) // (100 + percent))
+            fits = np.flatnonzero(np.minimum(size[:k] - np.bitwise_count(bits[:k] & ~bits[k]), size[k] - np.bitwise_count(bits[k] & ~bits[:k])) >= need)
+            found = any(similar(sets[i], sets[k], percent) for i in fits[np.argsort(~alone[fits], kind="stable")])
+        if found:
+            out.append(k)
+        else:
+            alone[k] = True
+    return out
+
 
-    rows (token, h1, h2) are all that meet at tokens.  A token with more than CHUNK of them has a group for each pair of
-    chunks; the others are dealt to groups of about CHUNK rows.
-    """
-    asked = ask.withColumn("asks", F.lit(True))
-    wanted = rows.join(ask.select("token").distinct(), "token").join(asked, ["token", "h1", "h2"], "left")
-    count = wanted.groupBy("token").agg(F.count("*").alias("c"))
-    total = wanted.count()
-    sized = wanted.join(count, "token").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
-    sized = sized.withColumn("side", F.pmod(F.xxhash64("h1", "h2"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cell = F.least("side", "other").cast("long") * F.col("chunks") + F.greatest("side", "other")
+def _verified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The q of those rows (token, chunk, chunks, q, asks) that resemble an earlier one of their token and chunk."""
+    total = rows.count()
     hot = F.col("chunks") > 1
-    dealt = sized.select("token", "h1", "h2", "asks", F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(total // CHUNK + 64))).alias("g1"), F.when(hot, cell).otherwise(F.lit(-1)).alias("g2"))
-    joined = dealt.join(sets, ["h1", "h2"])
+    g1 = F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(total // CHUNK + 64)))
+    joined = rows.select("token", "q", "asks", g1.alias("g1"), F.when(hot, F.col("chunk")).otherwise(F.lit(-1)).alias("g2")).join(sets, "q")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "th", "line"], na_position="first")
-        found: set[tuple[int, int]] = set()
+        found: set[int] = set()
         for _, part in group.groupby("token", sort=False):
+            q = part["q"].tolist()
             own = [np.frombuffer(s, dtype=np.uint64) for s in part["tokens"]]
-            size = np.array([len(s) for s in own])
-            for k, (asks, h1, h2) in enumerate(zip(part["asks"], part["h1"], part["h2"], strict=True)):
-                if asks is not True or (h1, h2) in found:
-                    continue
-                fits = (100 * size[:k] >= percent * size[k]) & (percent * size[:k] <= 100 * size[k])
-                if any(similar(own[i], own[k], percent) for i in np.flatnonzero(fits)):
-                    found.add((h1, h2))
-        return pd.DataFrame(sorted(found), columns=["h1", "h2"])
+            found.update(q[k] for k in late(own, [a and x not in found for a, x in zip(part["asks"], q, strict=True)], percent))
+        return pd.DataFrame({"q": np.array(sorted(found), dtype=np.int64)})
 
-    out = joined.groupBy("g1", "g2").applyInPandas(run, "h1 long, h2 long")
-    return out.distinct()
+    return joined.groupBy("g1", "g2").applyInPandas(run, "q long").distinct()
+
+
+def _resembling(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The q of all rows (token, q) that resemble one of an earlier first line which they meet."""
+    where = F.struct("doc_id", "th", "line")
+    dated = rows.join(sets.select("q", where.alias("first")), "q")
+    count = dated.groupBy("token").agg(F.count("*").alias("c"), F.min("first").alias("earliest"))
+    dated = dated.join(count, "token").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int"))
+    known = materialize(dated.select("token", "q", "c", "chunks", "chunk", (F.col("first") > F.col("earliest")).alias("asks")), "line-meetings")
+    home = known.where("asks").groupBy("q").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
+    place = known.join(home.withColumn("home", F.lit(True)), ["q", "token"], "left").withColumn("asks", F.coalesce("home", F.lit(False)))
+    asked = place.where("asks").select("token", "chunk").distinct()
+    quick = materialize(_verified(place.join(asked, ["token", "chunk"]).select("token", "chunk", "chunks", "q", "asks"), sets, percent), "line-quick")
+    # in the second round rows stay in their chunk, and those that ask go to all chunks of each token but one seen before
+    again = known.where("asks").join(quick, "q", "left_anti").join(home.withColumnRenamed("token", "home"), "q").where("token <> home or chunks > 1")
+    asks = again.select("token", "q", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("chunk").alias("own"))
+    stored = known.select("token", "chunk", "chunks", "q").join(asks.select("token").distinct(), "token")
+    both = stored.withColumn("asks", F.lit(False)).unionByName(asks.select("token", "chunk", "chunks", "q").withColumn("asks", F.lit(True)))
+    merged = both.groupBy("token", "chunk", "chunks", "q").agg(F.max("asks").alias("asks"))
+    return quick.unionByName(_verified(materialize(merged, "line-rest"), sets, percent)).distinct()
 
 
 def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -239,40 +279,35 @@ def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     own = keyed(docs)
     where = F.struct("doc_id", "th", "line")
-    classes = materialize(_lines(own).groupBy("h1", "h2", "n").agg(F.min(where).alias("first")), "line-classes")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    total = classes.agg(F.coalesce(F.sum(prefix), F.lit(0))).first()[0]
-    rarity = spark.sparkContext.broadcast(frequencies(own))
-    keys = _keys(own, rarity, percent, total // BUCKET_ROWS + 1)
+    survey = materialize(_survey(own), "line-survey")
+    counted = survey.where("k is null")
+    classes = counted.groupBy("q").agg(F.min(where).alias("first"), F.max(where).alias("last"))
+    # words bound distinct words, so this is an upper bound of the rows of keys
+    total = counted.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0))).first()[0]
+    frequency = spark.sparkContext.broadcast(_frequencies(survey))
+    keys = _keys(own, frequency, percent, total // BUCKET_ROWS + 1)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        keys = _close(np.frombuffer(b"".join(group["keys"]), dtype=KEY), percent)
-        return pd.DataFrame({c: keys[c].astype(np.int64) for c in ("token", "h1", "h2")})
-
-    rows = materialize(keys.groupBy("bucket").applyInPandas(meet, "token long, h1 long, h2 long"), "line-rows")
-    wanted = rows.select("h1", "h2").distinct().join(classes.drop("n"), ["h1", "h2"])
-    sets = materialize(_fetch(wanted.select("h1", "h2", "first.*"), own), "line-sets")
-    # a class asks at the tokens where an earlier one is: first at the one where fewest meet, at all of them only if it
-    # finds nothing there
-    ranked = rows.join(wanted, ["h1", "h2"])
-    earliest = ranked.groupBy("token").agg(F.count("*").alias("c"), F.min("first").alias("earliest"))
-    asks = materialize(ranked.join(earliest, "token").where(F.col("first") > F.col("earliest")).select("token", "h1", "h2", "c"), "line-asks")
-    once = asks.groupBy("h1", "h2").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
-    quick = materialize(_verified(rows, sets, percent, once), "line-quick")
-    rest = materialize(asks.drop("c").join(quick, ["h1", "h2"], "left_anti"), "line-rest")
-    late = materialize(quick.unionByName(_verified(rows, sets, percent, rest)).distinct().withColumn("late", F.lit(True)), "line-late")
-    verdict = classes.join(late, ["h1", "h2"], "left").select("h1", "h2", F.when(F.col("late").isNull(), F.col("first")).alias("keep"))
-    lines = _lines(own).join(verdict, ["h1", "h2"]).where(F.col("keep").isNull() | ~where.eqNullSafe(F.col("keep")))
-    gone = lines.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")).alias("s")
-    joined = own.alias("d").join(gone, same_doc("d", "s"), "left").select("d.doc_id", "d.text", "s.gone")
+        tag, q = meeting(*(np.frombuffer(b"".join(group[c]), dtype=t) for c, t in KEY), percent)
+        return pd.DataFrame({"token": int(group["bucket"].iloc[0]) << 32 | tag.astype(np.int64), "q": q})
+
+    rows = materialize(keys.groupBy("bucket").applyInPandas(meet, "token long, q long"), "line-rows")
+    wanted = rows.select("q").distinct().join(classes.select("q", "first"), "q").select("q", "first.*")
+    sets = materialize(_fetch(wanted, own), "line-sets")
+    found = _resembling(rows, sets, percent).withColumn("late", F.lit(True))
+    # the classes of which a line goes: those that resemble an earlier one, whole, and those that occur again, but for the first
+    verdict = classes.join(found, "q", "left").where("late or first <> last").select("q", F.when(F.col("late").isNull(), F.col("first")).alias("keep"))
+    gone = counted.select("doc_id", "th", "line", "q").join(verdict, "q").where(F.col("keep").isNull() | ~where.eqNullSafe(F.col("keep")))
+    by = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")).alias("s")
+    joined = own.alias("d").join(by, same_doc("d", "s"), "left").select("d.doc_id", "d.text", "s.gone")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                lines, drop = text.split("\n"), set(gone or ())
-                out.append((len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop)))
+                own, drop = text.split("\n"), set(gone or ())
+                out.append((len(own), len(drop), "\n".join(x for i, x in enumerate(own) if i not in drop) if drop else text))
             n, m, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(m, type=pa.int64()), pa.array(kept, type=pa.string())], names=schema.names)
 
@@ -280,21 +315,27 @@ def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, th, line and tokens (packed hashes) of classes by their first line."""
+    """q, doc_id, th, line and tokens (packed hashes) of the classes wanted (q, doc_id, th, line)."""
     by = wanted.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines")).alias("w")  # no more than the text has
     joined = docs.alias("d").join(by, same_doc("d", "w")).select("d.doc_id", "d.th", "d.text", "w.lines")
-    schema = T.StructType([*CLASS[:2], docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("line", T.LongType()), T.StructField("tokens", T.BinaryType())])
+    schema = T.StructType([T.StructField("q", T.LongType()), docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [set(x) for x in batch.column("lines").to_pylist()]
-            for text, line, bounds, tokens in line_sets(*anchors.utf8(batch.column("text"))):
-                own = [k for k, (t, x) in enumerate(zip(text.tolist(), line.tolist(), strict=True)) if x in lines[t]]
-                h1, h2 = digests(bounds, tokens)
-                row = pa.array(text[own])
-                yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(h2[own]), batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(line[own]), pa.array([tokens[bounds[k] : bounds[k + 1]].tobytes() for k in own], type=pa.binary())], names=schema.names)
-
-    return joined.mapInArrow(run, schema).dropDuplicates(["h1", "h2"])
+            row, place, text = [], [], []
+            for k, (whole, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True)):
+                every = whole.split("\n")
+                row += [k] * len(own)
+                place += own
+                text += [every[i] for i in own]
+            row, place = np.array(row, dtype=np.int64), np.array(place, dtype=np.int32)
+            for at, _, bounds, words, q in lines(*anchors.utf8(pa.array(text, type=pa.large_string()))):
+                bounds, tokens = distinct(bounds, words)
+                own = pa.array(row[at])
+                packed = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(place[at]), pa.array(packed, type=pa.binary())], names=schema.names)
+
+    return joined.mapInArrow(run, schema).dropDuplicates(["q"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

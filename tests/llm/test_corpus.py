@@ -81,7 +81,10 @@ def test_substring_dedup(docs, rows):
     assert {r.doc_id: (r.n_words, r.n_removed, sha(bytes(r.kept))) for r in automata.remove(docs).collect()} == want
 
 
-def test_line_dedup(docs, rows):
+@pytest.mark.parametrize("chunk,hot", [(line_dedup.CHUNK, line_dedup.HOT), (2, 0)])
+def test_line_dedup(docs, rows, monkeypatch, chunk, hot):
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     first, want = [], {}
     for d, t, _ in sorted(rows, key=key):
         kept, gone, lines = [], 0, (t or "").split("\n")
@@ -96,6 +99,33 @@ def test_line_dedup(docs, rows):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.remove(docs).collect()} == want
 
 
+def test_resembling_lines_meet():
+    rng, seen = np.random.default_rng(9), 0
+    words = [rng.integers(0, 1 << 64, 400, dtype=np.uint64) for _ in range(30)]
+    lines = []
+    for w in words:
+        for _ in range(6):
+            n = int(rng.integers(1, 60))
+            own = w[:n][rng.random(n) > 0.08]
+            lines.append(np.concatenate((own, rng.choice(w, int(rng.integers(0, 4))), w[:1])))
+    bounds, tokens = line_dedup.distinct(np.concatenate(([0], np.cumsum([len(x) for x in lines]))), np.concatenate(lines))
+    sets = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert [sorted(set(x.tolist())) for x in lines] == [x.tolist() for x in sets]
+    at, line = line_dedup.prefix(bounds, 80)
+    bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63))) for s in sets])
+    tag, q = line_dedup.meeting(tokens[at].astype(np.uint32), line, np.diff(bounds)[line], at - bounds[:-1][line], bits[line], 80)
+    met = {}
+    for t, k in zip(tag.tolist(), q.tolist()):
+        met.setdefault(k, set()).add(t)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if line_dedup.similar(a, sets[j], 80):
+                seen += 1
+                assert met.get(i, set()) & met.get(j, set())
+    assert seen > 300
+    assert line_dedup.late(sets, [True] * len(sets), 80) == [i for i, a in enumerate(sets) if any(line_dedup.similar(a, b, 80) for b in sets[:i])]
+
+
 def groups(rows, words, percent):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
