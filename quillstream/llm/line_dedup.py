@@ -113,8 +113,15 @@ def _frequencies(survey: DataFrame) -> np.ndarray:
     return out
 
 
-#: The packed columns of a key: a short name of its token, the line's class, size, the token's place, a bitmap.
-KEY = (("tag", np.uint32), ("q", np.int64), ("n", np.int32), ("place", np.int32), ("bits", np.uint64))
+#: The packed columns of a key: a short name of its token, the line's class, size, the token's place, a bitmap of two words.
+KEY = (("tag", np.uint32), ("q", np.int64), ("n", np.int32), ("place", np.int32), ("low", np.uint64), ("high", np.uint64))
+
+
+def bitmaps(bounds: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each line, as two words: bit `token % 128` of every token."""
+    bit = np.left_shift(np.uint64(1), tokens & np.uint64(63))
+    upper = (tokens & np.uint64(64)).astype(bool)
+    return np.bitwise_or.reduceat(np.where(upper, np.uint64(0), bit), bounds[:-1]), np.bitwise_or.reduceat(np.where(upper, bit, np.uint64(0)), bounds[:-1])
 
 
 def prefix(bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,25 +145,25 @@ def _keys(docs: DataFrame, table, percent: int, buckets: int) -> DataFrame:
             for _, _, bounds, words, q in lines(*anchors.utf8(batch.column("text"))):
                 # the rank of the slot before the rest of the token: rarest first, and still one number for each token
                 bounds, tokens = distinct(bounds, rank[slot(words)] << np.uint64(64 - SLOT_BITS) | (words & REST))
-                bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), tokens & np.uint64(63)), bounds[:-1])
                 at, line = prefix(bounds, percent)
-                parts.append((tokens[at], q[line], np.diff(bounds)[line], at - bounds[:-1][line], bits[line]))
+                parts.append((tokens[at], q[line], np.diff(bounds)[line], at - bounds[:-1][line], *(x[line] for x in bitmaps(bounds, tokens))))
             if not parts:
                 continue
-            token, q, n, place, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            token, q, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, once = np.unique(anchors.mix(token) ^ q.view(np.uint64), return_index=True)  # a line that the batch has again
-            token, q, n, place, bits = (x[once] for x in (token, q, n, place, bits))
+            token, q, *rest = (x[once] for x in (token, q, *rest))
+            n = rest[0]
             # sizes of resembling lines are in the same band or in neighbours, so a hot token may be split by them
             hot = np.sort(frequency)[slot(token)] > limit
             band = np.where(hot, 1 + np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64), 0)
             again = np.flatnonzero(hot)
             band = np.concatenate((band, band[again] + 1)).astype(np.uint64)
-            token, q, n, place, bits = (np.concatenate((x, x[again])) for x in (token, q, n, place, bits))
+            token, q, *rest = (np.concatenate((x, x[again])) for x in (token, q, *rest))
             name = anchors.mix(token + band * np.uint64(0x9E3779B97F4A7C15))
             bucket = (name % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((n, bucket))
+            order = np.lexsort((rest[0], bucket))
             bucket = bucket[order]
-            columns = {c: x[order].astype(t) for (c, t), x in zip(KEY, (name >> np.uint64(32), q, n, place, bits), strict=True)}
+            columns = {c: x[order].astype(t) for (c, t), x in zip(KEY, (name >> np.uint64(32), q, *rest), strict=True)}
             own, at = np.unique(bucket, return_index=True)
             at = np.append(at, len(bucket))
             yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], type=pa.binary()) for x in columns.values())], names=["bucket", *columns])
@@ -164,20 +171,20 @@ def _keys(docs: DataFrame, table, percent: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c, _ in KEY))
 
 
-def meeting(tag: np.ndarray, q: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def meeting(tag: np.ndarray, q: np.ndarray, n: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(tag, q) of those keys that have a partner which size, place and bitmap leave."""
     order = np.lexsort((place, q, n, tag))
-    tag, q, n, place, bits = (x[order] for x in (tag, q, n.astype(np.int64), place.astype(np.int64), bits))
+    tag, q, n, place, low, high = (x[order] for x in (tag, q, n.astype(np.int64), place.astype(np.int64), low, high))
     first = np.concatenate(([True], (tag[1:] != tag[:-1]) | (q[1:] != q[:-1])))
-    tag, q, n, place, bits = (x[first] for x in (tag, q, n, place, bits))
+    tag, q, n, place, low, high = (x[first] for x in (tag, q, n, place, low, high))
     good = np.zeros(len(tag), dtype=bool)
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         keep = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
         i, j, need = i[keep], j[keep], need[keep]
-        x, y = bits[i], bits[j]
-        keep = np.minimum(n[i] - np.bitwise_count(x & ~y), n[j] - np.bitwise_count(y & ~x)) >= need
+        only = lambda i, j: np.bitwise_count(low[i] & ~low[j]).astype(np.int64) + np.bitwise_count(high[i] & ~high[j])
+        keep = np.minimum(n[i] - only(i, j), n[j] - only(j, i)) >= need
         good[i[keep]] = True
         good[j[keep]] = True
 

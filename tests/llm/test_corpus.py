@@ -112,8 +112,7 @@ def test_resembling_lines_meet():
     sets = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     assert [sorted(set(x.tolist())) for x in lines] == [x.tolist() for x in sets]
     at, line = line_dedup.prefix(bounds, 80)
-    bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63))) for s in sets])
-    tag, q = line_dedup.meeting(tokens[at].astype(np.uint32), line, np.diff(bounds)[line], at - bounds[:-1][line], bits[line], 80)
+    tag, q = line_dedup.meeting(tokens[at].astype(np.uint32), line, np.diff(bounds)[line], at - bounds[:-1][line], *(x[line] for x in line_dedup.bitmaps(bounds, tokens)), 80)
     met = {}
     for t, k in zip(tag.tolist(), q.tolist()):
         met.setdefault(k, set()).add(t)
