@@ -236,12 +236,40 @@ def late(sets: list[np.ndarray], asks: list[bool], percent: int) -> list[int]:
     return out
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (token, chunk, chunks, ...) with a group (g1, g2): a chunk of a hot token, or about CHUNK rows of others."""
+    hot = F.col("chunks") > 1
+    g1 = F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(rows.count() // CHUNK + 64)))
+    return rows.select("*", g1.alias("g1"), F.when(hot, F.col("chunk")).otherwise(F.lit(-1)).alias("g2"))
+
+
+def _possible(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those rows (token, chunk, chunks, q, asks) that ask and may resemble an earlier one of their chunk, or are such an
+    earlier one, by size and bitmap alone."""
+    fields = ["token", "chunk", "chunks", "q", "asks"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["token", "doc_id", "th", "line"], na_position="first")
+        token, asks = group["token"].to_numpy(), group["asks"].to_numpy(dtype=bool)
+        n, low, high = (group[c].to_numpy(dtype=np.int64) for c in ("n", "low", "high"))
+        begin = np.searchsorted(token, token)
+        good, keep = np.zeros(len(group), dtype=bool), np.zeros(len(group), dtype=bool)
+        for k in np.flatnonzero(asks & (begin < np.arange(len(group)))):
+            before = slice(begin[k], k)
+            only = lambda a, b: np.bitwise_count((low[a] & ~low[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[a] & ~high[b]).view(np.uint64))
+            need = -(-percent * (n[before] + n[k]) // (100 + percent))
+            fits = begin[k] + np.flatnonzero(np.minimum(n[before] - only(before, k), n[k] - only(k, before)) >= need)
+            good[k] = keep[k] = len(fits) > 0
+            keep[fits] = True
+        return group.assign(asks=good).loc[keep, fields]
+
+    small = sets.select("q", "doc_id", "th", "line", "n", "low", "high")
+    return _dealt(rows).join(small, "q").groupBy("g1", "g2").applyInPandas(run, rows.select(*fields).schema)
+
+
 def _verified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The q of those rows (token, chunk, chunks, q, asks) that resemble an earlier one of their token and chunk."""
-    total = rows.count()
-    hot = F.col("chunks") > 1
-    g1 = F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(total // CHUNK + 64)))
-    joined = rows.select("token", "q", "asks", g1.alias("g1"), F.when(hot, F.col("chunk")).otherwise(F.lit(-1)).alias("g2")).join(sets, "q")
+    joined = _dealt(rows).select("token", "q", "asks", "g1", "g2").join(sets.drop("n", "low", "high"), "q")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "th", "line"], na_position="first")
@@ -271,8 +299,8 @@ def _resembling(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asks = again.select("token", "q", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("chunk").alias("own"))
     stored = known.select("token", "chunk", "chunks", "q").join(asks.select("token").distinct(), "token")
     both = stored.withColumn("asks", F.lit(False)).unionByName(asks.select("token", "chunk", "chunks", "q").withColumn("asks", F.lit(True)))
-    merged = both.groupBy("token", "chunk", "chunks", "q").agg(F.max("asks").alias("asks"))
-    return quick.unionByName(_verified(materialize(merged, "line-rest"), sets, percent)).distinct()
+    merged = materialize(both.groupBy("token", "chunk", "chunks", "q").agg(F.max("asks").alias("asks")), "line-rest")
+    return quick.unionByName(_verified(materialize(_possible(merged, sets, percent), "line-close"), sets, percent)).distinct()
 
 
 def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -322,10 +350,10 @@ def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """q, doc_id, th, line and tokens (packed hashes) of the classes wanted (q, doc_id, th, line)."""
+    """q, doc_id, th, line, n, bitmap (low, high) and tokens (packed hashes) of the classes wanted (q, doc_id, th, line)."""
     by = wanted.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines")).alias("w")  # no more than the text has
     joined = docs.alias("d").join(by, same_doc("d", "w")).select("d.doc_id", "d.th", "d.text", "w.lines")
-    schema = T.StructType([T.StructField("q", T.LongType()), docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
+    schema = T.StructType([T.StructField("q", T.LongType()), docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("n", "low", "high")), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +368,7 @@ def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 bounds, tokens = distinct(bounds, words)
                 own = pa.array(row[at])
                 packed = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(place[at]), pa.array(packed, type=pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(place[at]), pa.array(np.diff(bounds)), *(pa.array(x.view(np.int64)) for x in bitmaps(bounds, tokens)), pa.array(packed, type=pa.binary())], names=schema.names)
 
     return joined.mapInArrow(run, schema).dropDuplicates(["q"])
 
