@@ -220,6 +220,17 @@ def test_quality(docs, rows):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(d for d in got if d is not None and got[d].kept)
 
 
+def test_any_order_of_rules_gives_one_verdict(docs, monkeypatch):
+    def kept(rules):
+        monkeypatch.setattr(quality, "order", lambda *_: [(r, 0.0, 1.0) for r in rules])
+        return sorted(map(str, quality.keep(docs).collect())), sorted(map(str, quality.judge(docs).where("kept").select(*[c for c in docs.columns if c not in ("kept", "n_words")]).collect()))
+
+    first = kept(quality.RULES)
+    assert kept(quality.RULES[::-1]) == first and kept(quality.RULES[3:] + quality.RULES[:3]) == first
+    plan = quality.keep(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_remove") == 1
+
+
 def test_containment(spark, docs):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
