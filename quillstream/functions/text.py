@@ -39,6 +39,8 @@ ENTITY_PATTERNS = {
     "hashtag": (rf"#{W}+", 0.99),
     "mention": (rf"@{W}+", 0.99),
 }
+#: What every match of a kind holds; texts without it are not searched.
+ENTITY_MARKS = {"email": "@", "url": "http", "phone": "+7", "hashtag": "#", "mention": "@"}
 #: Substrings of error messages, checked in this order (fixed values).
 RETRYABLE = ("timeout", "connection", "network", "rate limit", "flood", "server error", "503", "502", "500")
 FINAL = ("not found", "access denied", "forbidden", "unauthorized", "invalid", "credential")
@@ -56,35 +58,38 @@ def clean_text(c: Column) -> Column:
 
 def language(clean: Column) -> Column:
     """ru if Cyrillic letters outnumber Latin ones, else en if there are Latin ones, else unknown."""
-    cyrillic, latin = F.regexp_count(clean, F.lit(CYRILLIC)), F.regexp_count(clean, F.lit(LATIN))
+    letters = lambda which: F.length(F.regexp_replace(clean, which.replace("[", "[^") + "+", ""))
+    cyrillic, latin = letters(CYRILLIC), letters(LATIN)
     return F.when(cyrillic > latin, "ru").when(latin > 0, "en").otherwise("unknown")
 
 
-def keyword_topics(c: Column, most: int = 5, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Topics of which a keyword occurs as a substring of the lower-cased text, in the table's order, `most` at most."""
-    def hits(low: Column) -> Column:
-        found = []
-        for topic, words in (keywords or TOPIC_KEYWORDS).items():
-            hit = F.contains(low, F.lit(words[0]))
-            for w in words[1:]:
-                hit = hit | F.contains(low, F.lit(w))
-            found.append(F.when(hit, F.lit(topic)))
-        return F.slice(F.array_compact(F.array(*found)), 1, most)
+def keyword_topics(low: Column, most: int = 5, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Topics of which a keyword occurs as a substring of a lower-cased text, in the table's order, `most` at most.
 
-    # bound once: behind OR and CASE, Spark would lower the text again for every keyword
-    return F.element_at(F.transform(F.array(F.lower(c)), hits), 1)
+    low is best a projected column: behind OR and CASE, Spark evaluates what it is made of again for every keyword.
+    """
+    found = []
+    for topic, words in (keywords or TOPIC_KEYWORDS).items():
+        hit = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            hit = hit | F.contains(low, F.lit(w))
+        found.append(F.when(hit, F.lit(topic)))
+    return F.slice(F.array_compact(F.array(*found)), 1, most)
 
 
-def lead_summary(c: Column) -> Column:
-    """The first piece before . ! or ?, if longer than 10 characters as it stands; over 150 it is cut to 147 and '...'."""
-    piece = F.get(F.split(strip(c), "[.!?]", 2), F.lit(0))
-    kept = strip(piece)
+def lead_summary(clean: Column) -> Column:
+    """The first piece of a clean text before . ! or ?, if longer than 10 characters as it stands; over 150 it is cut to
+    147 and '...'."""
+    piece = F.get(F.split(clean, "[.!?]", 2), F.lit(0))
+    kept = F.trim(piece)
     return F.when(F.length(piece) > 10, F.when(F.length(kept) > 150, F.concat(F.substring(kept, 1, 147), F.lit("..."))).otherwise(kept))
 
 
 def entities_of(c: Column, kind: str) -> Column:
     """All matches of one kind; of names the first five matches, those longer than five characters."""
     found = F.regexp_extract_all(c, F.lit(f"({ENTITY_PATTERNS[kind][0]})"), 1)
+    if kind in ENTITY_MARKS:
+        found = F.when(F.contains(c, F.lit(ENTITY_MARKS[kind])), found).otherwise(F.array().cast("array<string>"))
     if kind.startswith("name"):
         found = F.filter(F.slice(found, 1, 5), lambda x: F.length(x) > 5)
     return found

@@ -14,7 +14,8 @@ from quillstream.functions import text
 def rule_based(clean: DataFrame) -> DataFrame:
     """The default scorer: column expressions only, hence deterministic."""
     c = F.col("clean")
-    return clean.select("*", text.lead_summary(c).alias("summary"), text.keyword_topics(c).alias("topics"), text.entities(c).alias("entities"), text.language(c).alias("language"))
+    low = clean.withColumn("__low", F.lower(c))
+    return low.select(*clean.columns, text.lead_summary(c).alias("summary"), text.keyword_topics(F.col("__low")).alias("topics"), text.entities(c).alias("entities"), text.language(c).alias("language"))
 
 
 def apply(docs: DataFrame, scorer: Callable[[str], str], attempts: int = 3, parallelism: int | None = None) -> DataFrame:

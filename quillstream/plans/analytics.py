@@ -36,9 +36,23 @@ def _synthetic_topics(s, d):
 def keyword_clusters(s, d, least=2, most=10):
     """Topics by the number of documents, with samples; the refs of a group are rows of keyword_cluster_members, never gathered."""
     e = _synthetic_topics(s, d).select("doc_id", "source_ref", F.explode(F.array_distinct("topics")).alias("topic"), F.substring("text", 1, 100).alias("sample"))
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("topic").orderBy("doc_id")))
-    g = e.groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("rn") <= 3, F.struct("rn", "sample")))), lambda x: x.getField("sample")), "|").alias("samples"), F.min("source_ref").alias("first_ref"))
-    return g.where(C("n") >= least).orderBy(F.desc("n"), "topic").limit(most)
+    top = e.groupBy("topic").agg(F.count("*").alias("n"), F.min("source_ref").alias("first_ref")).where(C("n") >= least).orderBy(F.desc("n"), "topic").limit(most)
+    # the filter on the rank cuts each topic to three rows before they are shuffled
+    first = e.withColumn("rn", F.row_number().over(Window.partitionBy("topic").orderBy("doc_id"))).where("rn <= 3")
+    samples = first.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "sample"))), lambda x: x.getField("sample")), "|").alias("samples"))
+    return top.join(samples, "topic").select("topic", "n", "samples", "first_ref")
+
+
+def running_avg(s, d):
+    """Mean of an agent's tasks up to each one: what the days before add up to, and a window within the day."""
+    t = L.tasks(s, d).select("id", "agent_name", "created_at", "ms", F.to_date("created_at").alias("day"))
+    before = Window.partitionBy("agent_name").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = t.groupBy("agent_name", "day").agg(F.sum("ms").alias("s"), F.count("ms").alias("n"))
+    days = days.select("agent_name", "day", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    own = Window.partitionBy("agent_name", "day").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = t.join(days, ["agent_name", "day"])
+    total = C("s0") + F.coalesce(F.sum("ms").over(own), F.lit(0))
+    return joined.select("id", "agent_name", F.try_divide(total.cast("double"), C("n0") + F.count("ms").over(own)).alias("mean_ms"))
 
 
 def _cards(s, d):
@@ -115,12 +129,12 @@ QUERIES = {
     "ttl_keep": lambda s, d: keyed.split_expired(L.tasks(s, d), F.expr(f"expires_at < {NTZ}"))[0].select("id", "expires_at"),
     "retention_split": lambda s, d: (lambda kept, gone: kept.select(F.lit("kept").alias("part")).unionAll(gone.select(F.lit("archived"))).groupBy("part").agg(F.count("*").alias("n")))(*keyed.split_expired(L.tasks(s, d), F.expr(f"expires_at < {NTZ}"))),
     "handoffs_by_agent": lambda s, d: L.handoffs(s, d).where("source_agent = 'agent_2' AND status = 'completed'").orderBy(F.desc("created_at"), "id").limit(50).select("id", "target_agent", "created_at"),
-    "expired_handoffs": lambda s, d: L.handoffs(s, d).where("created_at < TIMESTAMP_NTZ '1995-01-01 00:00:00'").orderBy("created_at", "id").limit(200).select("id", "created_at"),
+    "expired_handoffs": lambda s, d: L.handoffs(s, d).where("created_at < TIMESTAMP_NTZ '1995-02-01 00:00:00'").orderBy("created_at", "id").limit(200).select("id", "created_at"),
     "terminal_handoffs": lambda s, d: L.handoffs(s, d).where("status IN ('completed', 'failed')").orderBy(F.desc("created_at"), "id").limit(10000).select("id", "status"),
     "handoff_stats": lambda s, d: L.handoffs(s, d).agg(F.count("*").alias("total"), F.count_if(C("status") == "completed").alias("completed"), F.count_if(C("status") == "failed").alias("failed"), F.count_if(C("status") == "rejected").alias("rejected"), F.count_if(C("status").isin("pending", "accepted", "in_progress")).alias("in_progress"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms")),
     "top_agent_pairs": lambda s, d: L.handoffs(s, d).groupBy("source_agent", "target_agent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_agent", "target_agent").limit(10),
     "handoff_fold": lambda s, d: L.handoffs(s, d).groupBy("source_agent", "target_agent").agg(F.max_by("status", "id").alias("status"), F.max("id").alias("last_id"), F.min(F.when(C("status") == "accepted", C("created_at"))).alias("accepted_at")),
-    "running_avg": lambda s, d: (lambda w: L.tasks(s, d).select("id", "agent_name", F.try_divide(F.sum("ms").over(w).cast("double"), F.count("ms").over(w)).alias("mean_ms")))(Window.partitionBy("agent_name").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)),
+    "running_avg": running_avg,
     "best_agent": lambda s, d: _registry(s, d).withColumn("rn", F.row_number().over(Window.orderBy("error_rate", "mean_ms", "agent_name"))).where("rn = 1").select("agent_name", "error_rate", "mean_ms"),
     "registry_stats": lambda s, d: _registry(s, d).select("agent_name", "tasks", "error_rate", F.round("mean_ms", 2).alias("mean_ms")),
     "error_rate": lambda s, d: L.tasks(s, d).groupBy("task_type").agg(F.round(100.0 * F.count_if(~C("success")) / F.count("*"), 6).alias("error_rate")),
@@ -176,7 +190,7 @@ ORACLES = {
     "ttl_keep": _t(f"SELECT id, expires_at FROM tasks WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{AS_OF}'"),
     "retention_split": _t(f"SELECT CASE WHEN expires_at < TIMESTAMP '{AS_OF}' THEN 'archived' ELSE 'kept' END AS part, count(*) AS n FROM tasks GROUP BY 1"),
     "handoffs_by_agent": _t("SELECT id, target_agent, created_at FROM handoffs WHERE source_agent = 'agent_2' AND status = 'completed' ORDER BY created_at DESC, id LIMIT 50", "handoffs"),
-    "expired_handoffs": _t("SELECT id, created_at FROM handoffs WHERE created_at < TIMESTAMP '1995-01-01' ORDER BY created_at, id LIMIT 200", "handoffs"),
+    "expired_handoffs": _t("SELECT id, created_at FROM handoffs WHERE created_at < TIMESTAMP '1995-02-01' ORDER BY created_at, id LIMIT 200", "handoffs"),
     "terminal_handoffs": _t("SELECT id, status FROM handoffs WHERE status IN ('completed', 'failed') ORDER BY created_at DESC, id LIMIT 10000", "handoffs"),
     "handoff_stats": _t("SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status IN ('pending', 'accepted', 'in_progress')) AS in_progress, round(avg(ms), 6) AS mean_ms, min(ms) AS min_ms, max(ms) AS max_ms FROM handoffs", "handoffs"),
     "top_agent_pairs": _t("SELECT source_agent, target_agent, count(*) AS n FROM handoffs GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10", "handoffs"),

@@ -22,10 +22,10 @@ KB_OUT = "kb_id, channel_id, title, CASE WHEN length(summary) > 0 THEN summary |
 
 def kb_entries(spark: SparkSession, d: str) -> DataFrame:
     """Messages as knowledge-base entries; the channel map has a row for each channel, so Spark picks the join by its size."""
-    m = L.raw_messages(spark, d).withColumn("c", text.clean_text(F.col("text")))
+    m = L.cleaned_messages(spark, d)
     m = m.withColumn("summary", text.lead_summary(F.col("c"))).join(L.sources(spark, d).select("channel_id", "username"), "channel_id", "left")
     content = F.when(F.length("summary") > 0, F.concat_ws("\n\n", "summary", "c")).otherwise(F.col("c"))
-    return m.select(ids.prefixed("kb:msg:", F.col("source_ref")).alias("kb_id"), "channel_id", F.concat(F.lit("Message "), "id").alias("title"), content.alias("content"), "summary", F.array_join(text.keyword_topics(F.col("c")), ",").alias("topics"), text.language(F.col("c")).alias("language"), ids.message_url(F.col("channel_id"), F.col("username"), F.col("id")).alias("url"))
+    return m.select(ids.prefixed("kb:msg:", F.col("source_ref")).alias("kb_id"), "channel_id", F.concat(F.lit("Message "), "id").alias("title"), content.alias("content"), "summary", F.array_join(text.keyword_topics(F.col("low")), ",").alias("topics"), text.language(F.col("c")).alias("language"), ids.message_url(F.col("channel_id"), F.col("username"), F.col("id")).alias("url"))
 
 
 def kb_filtered(spark, d):
@@ -34,7 +34,7 @@ def kb_filtered(spark, d):
 
 
 def entities_exploded(spark, d):
-    m = L.raw_messages(spark, d).select("source_ref", F.posexplode(text.entities(text.clean_text(F.col("text")))).alias("pos", "e"))
+    m = L.cleaned_messages(spark, d).select("source_ref", F.posexplode(text.entities(F.col("c"))).alias("pos", "e"))
     return m.select("source_ref", F.col("pos").alias("pos"), "e.type", "e.value", "e.confidence")
 
 
@@ -84,11 +84,11 @@ QUERIES = {
     "channel_normalised": _m(["doc_id", lambda: ids.bare_channel(F.concat(F.lit("@@"), "channel_id")).alias("channel")]),
     "telegram_urls": _m(["doc_id", lambda: ids.message_url(F.concat(F.when(C("doc_id") % 2 == 0, "-100").when(C("doc_id") % 5 == 0, "-").otherwise("ch"), C("id")), F.when(C("doc_id") % 7 == 0, C("lang")), C("id")).alias("url")]),
     "clean_text": _m(["doc_id", lambda: text.clean_text(C("text")).alias("clean")]),
-    "language_counts": lambda s, d: L.raw_messages(s, d).select(text.language(text.clean_text(C("text"))).alias("language")).groupBy("language").agg(F.count("*").alias("n")),
-    "keyword_topics": _m(["doc_id", lambda: F.array_join(text.keyword_topics(text.clean_text(C("text"))), ",").alias("topics")]),
-    "lead_summary": _m(["doc_id", lambda: text.lead_summary(text.clean_text(C("text"))).alias("summary")]),
+    "language_counts": lambda s, d: L.cleaned_messages(s, d).select(text.language(C("c")).alias("language")).groupBy("language").agg(F.count("*").alias("n")),
+    "keyword_topics": _m(["doc_id", lambda: F.array_join(text.keyword_topics(C("low")), ",").alias("topics")], table=L.cleaned_messages),
+    "lead_summary": _m(["doc_id", lambda: text.lead_summary(C("c")).alias("summary")], table=L.cleaned_messages),
     "entities_exploded": entities_exploded,
-    "names_en": _m(["doc_id", lambda: F.array_join(text.entities_of(text.clean_text(C("text")), "name_en"), "|").alias("names")]),
+    "names_en": _m(["doc_id", lambda: F.array_join(text.entities_of(C("c"), "name_en"), "|").alias("names")], table=L.cleaned_messages),
     "complexity_mode": _m(["doc_id", lambda: text.complexity_mode(C("text")).alias("mode")]),
     "preview_cut": _m(["doc_id", lambda: text.preview(C("text"), 100).alias("preview")]),
     "prompt_ids": _m(["doc_id", lambda: text.prompt_id(C("channel_id"), C("text")).alias("prompt_id")]),
@@ -110,7 +110,7 @@ QUERIES = {
     "run_stats": lambda s, d: L.raw_messages(s, d).join(L.processed_refs(s, d).select("source_ref", F.lit(True).alias("done")), "source_ref", "left").join(L.failures(s, d).select("source_ref", F.lit(True).alias("bad")), "source_ref", "left").agg(F.count("*").alias("total"), F.count_if(C("done").isNotNull()).alias("processed"), F.count_if(C("done").isNull() & C("bad").isNotNull()).alias("failed"), F.count_if(C("done").isNull() & C("bad").isNull()).alias("skipped")),
     "distinct_channels": lambda s, d: L.raw_messages(s, d).agg(F.count_distinct("channel_id").alias("channels")),
     "store_counts": lambda s, d: L.raw_messages(s, d).select(F.lit("raw").alias("store")).unionAll(L.processed_refs(s, d).select(F.lit("processed"))).unionAll(L.failures(s, d).select(F.lit("failures"))).groupBy("store").agg(F.count("*").alias("n")),
-    "quality_report": lambda s, d: L.raw_messages(s, d).withColumn("c", text.clean_text(C("text"))).select("lang", text.language(C("c")).alias("language"), text.lead_summary(C("c")).alias("summary"), F.size(text.keyword_topics(C("c"))).alias("n_topics"), F.size(text.entities(C("c"))).alias("n_entities")).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 10).alias("with_summary"), F.count_if(C("n_topics") > 0).alias("with_topics"), F.count_if(C("n_entities") > 0).alias("with_entities"), F.count_if(C("language") == "en").alias("as_en"), F.round(F.avg(F.coalesce(F.length("summary"), F.lit(0))), 6).alias("mean_summary"), F.round(F.avg("n_topics"), 6).alias("mean_topics"), F.round(F.avg("n_entities"), 6).alias("mean_entities")),
+    "quality_report": lambda s, d: L.cleaned_messages(s, d).select("lang", text.language(C("c")).alias("language"), text.lead_summary(C("c")).alias("summary"), F.size(text.keyword_topics(C("low"))).alias("n_topics"), F.size(text.entities(C("c"))).alias("n_entities")).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 10).alias("with_summary"), F.count_if(C("n_topics") > 0).alias("with_topics"), F.count_if(C("n_entities") > 0).alias("with_entities"), F.count_if(C("language") == "en").alias("as_en"), F.round(F.avg(F.coalesce(F.length("summary"), F.lit(0))), 6).alias("mean_summary"), F.round(F.avg("n_topics"), 6).alias("mean_topics"), F.round(F.avg("n_entities"), 6).alias("mean_entities")),
 }
 
 _one = lambda expr, name: L.with_tables(f"SELECT doc_id, {expr} AS {name} FROM cleaned", "raw", cleaned=CLEANED)

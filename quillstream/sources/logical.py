@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions import text
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +15,17 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").selectExpr("doc_id", "source AS channel_id", "cast(doc_id AS string) AS id", "concat('tg:', source, ':post:', doc_id) AS source_ref", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id AS int), 0) AS date", "text", "lang")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it comes from fewer files than there are cores; a larger table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def cleaned_messages(spark: SparkSession, d: str) -> DataFrame:
+    """raw_messages with the clean text `c` and `low`, its lower-case form: columns that the text functions share."""
+    return spread(raw_messages(spark, d)).withColumn("c", text.clean_text(F.col("text"))).withColumn("low", F.lower("c"))
+
+
 def thread_messages(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").selectExpr("conv_id * 1000 + turn AS id", "conv_id * 1000 AS thread_id", "CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id", "CASE WHEN turn = 0 THEN 'post' ELSE 'comment' END AS message_type", "text")
 
