@@ -58,9 +58,10 @@ def clean_text(c: Column) -> Column:
 
 def language(clean: Column) -> Column:
     """ru if Cyrillic letters outnumber Latin ones, else en if there are Latin ones, else unknown."""
-    letters = lambda which: F.length(F.regexp_replace(clean, which.replace("[", "[^") + "+", ""))
-    cyrillic, latin = letters(CYRILLIC), letters(LATIN)
-    return F.when(cyrillic > latin, "ru").when(latin > 0, "en").otherwise("unknown")
+    letters = lambda which: F.length(clean) - F.length(F.regexp_replace(clean, which + "+", ""))
+    some = F.when(clean.rlike(LATIN), "en").otherwise("unknown")
+    # most texts have letters of one kind, so that they are only counted where there are Cyrillic ones
+    return F.when(~clean.rlike(CYRILLIC), some).when(letters(CYRILLIC) > letters(LATIN), "ru").otherwise(some)
 
 
 def keyword_topics(low: Column, most: int = 5, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
