@@ -1,10 +1,11 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
 
-The base patterns find seeds.  The words before a seed are a lexical pattern; the same words before another word that has a
-digit or an at sign make that word an instance of the pattern.  In a pattern such a word stands as its class, and the start
-of the text counts as words, so each of them has a pattern; the words of one base span count as one.  Patterns and instances form a bipartite graph for each
-kind, on which scores are passed to and fro: a pattern is as good as its instances are, an instance as its best pattern.
-Words that patterns of high confidence bring in are added as spans.
+The base patterns find seeds.  The words around a seed are its lexical patterns: the two before it, one on either side, the
+two after it.  The same words around another word that has a digit or an at sign make that word an instance of the pattern.
+In a pattern such a word stands as its class, and the start of the text counts as words; the words of one base span count
+as one.  Patterns and instances form a bipartite graph for each kind.  In every round a pattern is scored by the instances known so far, those
+of high confidence promote their other instances, each as sure as its best pattern, and promoted instances make patterns
+known in the next round that no seed has.  Promoted words are added as spans.
 
 Everything is DataFrame code; what leaves the scan of the texts are spans and contexts, never the texts.
 """
@@ -25,25 +26,32 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Words of context, rounds of scoring, distinct seeds that a pattern needs, and confidence from which it brings in others.
+#: Words of context, rounds of scoring, known instances that a pattern needs, and confidence from which it brings in others.
 CONTEXT, ROUNDS, SUPPORT, CONFIDENCE = 2, 4, 5, 0.8
-#: What stands in a context for a word with an at sign, for one with a digit, and for the start of the text: never words.
-AT, NUMBER, START = "<@>", "<0>", ""
+#: What stands in a context for a word with an at sign, one with a digit, either of them, and the start of the text: never words.
+AT, NUMBER, OTHER, START = "<@>", "<0>", "<?>", ""
 
-SPANS = "array<struct<s:int,e:int,m:string,gap:string>>"
+SPANS = "array<struct<s:int,e:int,m:string,gap:string,tail:string>>"
+CONTEXTS = "array<struct<s:int,e:int,m:string,before:array<string>,after:array<string>>>"
 
 
 def located(text: Column, pattern: str, worth: Column) -> Column:
-    """s, e, m and the gap before, for each match of the pattern; looked for only where `worth`."""
+    """s, e, m, the last words of the gap before and the first ones of the gap after (null: it ends the text), for each
+    match of the pattern; looked for only where `worth`."""
     def place(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        step = F.transform(F.arrays_zip(F.transform(found, lambda m: F.struct(m.alias("m"))).alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda z: F.struct(z.getField("m").getField("m").alias("m"), z.getField("g").alias("g")))
+        of = F.transform(found, lambda m, i: F.struct(m.alias("m"), (i == F.size(found) - 1).alias("last")))
+        step = F.transform(F.arrays_zip(of.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("t")), lambda z: F.struct(z.getField("m").getField("m").alias("m"), z.getField("m").getField("last").alias("last"), z.getField("g").alias("g"), z.getField("t").alias("t")))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
+        def tail(z: Column) -> Column:
+            words = F.regexp_extract(z.getField("t"), rf"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){{0,{CONTEXT}}})", 1)
+            return F.concat(words, F.when(z.getField("last"), F.lit("")).otherwise(F.lit(f" {OTHER}" * CONTEXT)))
+
         def add(acc: Column, z: Column) -> Column:
             s = acc.getField("at") + F.length(z.getField("g"))
             e = s + F.length(z.getField("m"))
-            one = F.struct(s.alias("s"), e.alias("e"), z.getField("m").alias("m"), F.regexp_extract(z.getField("g"), rf"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{CONTEXT}}})$", 1).alias("gap"))
+            one = F.struct(s.alias("s"), e.alias("e"), z.getField("m").alias("m"), F.regexp_extract(z.getField("g"), rf"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{CONTEXT}}})$", 1).alias("gap"), tail(z).alias("tail"))
             return F.struct(e.alias("at"), F.concat(acc.getField("out"), F.array(one)).alias("out"))
 
         return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(F.aggregate(step, start, add, lambda acc: acc.getField("out")))
@@ -75,47 +83,60 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def contexts(candidates: Column, base: Column) -> Column:
-    """s, e, m and pattern (the CONTEXT words before, joined) of each candidate but those inside a base span that began earlier."""
-    empty = F.array().cast("array<struct<s:int,e:int,m:string,pattern:string>>")
-    start = F.struct(F.array(*[F.lit(START)] * CONTEXT).alias("before"), empty.alias("out"))
+    """s, e, m and the CONTEXT words before and after of each candidate but those inside a base span that began earlier.
+
+    Words are in lower case, without punctuation at their end; fewer words after it than CONTEXT mean that the text ends.
+    """
+    start = F.struct(F.array(*[F.lit(START)] * CONTEXT).alias("before"), F.array().cast(CONTEXTS).alias("out"))
     last = lambda words: F.slice(words, -CONTEXT, CONTEXT)
+    split = lambda gap: F.filter(F.transform(F.split(F.lower(gap), r"[\x20\x09-\x0D]+", -1), lambda w: F.regexp_replace(w, "[.,;:!?]+$", "")), lambda w: w != "")
 
     def add(acc: Column, c: Column) -> Column:
-        words = F.filter(F.split(F.lower(c.getField("gap")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
         name = F.when(F.contains(c.getField("m"), F.lit("@")), AT).otherwise(NUMBER)
 
         def step(before: Column) -> Column:
-            one = F.struct(c.getField("s").alias("s"), c.getField("e").alias("e"), c.getField("m").alias("m"), F.array_join(before, " ").alias("pattern"))
+            one = F.struct(c.getField("s").alias("s"), c.getField("e").alias("e"), c.getField("m").alias("m"), before.alias("before"), F.slice(split(c.getField("tail")), 1, CONTEXT).alias("after"))
             return F.struct(last(F.concat(before, F.array(name))).alias("before"), F.concat(acc.getField("out"), F.array(one)).alias("out"))
 
         inside = F.exists(base, lambda b: (b.getField("s") < c.getField("s")) & (b.getField("e") > c.getField("s")))
-        return F.when(inside, acc).otherwise(let(last(F.concat(acc.getField("before"), words)), step))
+        return F.when(inside, acc).otherwise(let(last(F.concat(acc.getField("before"), split(c.getField("gap")))), step))
 
     return F.aggregate(candidates, start, add, lambda acc: acc.getField("out"))
 
 
-def score(edges: DataFrame, rounds: int, support: int) -> DataFrame:
-    """(kind, pattern, instance, confidence of the pattern) from the graph's edges (pattern, instance, kind or null).
+def patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of a context, at most three; a side that the text's end cuts short makes none."""
+    near, far = F.get(after, F.lit(0)), F.get(after, F.lit(1))
+    around = F.when(F.get(before, F.lit(CONTEXT - 1)) != START, F.concat_ws(" ", F.get(before, F.lit(CONTEXT - 1)), F.lit("_"), near))
+    made = F.array(F.concat(F.array_join(before, " "), F.lit(" _")), F.when(near.isNotNull(), around), F.when(far.isNotNull(), F.concat_ws(" ", F.lit("_"), near, far)))
+    return F.array_distinct(F.array_compact(made))
+
+
+def score(edges: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+    """(kind, pattern, confidence) of the good patterns, from the graph's edges (pattern, instance, kind or null).
 
-    kind: that of a seed, null for an instance that is none.  The graph of a kind has the patterns with a seed of it.
+    kind: that of a seed, null for an instance that is none.  A pattern is good if `support` known instances have it and the
+    sum of what these are worth, over one more than all its instances, reaches confidence.  Seeds are worth 1.
     """
-    seeds = edges.where("kind is not null").select("kind", "pattern", "instance").distinct()
-    start = seeds.groupBy("kind", "pattern").agg(F.count_distinct("instance").alias("support")).where(F.col("support") >= support)
-    graph = materialize(start.join(edges.select("pattern", "instance").distinct(), "pattern").join(seeds.withColumn("seed", F.lit(1.0)), ["kind", "pattern", "instance"], "left").fillna(0.0, ["seed"]), "pii-graph")
-    now = graph.withColumn("value", F.col("seed"))
+    seeds = edges.where("kind is not null").select("kind", "instance", F.lit(1.0).alias("value")).distinct()
+    bare = edges.select("pattern", "instance").distinct()
+    # a pattern with fewer instances than the support can never be good
+    size = bare.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= support)
+    graph, seeds = materialize(bare.join(size, "pattern"), "pii-graph"), materialize(seeds, "pii-seeds")
+    known, good = seeds, None
     for _ in range(rounds):
-        pattern = now.groupBy("kind", "pattern").agg((F.sum("value") / (F.count("*") + 1)).alias("confidence"))
-        scored = now.drop("value", "confidence").join(pattern, ["kind", "pattern"])
-        best = scored.groupBy("kind", "instance").agg(F.max(F.greatest("seed", "confidence")).alias("value"))
-        now = materialize(scored.join(best, ["kind", "instance"]), "pii-scores")
-    return now.select("kind", "pattern", "instance", "confidence")
+        seen = graph.join(known, "instance").groupBy("kind", "pattern", "size").agg(F.count("*").alias("support"), F.sum("value").alias("worth"))
+        good = materialize(seen.where(F.col("support") >= support).select("kind", "pattern", (F.col("worth") / (F.col("size") + 1)).alias("confidence")).where(F.col("confidence") >= confidence), "pii-good")
+        found = graph.join(good, "pattern").select("kind", "instance", F.col("confidence").alias("value"))
+        known = materialize(seeds.unionByName(found).groupBy("kind", "instance").agg(F.max("value").alias("value")), "pii-known")
+    return good
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, base (array of kind number, s, e, m) and added (array of kind number, s, e) for every row of docs.
 
     Places are code points, the end is exclusive.  Null text: empty.  The base spans depend on the text alone; an added
-    span is a word that follows the words of a pattern of high confidence and overlaps no base span.  Repeated rows get
+    span is a word with the words of a good pattern around it and overlaps no base span.  Repeated rows get
     equal results; ids may be null or equal.  Empty table: no rows.  Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -134,10 +155,12 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     own = F.filter("base", lambda b: (b.getField("s") < F.col("c.e")) & (b.getField("e") > F.col("c.s")))
     words = words.withColumn("own", F.try_element_at(own, F.lit(1)))
     whole = F.when(F.col("own.e") > F.col("c.e"), F.col("own.m")).otherwise(F.col("c.m"))  # not just the first word of a phone number
-    words = words.select("doc_id", "th", F.col("c.pattern").alias("pattern"), F.lower(whole).alias("instance"), F.col("own.kind").alias("kind"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
-    good = score(words, rounds, support).where(F.col("confidence") >= confidence).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("as_kind"))
-    fresh = words.where("kind is null").join(good, "pattern")
-    added = fresh.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("s", F.col("as_kind").alias("kind"), "e"))).alias("added"))
+    words = words.select("doc_id", "th", F.explode(patterns(F.col("c.before"), F.col("c.after"))).alias("pattern"), F.lower(whole).alias("instance"), F.col("own.kind").alias("kind"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
+    good = score(words, rounds, support, confidence)
+    # one span for each word, of the kind of its best pattern
+    fresh = words.where("kind is null").join(good.withColumnRenamed("kind", "as_kind"), "pattern")
+    fresh = fresh.groupBy("doc_id", "th", "s", "e").agg(F.max_by("as_kind", F.struct("confidence", -F.col("as_kind"))).alias("kind"))
+    added = fresh.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "kind", "e"))).alias("added"))
     n, a = narrow.alias("n"), added.alias("a")
     out = n.join(a, F.col("n.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("n.th") == F.col("a.th")), "left")
     return out.select("n.doc_id", "n.base", F.coalesce("a.added", F.array().cast("array<struct<s:int,kind:int,e:int>>")).alias("added"))

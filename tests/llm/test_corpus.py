@@ -286,6 +286,37 @@ def test_pii_context_does_not_end_at_another_identifier(spark):
     assert got[22] == [] and got[51] == []
 
 
+def test_pii_bootstraps_from_what_it_found(spark):
+    """Planted identifiers: those of the second and third wave can only be found through the ones found before."""
+    rng = np.random.default_rng(4)
+    filler = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(5))
+    rows, want = [], {}
+
+    def put(shape, value, planted):
+        text = f"{filler()} {shape.format(value)} {filler()}"
+        rows.append((len(rows), text))
+        if planted:
+            s = text.index(value)
+            want[len(rows) - 1] = {(s, 0, s + len(value))}
+
+    for i in range(30):
+        put("write to {} for help", f"u{i}@x.com", False)  # seeds, with patterns of their own
+    handles = [f"anna{i}" for i in range(12)]
+    for h in handles:
+        put("write to {} for help", h, True)  # found by the seeds' patterns
+        put("handle is {} in chat", h, True)  # the same instances have patterns without a seed
+    for i in range(4):
+        put("handle is {} in chat", f"zoe{i}", True)  # found by those
+    for i in range(40):
+        put("room no {} was full", f"{100 + i}", False)  # numbers which are no one's
+        put("see {}", f"page{i}", False)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), confidence=0.6).collect()
+    got = {r.doc_id: {tuple(x) for x in r.added} for r in found if r.added}
+    assert got == want
+    once = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1, confidence=0.6).collect()
+    assert sum(len(r.added) for r in once) == len(handles)
+
+
 def test_revisits(spark):
     h = "map<string,string>"
     rows = [(1, "http://WWW.a.com/x/?b=2&a=1#f", 10, False, {"etag": "W/q", "date": "1", "content-type": "t"}, "d1"), (2, "https://a.com/x?a=1&b=2&utm_source=z", 20, True, {"etag": "q", "date": "2", "content-type": "no"}, None), (3, "a.com/x?a=1&b=2", 5, True, None, None), (4, "a.com/x?a=1&b=2", 300000, True, {"etag": "other"}, "d1"), (5, None, 1, True, None, "d1")]
