@@ -141,3 +141,18 @@ def backoff(attempt: Column, base: float, cap: float) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0 or null."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def iso(c: Column) -> Column:
+    """A naive UTC time in ISO form, without a zone."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def parse_iso(c: Column) -> Column:
+    """The naive time of an ISO form, whose trailing Z is dropped."""
+    return F.try_to_timestamp(F.regexp_replace(c, "Z$", "")).cast("timestamp_ntz")
+
+
+def duration_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds from start to end."""
+    return F.timestamp_diff("MILLISECOND", start, end)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +23,17 @@ def catalogue(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(key, *[c for c in columns if c != key])))).alias("value"))
 
 
+def detail_name(topic_id: Column) -> Column:
+    return F.concat(F.lit("topic_"), F.translate(topic_id, ":", "_"), F.lit(".json"))
+
+
+def verified(pairs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """name, n_source, n_target and equal for each pair of a table and its copy."""
+    counts = [t.select(F.lit(name).alias("name"), F.lit(side).alias("side")) for name, both in pairs.items() for side, t in enumerate(both)]
+    one = reduce(DataFrame.unionAll, counts).groupBy("name").agg(F.count_if(F.col("side") == 0).alias("n_source"), F.count_if(F.col("side") == 1).alias("n_target"))
+    return one.withColumn("equal", F.col("n_source") == F.col("n_target"))
+
+
 def archive(df: DataFrame, path: str) -> None:
     """Gzipped NDJSON; nothing if there are no rows."""
     if not df.isEmpty():

@@ -1,8 +1,8 @@
-"""All queries of the pipeline and its analytics, with their SQL."""
+"""All queries of the document pipeline and its analytics, and the SQL that they are compared with."""
 
 from __future__ import annotations
 
-from quillstream.plans import analytics, messages
+from quillstream.plans import analytics, messages, records
 
-QUERIES = {**messages.QUERIES, **analytics.QUERIES}
-ORACLES = {**messages.ORACLES, **analytics.ORACLES}
+QUERIES = messages.QUERIES | analytics.QUERIES | records.QUERIES
+ORACLES = messages.ORACLES | analytics.ORACLES | records.ORACLES
