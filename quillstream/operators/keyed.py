@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str, order: Column) -> DataFrame:
-    """The rows of new to append: the first for each key that old lacks."""
+    """The rows of new to append: the first for each key that old lacks; null is a key like others."""
     first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
-    return first.join(old.select(key), key, "left_anti")
+    have = old.select(F.col(key).alias("__have"))
+    return first.join(have, F.col(key).eqNullSafe(F.col("__have")), "left_anti")
 
 
 def conflicts(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:
@@ -22,12 +23,17 @@ def conflicts(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> D
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, preserve: list[str] = ()) -> DataFrame:
-    """The latest row for each key (null-safe); columns in preserve keep the value of the earliest row."""
-    both = old.unionByName(new)
-    latest = F.max_by(F.struct(*[c for c in both.columns if c not in keys]), F.col(version)).alias("__l")
-    kept = [F.min_by(c, version).alias(f"__{c}") for c in preserve]
+    """The latest row for each key (null-safe); columns in preserve keep the value of the earliest row.
+
+    A null version is the earliest; of equal versions a new row is later than an old one, then the greater row.
+    """
+    both = old.withColumn("__side", F.lit(0)).unionByName(new.withColumn("__side", F.lit(1)))
+    row = [c for c in old.columns if c not in keys]
+    order = F.struct(F.col(version).isNotNull(), version, "__side", *row)
+    latest = F.max_by(F.struct(*row), order).alias("__l")
+    kept = [F.min_by(c, order).alias(f"__{c}") for c in preserve]
     rows = both.groupBy(*keys).agg(latest, *kept)
-    return rows.select(*[F.col(f"__{c}").alias(c) if c in preserve else F.col(c) if c in keys else F.col(f"__l.{c}").alias(c) for c in both.columns])
+    return rows.select(*[F.col(f"__{c}").alias(c) if c in preserve else F.col(c) if c in keys else F.col(f"__l.{c}").alias(c) for c in old.columns])
 
 
 def delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -31,7 +31,7 @@ def card_violations(s, d):
     return out.where(F.size("violations") > 0).select("topic_id", "type", F.size("anchors").cast("long").alias("anchors"), F.array_join("violations", ",").alias("violations"))
 
 
-def point_lookups(s, d, ref="tg:src3:post:13", job="job_7", agent="agent_3"):
+def point_lookups(s, d, ref="tg:src10:post:10", job="job_7", agent="agent_3"):
     """One row of each store by its key; each filter reaches the scan or the columns that make the key."""
     r = L.raw_messages(s, d).where(C("source_ref") == ref).select(F.lit("raw").alias("store"), C("source_ref").alias("key"))
     p = L.processed_refs(s, d).where(C("source_ref") == ref).select(F.lit("processed"), "source_ref")
@@ -185,7 +185,7 @@ _RESOLVED = "SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY role, s
 ORACLES = {
     "contract_violations": _t("SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 9 = 0 OR text IS NULL THEN 'text_missing' END, CASE WHEN doc_id % 7 = 0 THEN 'source_ref_form' END, CASE WHEN doc_id % 11 = 0 THEN 'message_type_known' END) AS violations FROM raw WHERE doc_id % 9 = 0 OR text IS NULL OR doc_id % 7 = 0 OR doc_id % 11 = 0", "raw"),
     "card_violations": _t("SELECT channel_id || ':' || topic_seq AS topic_id, type, count(*) AS anchors, 'anchors_of_type' AS violations FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, topic_seq ORDER BY pos) AS rn FROM proposals) WHERE rn <= 3 GROUP BY channel_id, topic_seq, type HAVING type = 'cluster' AND (count(*) < 2 OR count(score) < count(*))", "proposals"),
-    "point_lookups": _t("SELECT 'raw' AS store, source_ref AS key FROM raw WHERE source_ref = 'tg:src3:post:13' UNION ALL SELECT 'processed', source_ref FROM processed WHERE source_ref = 'tg:src3:post:13' UNION ALL SELECT 'job', job_id FROM jobs WHERE job_id = 'job_7' UNION ALL SELECT 'agent', name FROM agents WHERE name = 'agent_3'", "raw", "processed", "jobs", "agents"),
+    "point_lookups": _t("SELECT 'raw' AS store, source_ref AS key FROM raw WHERE source_ref = 'tg:src10:post:10' UNION ALL SELECT 'processed', source_ref FROM processed WHERE source_ref = 'tg:src10:post:10' UNION ALL SELECT 'job', job_id FROM jobs WHERE job_id = 'job_7' UNION ALL SELECT 'agent', name FROM agents WHERE name = 'agent_3'", "raw", "processed", "jobs", "agents"),
     "processed_page": _t(f"SELECT source_ref, date FROM processed WHERE date >= TIMESTAMP '2024-01-01 02:00:00' ORDER BY date, source_ref LIMIT {PAGE}", "processed"),
     "cards_by_channel": _t(f"SELECT topic_id, updated_at FROM cards WHERE channel_id = '{CHANNEL}'", "proposals", **RANKED, cards=_CARDS),
     "current_bundles": _t(f"SELECT DISTINCT channel_id || '/' || topic_seq AS topic_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(topic_seq) AS updated_at FROM ranked WHERE topic_seq % 2 = 0 AND (topic_seq = 4 OR channel_id = '{CHANNEL}')", "proposals", **RANKED),

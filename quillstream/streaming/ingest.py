@@ -15,13 +15,11 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str,
     State does not grow with the stream: keys are compared with the stored table.
     """
     def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            old = spark.read.schema(schema).parquet(target).select(key)
-        except Exception:  # noqa: BLE001  the first batch has no table yet
-            old = None
-        (fresh.join(old, key, "left_anti") if old is not None else fresh).write.mode("append").parquet(target)
+        old = spark.read.schema(schema).parquet(target).select(key)
+        batch.dropDuplicates([key]).join(old, key, "left_anti").write.mode("append").parquet(target)
 
+    # the first run makes the table, without rows; a table that cannot be read later is an error, not a missing one
+    spark.createDataFrame([], schema).write.mode("append").parquet(target)
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
