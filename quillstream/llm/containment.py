@@ -118,16 +118,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: in
 
     Shingles: `words` words, A-Z in lower case.  Held: 100 * shared >= percent * item_shingles.  Null or short texts hold
     nothing; null or short items are held by nothing.  Equal ids and repeated rows get a row each.  Empty tables: no rows.
-    Other columns are ignored.  Items are searched for in blocks of BLOCK_BYTES, so what is sent to the tasks is bounded.
+    Other columns are ignored.  Distinct texts of items are searched for in blocks of BLOCK_BYTES, so what is sent to the
+    tasks is bounded, however often an item is repeated; the ids of items are joined to what is found.
     """
-    items = benchmark.where("text is not null").select("item_id", "text")
+    named = benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("__item"), "text")
+    items = named.select("__item", "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = total // BLOCK_BYTES + 1
     own = keyed(docs)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), benchmark.schema["item_id"], T.StructField("item_shingles", T.LongType()), T.StructField("shared", T.LongType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("__item", T.LongType()), T.StructField("item_shingles", T.LongType()), T.StructField("shared", T.LongType())])
     out = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()  # BLOCK_BYTES, about
+        rows = items.where(F.pmod("__item", F.lit(blocks)) == k).collect()  # BLOCK_BYTES, about
         index = Index([r[0] for r in rows], [r[1] for r in rows], words)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
@@ -140,12 +142,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: in
                     lo = hi
                 if hits:
                     text = pa.array([h[0] for h in hits])
-                    ids = pa.array([index.items[h[1]][0] for h in hits])
+                    ids = pa.array([index.items[h[1]][0] for h in hits], type=pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(text), batch.column("th").take(text), ids, pa.array([h[2] for h in hits]), pa.array([h[3] for h in hits])], names=schema.names)
 
         part = own.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
+    found = out.join(named.drop("text"), "__item")
+    return found.select("doc_id", "th", "item_id", "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

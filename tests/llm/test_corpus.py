@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import automata, components, containment, line_dedup, mixing, pii, quality, revisits, sharding, signature_join, suffix_dedup
 
@@ -231,7 +232,7 @@ def test_any_order_of_rules_gives_one_verdict(docs, monkeypatch):
     assert plan.count("array_remove") == 1
 
 
-def test_containment(spark, docs):
+def test_containment(spark, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
     items = [word(int(n)) for n in rng.integers(8, 70, 30)]
@@ -240,6 +241,26 @@ def test_containment(spark, docs):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(99, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in containment.leaks(d, b).collect()) == [(i, i) for i in range(30)]
     assert sorted(r.doc_id for r in containment.clean(d, b).collect()) == [30, 99]
+    # repeated items and rows, null ids, clashing columns, and a bound that one item exceeds
+    more = b.unionByName(spark.createDataFrame([(100, items[0]), (None, items[1])], b.schema)).withColumn("doc_id", F.lit(5)).withColumn("shared", F.lit("x"))
+    twice = d.unionByName(d.where("doc_id = 0")).withColumn("item_id", F.lit(1)).withColumn("th", F.lit("y"))
+    monkeypatch.setattr(containment, "BLOCK_BYTES", 500)
+    want = [(i, i) for i in range(30)] + [(0, 0), (0, 100), (0, 100), (1, None)]
+    assert sorted(((r.doc_id, r.item_id) for r in containment.leaks(twice, more).collect()), key=str) == sorted(want, key=str)
+
+
+def test_containment_finds_scattered_items(spark):
+    """Each text holds exactly 80 % of an item's shingles, in four places; or just under."""
+    rng = np.random.default_rng(6)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n)]
+    items = [word(104) for _ in range(60)]  # 100 shingles
+
+    def text(w, each):
+        return " ".join(sum(([*word(400), *w[k : k + each + 4]] for k in range(0, 100, 25)), []) + word(300))
+
+    d = spark.createDataFrame([(i, text(w, 20)) for i, w in enumerate(items)] + [(100 + i, text(w, 19)) for i, w in enumerate(items)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.shared) for r in containment.leaks(d, b).collect()) == [(i, i, 80) for i in range(60)]
 
 
 def test_pii_discovers(spark):
