@@ -208,7 +208,7 @@ ORACLES = {
     "rendered_messages": _t(f"SELECT topic_seq, CAST(n AS INTEGER) AS n, n || '. [' || anchor_ref || '] score: ' || CASE WHEN score IS NULL THEN 'N/A' ELSE printf('%.2f', score) END AS line FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, topic_seq ORDER BY pos) AS n FROM proposals WHERE channel_id = '{CHANNEL}') p WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.channel_id = p.channel_id AND r.topic_seq = p.topic_seq AND r.anchor_ref = p.anchor_ref)", "proposals", **RANKED),
     "run_selection": _t("SELECT source_ref, date FROM raw WHERE source_ref IN (SELECT source_ref FROM failures)", "raw", "failures"),
     "singleton_lengths": _t("SELECT r.channel_id, anchor_ref, coalesce(text_length >= 300 AND p.source_ref IS NOT NULL, false) AS passed FROM ranked r LEFT JOIN processed p ON p.source_ref = anchor_ref WHERE type = 'singleton' AND rank = 1", "processed", "proposals", **RANKED),
-    "row_codecs": _t("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '[\"' || lang || '\",\"' || channel_id || '\"]' END AS packed, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS n FROM raw", "raw"),
+    "row_codecs": _t("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '[\"' || lang || '\",\"' || channel_id || '\"]' END AS packed, CAST(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS BIGINT) AS n FROM raw", "raw"),
     "media": "SELECT event_id, CASE k % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'document' END AS type, CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_photo, CASE k % 3 WHEN 0 THEN false WHEN 1 THEN true END AS has_document, CASE k % 3 WHEN 1 THEN 'application/pdf' END AS mime, CASE k % 3 WHEN 0 THEN k * 1024 WHEN 1 THEN k * 2048 END AS size FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     "iso_dates": _t("SELECT doc_id, strftime(date, '%Y-%m-%dT%H:%M:%S') AS iso, true AS same FROM raw", "raw"),
     "durations": _t("SELECT id, CAST(floor((epoch_us(created_at) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1000) AS BIGINT) AS ms FROM tasks", "tasks"),
