@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm import repeats
-from quillstream.llm.common import table
+from quillstream.llm.common import split_join, table
 
 WIDTH, GRAM = 35, 8
 
@@ -115,9 +115,9 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     Other columns are ignored.
     """
     own = repeats.keyed(docs)
-    found = repeats.hits(own, "words", width, gram)
+    found, hot = repeats.hits(own, "words", width, gram)
     first = repeats.firsts(found)
-    equal = found.join(first.where("n > 1").select("anchor", "content"), ["anchor", "content"])
+    equal = split_join(found, first.where("n > 1").select("anchor", "content"), ["anchor", "content"], hot, ["doc_id", "th", "start"])
     equal = equal.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("windows") + width - 1).alias("e"))
     mixed = repeats.with_text(repeats.cells(repeats.materialize(first.where("mixed"), "mixed-words")), own)
     schema = repeats.span_schema(docs)

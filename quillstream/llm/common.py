@@ -15,10 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of a key beyond which it is dealt to several tasks; the most keys that can be so hot.
+PART_ROWS, MOST_HOT = 1 << 12, 50_000
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors that the session names; a temporary one only where none is named (tests)."""
+    """The folder shared by all executors that the session names; a temporary one only where none is named and all is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -46,6 +52,27 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """keys and __parts, the number of tasks, of each key with very many rows; counts has a row for each key, with n rows.
+
+    A key is hot if it has more than PART_ROWS rows and more than the MOST_HOT-th part of all, so fewer than MOST_HOT are.
+    """
+    rows = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    part = max(PART_ROWS, rows // MOST_HOT)
+    return counts.where(F.col(n) > part).select(*keys, F.ceil(F.col(n) / part).cast("int").alias("__parts"))
+
+
+def split_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with one, which has a row for each value of keys; a hot key is split by the hash of columns `by`.
+
+    hot is what hot_keys gives.  The row of a hot key in one is copied to each of its tasks, fewer than 2 * MOST_HOT copies in all.
+    """
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__parts")
+    right = one.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right.hint("merge"), [*keys, "__part"], how).drop("__part")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, although body may use it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

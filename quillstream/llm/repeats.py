@@ -2,7 +2,7 @@
 
 1. Documents are cut into segments (see anchors).  Anchors that occur twice or more are counted; the count is combined in
    the map tasks, so a passage that every document holds is one row for each task.
-2. Segments with such an anchor are the hits, the only rows that go further.  Hits of equal content are collapsed
+2. Segments with such an anchor are the hits, the only rows that go further.  A hot anchor is dealt to several tasks.  Hits of equal content are collapsed
    to the first one and their number.
 3. Segments of equal anchor but unequal content (the edges of passages) share some windows perhaps; the operator's own
    search compares them.  Their text is cut out of the documents by a join.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm import anchors
-from quillstream.llm.common import materialize
+from quillstream.llm.common import hot_keys, materialize, split_join
 
 #: Bytes of segments that one search task takes at most, about; and segments of one anchor before it is cut into chunks.
 SHARD_BYTES, CHUNK = 1 << 19, 4096
@@ -86,10 +86,15 @@ def segments(docs: DataFrame, unit: str, width: int, gram: int, owners: bool) ->
     return docs.mapInArrow(cut, T.StructType(fields))
 
 
-def hits(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """The segments whose anchor occurs again, with mixed: whether the anchor has unequal contents."""
-    again = segments(docs, unit, width, gram, False).groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1").drop("n")
-    return materialize(segments(docs, unit, width, gram, True).join(again, "anchor"), f"hits-{unit}")
+def hits(docs: DataFrame, unit: str, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The segments whose anchor occurs again, with mixed: whether the anchor has unequal contents; and the hot contents."""
+    again = segments(docs, unit, width, gram, False).groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1")
+    again = materialize(again, f"anchors-{unit}")
+    hot = hot_keys(again, ["anchor"], "n")
+    found = materialize(split_join(segments(docs, unit, width, gram, True), again.drop("n"), ["anchor"], hot, ["doc_id", "th", "start"]), f"hits-{unit}")
+    # a hot content has a hot anchor
+    contents = found.join(F.broadcast(hot), "anchor", "left_semi").groupBy("anchor", "content").count()
+    return found, hot_keys(contents, ["anchor", "content"], "count")
 
 
 def firsts(found: DataFrame) -> DataFrame:
@@ -107,8 +112,9 @@ def cells(mixed: DataFrame) -> DataFrame:
     """
     total = mixed.agg(F.coalesce(F.sum(F.col("b1") - F.col("b0")), F.lit(0))).first()[0]
     shards = total // SHARD_BYTES + 1
-    hot = mixed.groupBy("anchor").count().where(F.col("count") > CHUNK).select("anchor", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    spread = mixed.join(hot, "anchor", "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"), F.lit(0)))
+    count = mixed.groupBy("anchor").count()
+    many = count.where(F.col("count") > CHUNK).select("anchor", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    spread = split_join(mixed, many, ["anchor"], hot_keys(count, ["anchor"], "count"), ["content"], "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"), F.lit(0)))
     spread = spread.withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     a, b = F.least("side", "other"), F.greatest("side", "other")
     g1 = F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm import repeats
-from quillstream.llm.common import table
+from quillstream.llm.common import split_join, table
 
 WIDTH, GRAM = 100, 28
 #: Positions of a shard that Kasai's rule runs through one after the other; shards advance in as many lanes as needed.
@@ -156,10 +156,10 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     each row.  Empty table: no rows.  Other columns are ignored.
     """
     own = repeats.keyed(docs)
-    found = repeats.hits(own, "bytes", width, gram)
+    found, hot = repeats.hits(own, "bytes", width, gram)
     first = repeats.firsts(found)
     f = first.where("n > 1").select("anchor", "content", F.struct("doc_id", "th", "start").alias("f"))
-    later = found.join(f, ["anchor", "content"]).where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("f")))
+    later = split_join(found, f, ["anchor", "content"], hot, ["doc_id", "th", "start"]).where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("f")))
     later = later.select("doc_id", "th", F.col("b0").alias("s"), F.col("b1").alias("e"))
     mixed = repeats.with_text(repeats.cells(repeats.materialize(first.where("mixed"), "mixed-bytes")), own)
     schema = repeats.span_schema(docs)
