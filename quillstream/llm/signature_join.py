@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm import anchors
-from quillstream.llm.common import materialize, table
+from quillstream.llm.common import hot_keys, materialize, split_join, table
 from quillstream.llm.components import components
 from quillstream.llm.repeats import keyed, same_doc
 
@@ -247,17 +247,18 @@ def _deal(rows: DataFrame, chunk: int, pairs: bool, weight: int) -> DataFrame:
     A token of more than `chunk` rows is cut into chunks; with pairs each pair of chunks has a cell, else each chunk.
     """
     count = rows.groupBy("token").count().where(F.col("count") > 1)
+    hot = hot_keys(count, ["token"], "count")
     shards = F.lit(max(64, weight // SHARD_BYTES))
-    sized = rows.join(count, "token").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
+    sized = split_join(rows, count, ["token"], hot, ["cid"]).withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
     sized = sized.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     if pairs:
         sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         cell = F.least("side", "other").cast("long") * F.col("chunks") + F.greatest("side", "other")
     else:
         cell = F.col("side").cast("long")
-    hot = F.col("chunks") > 1
-    g1 = F.when(hot, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), shards))
-    return sized.select(*rows.columns, g1.alias("g1"), F.when(hot, cell).otherwise(F.lit(-1)).alias("g2"))
+    several = F.col("chunks") > 1
+    g1 = F.when(several, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), shards))
+    return sized.select(*rows.columns, g1.alias("g1"), F.when(several, cell).otherwise(F.lit(-1)).alias("g2"))
 
 
 def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: bool) -> DataFrame:
@@ -407,7 +408,8 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
             comp = step.toDF("cid", "comp")
     rows = met.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     apart = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("token")
-    left = materialize(rows.join(apart, "token"), "left")
+    hot = hot_keys(met.groupBy("token").count(), ["token"], "count")
+    left = materialize(split_join(rows, apart, ["token"], hot, ["cid"]), "left")
     left = materialize(left.join(_possible(left, one.select("cid", "map"), percent, True), ["token", "cid"]), "left")
     texts = texts_of(left)
     late = components(_merge(left, texts, words, percent, True))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import automata, components, containment, line_dedup, mixing, pii, quality, revisits, sharding, signature_join, suffix_dedup
+from quillstream.llm import automata, common, components, containment, line_dedup, mixing, pii, quality, repeats, revisits, sharding, signature_join, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -38,7 +38,10 @@ def sha(b):
     return hashlib.sha256(b).hexdigest()
 
 
-def test_suffix_dedup(docs, rows):
+@pytest.mark.parametrize("part,chunk", [(common.PART_ROWS, repeats.CHUNK), (2, 1)])
+def test_suffix_dedup(docs, rows, monkeypatch, part, chunk):
+    monkeypatch.setattr(common, "PART_ROWS", part)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
     seen, want = set(), {}
     for d, t, _ in sorted(rows, key=key):
         b = (t or "").encode()
@@ -67,7 +70,10 @@ def test_shards_merge_by_binary_search():
     assert one.tolist() == want and two.tolist() == want
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize("part,chunk", [(common.PART_ROWS, repeats.CHUNK), (2, 1)])
+def test_substring_dedup(docs, rows, monkeypatch, part, chunk):
+    monkeypatch.setattr(common, "PART_ROWS", part)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
     count, want = Counter(), {}
     for _, t, _ in rows:
         w = (t or "").encode().split()
@@ -146,8 +152,11 @@ def groups(rows, words, percent):
     return [(d, len(s), least.get(up[i])) for i, (d, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
-def test_jaccard_join(docs, rows, words, percent):
+@pytest.mark.parametrize("words,percent,part,chunk", [(3, 90, common.PART_ROWS, signature_join.CHUNK), (5, 80, common.PART_ROWS, signature_join.CHUNK), (3, 90, 2, 2)])
+def test_jaccard_join(docs, rows, monkeypatch, words, percent, part, chunk):
+    monkeypatch.setattr(common, "PART_ROWS", part)
+    monkeypatch.setattr(signature_join, "CHUNK", chunk)
+    monkeypatch.setattr(signature_join, "BITMAP_CHUNK", 2 * chunk)
     got = signature_join.link(docs, words, percent).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted(groups(rows, words, percent), key=str)
 
@@ -184,6 +193,17 @@ def test_components(spark):
     assert {tuple(r) for r in components.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")}
 
 
+def test_split_join_gives_what_a_join_gives(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART_ROWS", 3)
+    left = spark.createDataFrame([(k, i) for k, n in (("hot", 40), ("warm", 4), ("cold", 1), ("alone", 2)) for i in range(n)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1), ("warm", 2), ("cold", 3), ("other", 4)], "k string, v int")
+    hot = common.hot_keys(left.groupBy("k").count(), ["k"], "count")
+    assert sorted(map(tuple, hot.collect())) == [("hot", 14), ("warm", 2)]
+    for how in ("inner", "left"):
+        got = common.split_join(left, right, ["k"], hot, ["i"], how)
+        assert sorted(got.collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
