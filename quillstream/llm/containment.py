@@ -34,20 +34,28 @@ _LOWER[65:91] += 32
 
 
 def shingles(raw: np.ndarray, edge: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of texts, in order, and where each text's begin; texts of fewer words have none."""
+    """The shingle hashes of texts, in order, and where each text's begin; fewer words make one shingle, no words none."""
     own = _LOWER[raw]
     start, end, owner = anchors.words(own, edge)
     hashes = anchors.word_hashes(own, start, end)
     inner = np.searchsorted(owner, np.arange(len(edge)))
-    n = len(hashes) - words + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(edge), dtype=np.int64)
+    n = max(0, len(hashes) - words + 1)
     out = np.full(n, words, dtype=np.uint64)
     for j in range(words):
         out = anchors.mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n + j])
-    of = owner[:n]
-    keep = of == owner[words - 1 :]
-    return out[keep], np.searchsorted(of[keep], np.arange(len(edge)))
+    keep = owner[:n] == owner[len(owner) - n :]
+    out, of = out[keep], owner[:n][keep]
+    length = np.diff(inner)
+    short = np.flatnonzero((length > 0) & (length < words))
+    if len(short):
+        whole = length[short].astype(np.uint64)
+        for j in range(words - 1):
+            more = np.flatnonzero(length[short] > j)
+            whole[more] = anchors.mix(whole[more] * np.uint64(0x9E3779B97F4A7C15) + hashes[inner[short[more]] + j])
+        out, of = np.concatenate((out, whole)), np.concatenate((of, short))
+        order = np.argsort(of, kind="stable")
+        out, of = out[order], of[order]
+    return out, np.searchsorted(of, np.arange(len(edge)))
 
 
 def minima(values: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
@@ -116,8 +124,8 @@ class Index:
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, th, item_id, item_shingles, shared, containment: a row for each item that a document holds.
 
-    Shingles: `words` words, A-Z in lower case.  Held: 100 * shared >= percent * item_shingles.  Null or short texts hold
-    nothing; null or short items are held by nothing.  Equal ids and repeated rows get a row each.  Empty tables: no rows.
+    Shingles: `words` words, A-Z in lower case; fewer words make one shingle, which only an equal sequence has.  Held:
+    100 * shared >= percent * item_shingles.  Texts without words hold nothing, items without words are held by nothing.  Equal ids and repeated rows get a row each.  Empty tables: no rows.
     Other columns are ignored.  Distinct texts of items are searched for in blocks of BLOCK_BYTES, so what is sent to the
     tasks is bounded, however often an item is repeated; the ids of items are joined to what is found.
     """
@@ -164,10 +172,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: lower(x)) AS w FROM benchmark WHERE text IS NOT NULL),
-g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS item_shingles FROM g GROUP BY item_id),
 d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: lower(x)) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
 h AS (SELECT doc_id, item_id, count(*) AS shared FROM s JOIN g USING (gram) GROUP BY ALL)
 SELECT doc_id, item_id, item_shingles, shared, round(shared / item_shingles, 6) AS containment
 FROM h JOIN n USING (item_id) WHERE 100 * shared >= 80 * item_shingles

@@ -61,17 +61,20 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
     r = records.select("record_id", "url", "ts", F.coalesce("revisit", F.lit(False)).alias("revisit"), "headers", "digest")
     r = r.withColumn("canonical", canonical(F.col("url"))).withColumn("slice", F.floor(F.col("ts") / slice_seconds))
     me = F.struct("record_id", "headers", "digest")
-    full = ~F.col("revisit") & F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    known = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    full = ~F.col("revisit") & known
+    # records of no known URL or time have no response and would all meet in one task: each gets a place of its own
+    r = r.withColumn("place", F.when(known, F.col("canonical")).otherwise(F.concat_ws(" ", F.lit("?"), "record_id", "url", "ts")))
     r = r.withColumn("me", me).withColumn("stored", F.when(full, F.struct("ts", "record_id", "headers", "digest").alias("s")))
     lasts = r.where("stored is not null").groupBy("canonical", "slice").agg(F.max_by("stored", F.struct("ts", "record_id")).alias("last"))
-    spans = r.where("revisit").select("canonical", "slice").distinct().join(lasts, ["canonical", "slice"], "full")
+    spans = r.where(F.col("revisit") & known).select("canonical", "slice").distinct().join(lasts, ["canonical", "slice"], "full")
     carry = spans.withColumn("before", F.last("last", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
     carry = carry.select(F.col("canonical").alias("c_url"), F.col("slice").alias("c_slice"), "before")
     # responses after revisits of the same second: a response must be earlier; of equal seconds the largest id comes last
-    within = Window.partitionBy("canonical", "slice").orderBy("ts", F.col("revisit").desc(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("place", "slice").orderBy("ts", F.col("revisit").desc(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     own = r.withColumn("near", F.last("stored", ignorenulls=True).over(within)).where("revisit")
-    joined = own.join(carry, F.col("canonical").eqNullSafe(F.col("c_url")) & F.col("slice").eqNullSafe(F.col("c_slice")), "left")
-    joined = joined.withColumn("response", F.when(F.col("canonical").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "before")))
+    joined = own.join(carry, (F.col("place") == F.col("c_url")) & (F.col("slice") == F.col("c_slice")), "left")
+    joined = joined.withColumn("response", F.when(known, F.coalesce("near", "before")))
     agree = validators_agree(F.col("me"), F.col("response"))
     found = F.col("response").isNotNull()
     return joined.select(
