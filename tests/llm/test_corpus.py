@@ -38,7 +38,7 @@ def sha(b):
     return hashlib.sha256(b).hexdigest()
 
 
-@pytest.mark.parametrize("part,chunk", [(common.PART_ROWS, repeats.CHUNK), (2, 1)])
+@pytest.mark.parametrize("part,chunk", [(common.PART_ROWS, repeats.CHUNK), (2, 4)])
 def test_suffix_dedup(docs, rows, monkeypatch, part, chunk):
     monkeypatch.setattr(common, "PART_ROWS", part)
     monkeypatch.setattr(repeats, "CHUNK", chunk)
@@ -70,7 +70,7 @@ def test_shards_merge_by_binary_search():
     assert one.tolist() == want and two.tolist() == want
 
 
-@pytest.mark.parametrize("part,chunk", [(common.PART_ROWS, repeats.CHUNK), (2, 1)])
+@pytest.mark.parametrize("part,chunk", [(common.PART_ROWS, repeats.CHUNK), (2, 4)])
 def test_substring_dedup(docs, rows, monkeypatch, part, chunk):
     monkeypatch.setattr(common, "PART_ROWS", part)
     monkeypatch.setattr(repeats, "CHUNK", chunk)
