@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 PART_ROWS, MOST_HOT = 1 << 12, 50_000
 
 
+@cache
+def _local_dir() -> str:
+    """One temporary folder for this process, for tests on one machine."""
+    return f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by all executors that the session names; a temporary one only where none is named and all is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _local_dir()
     return at.rstrip("/")
 
 
