@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstream.llm import automata, containment, line_dedup, mixing, pii, quality, revisits, sharding, signature_join, suffix_dedup
+from quillstream.llm import automata, containment, divergence, line_dedup, mixing, phrases, pii, quality, revisits, sentence_pieces, sharding, signature_join, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_quality_rules": quality.query,
     "op10_decontamination": containment.query,
+    "op11_source_divergence": divergence.query,
+    "op12_sentence_pieces": sentence_pieces.query,
+    "op13_phrases": phrases.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op2_revisits": revisits.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_decontamination": containment.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
