@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm import anchors
+from quillstream.llm import anchors, common
 from quillstream.llm.common import hot_keys, materialize, split_join
 
 #: Bytes of segments that one search task takes at most, about; and segments of one anchor before it is cut into chunks.
@@ -91,10 +91,11 @@ def hits(docs: DataFrame, unit: str, width: int, gram: int) -> tuple[DataFrame,
     again = segments(docs, unit, width, gram, False).groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1")
     again = materialize(again, f"anchors-{unit}")
     hot = hot_keys(again, ["anchor"], "n")
-    found = materialize(split_join(segments(docs, unit, width, gram, True), again.drop("n"), ["anchor"], hot, ["doc_id", "th", "start"]), f"hits-{unit}")
+    known = again.select("anchor", "mixed", (F.col("n") > common.PART_ROWS).alias("often"))
+    found = materialize(split_join(segments(docs, unit, width, gram, True), known, ["anchor"], hot, ["doc_id", "th", "start"]), f"hits-{unit}")
     # a hot content has a hot anchor
-    contents = found.join(F.broadcast(hot), "anchor", "left_semi").groupBy("anchor", "content").count()
-    return found, hot_keys(contents, ["anchor", "content"], "count")
+    contents = found.where("often").groupBy("anchor", "content").count()
+    return found.drop("often"), hot_keys(contents, ["anchor", "content"], "count")
 
 
 def firsts(found: DataFrame) -> DataFrame:
