@@ -25,8 +25,11 @@ from quillstream.llm.divergence import pieces
 MIN_COUNT, MAX_WORDS, FIRST = 100, 5, 2000
 #: Bits of the bitmap (8 MB, whatever the corpus) and those of a row of it.
 BITS, ROW = 1 << 26, 1 << 15
-#: Grams that a task counts before it passes them on; tasks that a language's phrases are ranked in at first.
-ENTRIES, SALTS = 1 << 19, 64
+#: Words that are counted at once; entries that a task holds before it passes them on; grams that it passes on at once.
+TOKENS, ENTRIES, ROWS = 1 << 19, 1 << 20, 1 << 16
+#: Tasks that a language's phrases are ranked in at first.
+SALTS = 64
+_FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 #: A-Z to lower case, tabs to spaces, what ends a piece to a full stop, which is no word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -39,81 +42,133 @@ def slices(raw: bytes) -> Iterator[list[bytes]]:
 
 
 def hashed(lang: str, gram: bytes) -> int:
-    """The bit of a gram: as xxhash64 of lang, a zero and the gram in Spark, which starts from 42."""
-    return xxhash.xxh64_intdigest(lang.encode() + b"\0" + gram, seed=42) % BITS
+    """As xxhash64 of lang, a zero and the gram in Spark, which starts from 42."""
+    return xxhash.xxh64_intdigest(lang.encode() + b"\0" + gram, seed=42)
 
 
-def bits(grams: DataFrame) -> np.ndarray:
-    """The bitmap of (lang, gram); BITS bits in the driver."""
-    slot = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), "gram"))
-    slot = F.pmod(slot, F.lit(BITS))
-    own = grams.select(F.floor(slot / ROW).cast("int").alias("row"), (slot % ROW).alias("bit"))
+def pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bits of pairs of words, from the words' hashes."""
+    return (anchors.mix(first * _FIRST ^ second) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
+def collected(slots: DataFrame) -> np.ndarray:
+    """The bitmap of a column `slot`; BITS bits in the driver."""
+    own = slots.select(F.floor(F.col("slot") / ROW).cast("int").alias("row"), (F.col("slot") % ROW).alias("bit"))
     out = np.zeros(BITS // 8, dtype=np.uint8)
     for row, part in own.groupBy("row").agg(F.bitmap_construct_agg("bit")).collect():  # BITS / ROW rows at most
         out[row * ROW // 8 : (row + 1) * ROW // 8] |= np.frombuffer(part, dtype=np.uint8)
     return out
 
 
-def marked(bitmap: np.ndarray, bit: int) -> bool:
-    return bool(bitmap[bit >> 3] >> (bit & 7) & 1)
+def word_bits(grams: DataFrame) -> np.ndarray:
+    """The bitmap of words (lang, gram)."""
+    key = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), "gram"))
+    return collected(grams.select(F.pmod(key, F.lit(BITS)).alias("slot")))
+
+
+def pair_bits(grams: DataFrame) -> np.ndarray:
+    """The bitmap of pairs (lang, gram)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(lang, *gram.split(b" ")) for lang, gram in zip(batch.column("lang").to_pylist(), batch.column("gram").to_pylist(), strict=True)]
+            first, second = (np.array([hashed(x[0], x[k]) for x in pairs], dtype=np.uint64) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_slots(first, second))], names=["slot"])
+
+    return collected(grams.select("lang", "gram").mapInArrow(run, "slot long"))
+
 
+def marked(bitmap: np.ndarray, slots: np.ndarray | int) -> np.ndarray:
+    return (bitmap[slots >> 3] >> (slots & 7)) & 1 > 0
 
-class Marks(dict):
-    """Numbers, from 1, of the grams of a language that a bitmap has; 0 for all others and for full stops."""
+
+class Words(dict):
+    """Numbers, from 1, of the words of a language that a bitmap has; 0 for all others and for full stops."""
 
     def __init__(self, lang: str, bitmap: np.ndarray | None):
         super().__init__({b".": 0})
         self.lang, self.bitmap = lang, bitmap
-        self.names = [b""]
+        self.names, self.hashes = [b""], [0]
 
-    def __missing__(self, gram: bytes) -> int:
-        n = 0
-        if self.bitmap is None or marked(self.bitmap, hashed(self.lang, gram)):
+    def __missing__(self, word: bytes) -> int:
+        n, h = 0, hashed(self.lang, word)
+        if self.bitmap is None or marked(self.bitmap, h % BITS):
             n = len(self.names)
-            self.names.append(gram)
-        self[gram] = n
+            self.names.append(word)
+            self.hashes.append(h)
+        self[word] = n
         return n
 
 
 class Counter:
-    """Counts of the grams of one language, of `low` to `high` words."""
+    """Counts of the grams of one language, of `low` to `high` words: words by number, pairs by two numbers, longer ones as text."""
 
     def __init__(self, lang: str, low: int, high: int, words: np.ndarray | None, pairs: np.ndarray | None):
-        self.low, self.high = low, high
-        self.words, self.pairs = Marks(lang, words), Marks(lang, pairs)
-        self.counts: dict[bytes, int] = {}
-
-    def add(self, ids: np.ndarray, fresh: int) -> None:
-        """ids: numbers of consecutive words; only grams that end at place `fresh` or later count."""
-        number, width = ids, 1
+        self.low, self.high, self.pairs = low, high, pairs
+        self.words = Words(lang, words)
+        self.hashes = np.zeros(1, dtype=np.uint64)
+        self.counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.longer: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        """What it takes up, in entries of a table of words; a pair takes an eighth of that."""
+        return len(self.words) + len(self.longer) + sum(len(k) for k, _ in self.counts.values()) // 8
+
+    def _count(self, width: int, keys: np.ndarray) -> None:
+        there, n = np.unique(keys, return_counts=True)
+        if width in self.counts:
+            old, m = self.counts[width]
+            both, back = np.unique(np.concatenate((old, there)), return_inverse=True)
+            total = np.zeros(len(both), dtype=np.int64)
+            np.add.at(total, back, np.concatenate((m, n)))
+            there, n = both, total
+        self.counts[width] = there, n
+
+    def add(self, tokens: list[bytes], fresh: int) -> None:
+        """tokens: consecutive words; only grams that end at place `fresh` or later count."""
+        ids = np.fromiter(map(self.words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.low == 1:
+            own = ids[fresh:]
+            self._count(1, own[own > 0])
+        if self.high == 1 or len(ids) < 2:
+            return
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        if self.pairs is not None:
+            if len(self.hashes) < len(self.words.names):
+                self.hashes = np.array(self.words.hashes, dtype=np.uint64)
+            at = at[marked(self.pairs, pair_slots(self.hashes[ids[at]], self.hashes[ids[at + 1]]))]
+        key = (ids[at] << 32) + ids[at + 1]
+        if self.low <= 2:
+            self._count(2, key[at + 1 >= fresh])
+        if self.high == 2:
+            return
+        # a gram's number stands at the place of its first word; the next longer one needs the pair at its end, too
+        there, back = np.unique(key, return_inverse=True)
         names = self.words.names
-        strings = names  # of the grams of `width` words, by their number
-        linked = None
-        while width <= self.high and len(number):
-            if width >= self.low:
-                ends = number[max(0, fresh - width + 1) :]
-                there, n = np.unique(ends[ends > 0], return_counts=True)
-                for k, c in zip(there.tolist(), n.tolist(), strict=True):
-                    gram = strings[k]
-                    self.counts[gram] = self.counts.get(gram, 0) + c
-            if width == self.high:
+        text = [names[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in there.tolist()]
+        linked = np.zeros(len(ids), dtype=bool)
+        linked[at] = True
+        number = back
+        for width in range(3, self.high + 1):
+            more = np.flatnonzero((at + width - 2 < len(ids)) & linked[np.minimum(at + width - 2, len(ids) - 1)])
+            at, number = at[more], number[more]
+            if not len(at):
                 return
-            # a gram and the word after it, where both count and the pair at the seam does
-            both = np.where((number[:-1] > 0) & (ids[width:] > 0), (number[:-1] << 32) + ids[width:], 0)
-            if width >= 2:
-                both[linked[width - 1 : width - 1 + len(both)] == 0] = 0
-            there, back = np.unique(both, return_inverse=True)
-            longer = [b"" if k == 0 else strings[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in there.tolist()]
-            if width == 1 and self.pairs.bitmap is not None:
-                keep = np.array([bool(g) and self.pairs[g] > 0 for g in longer], dtype=bool)
-            else:
-                keep = there > 0
-            renumber = np.where(keep, np.cumsum(keep), 0)
-            strings = [b"", *(g for g, k in zip(longer, keep.tolist(), strict=True) if k)]
-            number = renumber[back]
-            width += 1
-            if width == 2:
-                linked = number
+            there, number = np.unique((number << 32) + ids[at + width - 1], return_inverse=True)
+            text = [text[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in there.tolist()]
+            if width >= self.low:
+                n = np.bincount(number[at + width - 1 >= fresh], minlength=len(text))
+                for k in np.flatnonzero(n).tolist():
+                    self.longer[text[k]] = self.longer.get(text[k], 0) + int(n[k])
+
+    def rows(self) -> Iterator[tuple[list[bytes], list[int]]]:
+        """The grams and their counts, some at a time."""
+        names = self.words.names
+        for width, (keys, n) in self.counts.items():
+            for i in range(0, len(keys), ROWS):
+                own = keys[i : i + ROWS].tolist()
+                yield [names[k] if width == 1 else names[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in own], n[i : i + ROWS].tolist()
+        if self.longer:
+            yield list(self.longer), list(self.longer.values())
 
 
 def count_grams(batches: Iterator[pa.RecordBatch], low: int, high: int, words: np.ndarray | None, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -121,12 +176,18 @@ def count_grams(batches: Iterator[pa.RecordBatch], low: int, high: int, words: n
     own: dict[str, Counter] = {}
 
     def drain() -> Iterator[pa.RecordBatch]:
-        for lang, c in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c.counts), type=pa.string()), pa.array(list(c.counts), type=pa.binary()), pa.array(list(c.counts.values()), type=pa.int64())], names=["lang", "gram", "n"])
+        for lang, counter in own.items():
+            for grams, n in counter.rows():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), type=pa.string()), pa.array(grams, type=pa.binary()), pa.array(n, type=pa.int64())], names=["lang", "gram", "n"])
         own.clear()
 
-    def take(counter: Counter, tokens: list[bytes], fresh: int) -> None:
-        counter.add(np.fromiter(map(counter.words.__getitem__, tokens), dtype=np.int64, count=len(tokens)), fresh)
+    def take(lang: str, tokens: list[bytes], fresh: int) -> None:
+        if lang not in own:
+            own[lang] = Counter(lang, low, high, words, pairs)
+        own[lang].add(tokens, fresh)
+
+    def full() -> bool:
+        return sum(map(len, own.values())) > ENTRIES
 
     for batch in batches:
         raw, edge = anchors.utf8(batch.column("text"))
@@ -135,25 +196,19 @@ def count_grams(batches: Iterator[pa.RecordBatch], low: int, high: int, words: n
             tokens, cut = waiting.setdefault(lang, []), 0
             for part in slices(raw[edge[k] : edge[k + 1]].tobytes()):
                 tokens += part
-                if len(tokens) > ENTRIES:
-                    if lang not in own:
-                        own[lang] = Counter(lang, low, high, words, pairs)
-                    take(own[lang], tokens, cut)
-                    if sum(len(c.counts) + len(c.words) + len(c.pairs) for c in own.values()) > 2 * ENTRIES:
+                if len(tokens) > TOKENS:
+                    take(lang, tokens, cut)
+                    if full():
                         yield from drain()
                     tokens[:] = tokens[max(0, len(tokens) - high + 1) :]  # grams that run on into the next slice
                     cut = len(tokens)
             tokens.append(b".")
             if cut:
-                if lang not in own:
-                    own[lang] = Counter(lang, low, high, words, pairs)
-                take(own[lang], tokens, cut)
+                take(lang, tokens, cut)
                 tokens.clear()
         for lang, tokens in waiting.items():
-            if lang not in own:
-                own[lang] = Counter(lang, low, high, words, pairs)
-            take(own[lang], tokens, 0)
-        if sum(len(c.counts) + len(c.words) + len(c.pairs) for c in own.values()) > 2 * ENTRIES:
+            take(lang, tokens, 0)
+        if full():
             yield from drain()
     yield from drain()
 
@@ -183,9 +238,9 @@ def mine(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, fi
     all_words = materialize(all_words, "phrases-words")
     total = all_words.groupBy("lang").agg(F.sum("n").alias("words"))
     often = F.col("n") >= least
-    words = bits(all_words.where(often))
+    words = word_bits(all_words.where(often))
     two = materialize(frequent(docs, 2, 2, least, words)[0], "phrases-pairs")
-    pairs = bits(two)
+    pairs = pair_bits(two)
     grams = all_words.where(often).unionByName(two)
     if max_words > 2:
         more = materialize(frequent(docs, 3, max_words, least, words, pairs)[0], "phrases-more")

@@ -135,30 +135,45 @@ def test_phrases(docs, rows, least, longest, first):
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("entries,slice_", [(20, 16), (100, 1000), (7, 5)])
-def test_grams_are_counted_in_parts(rows, monkeypatch, entries, slice_):
+@pytest.mark.parametrize("tokens,entries,slice_", [(20, 30, 16), (100, 1, 1000), (7, 10000, 5)])
+def test_grams_are_counted_in_parts(rows, monkeypatch, tokens, entries, slice_):
+    monkeypatch.setattr(phrases, "TOKENS", tokens)
     monkeypatch.setattr(phrases, "ENTRIES", entries)
+    monkeypatch.setattr(phrases, "ROWS", 5)
     monkeypatch.setattr(phrases, "pieces", lambda raw, table: divergence.pieces(raw, table, slice_))
     some = [r for r in rows if len(r[1] or "") < 3000][:60]
     batch = pa.record_batch({"lang": [r[2] or "" for r in some], "text": [r[1] or "" for r in some]})
-    got, want = Counter(), Counter()
-    for out in phrases.count_grams(iter([batch, batch]), 1, 5, None, None):
-        for r in out.to_pylist():
-            got[r["lang"], r["gram"]] += r["n"]
+    want = Counter()
     for _, text, lang, _ in some:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", low(text)):
             w = re.findall(r"[^\x20\x09]+", piece)
             for k in range(1, 6):
                 for i in range(len(w) - k + 1):
-                    want[lang or "", " ".join(w[i : i + k]).encode()] += 2
+                    want[lang or "", k, " ".join(w[i : i + k]).encode()] += 2
+    got = Counter()
+    for lowest, highest in ((1, 1), (2, 2), (3, 5)):
+        for out in phrases.count_grams(iter([batch, batch]), lowest, highest, None, None):
+            for r in out.to_pylist():
+                got[r["lang"], r["gram"].count(b" ") + 1, r["gram"]] += r["n"]
+    assert got == want
+    got = Counter()
+    for out in phrases.count_grams(iter([batch, batch]), 1, 5, None, None):
+        for r in out.to_pylist():
+            got[r["lang"], r["gram"].count(b" ") + 1, r["gram"]] += r["n"]
     assert got == want
 
 
-def test_bitmap_has_every_gram(spark):
+def test_bitmaps_have_every_gram(spark):
     df = spark.range(3000).selectExpr("'en' AS lang", "cast(concat('wörd', id) AS binary) AS gram")
-    have = phrases.bits(df)
-    assert all(phrases.marked(have, phrases.hashed("en", f"wörd{i}".encode())) for i in range(3000))
-    assert sum(phrases.marked(have, phrases.hashed("en", f"other{i}".encode())) for i in range(3000)) < 10
+    have = phrases.word_bits(df)
+    bit = lambda w: phrases.hashed("en", w.encode()) % phrases.BITS
+    assert all(phrases.marked(have, bit(f"wörd{i}")) for i in range(3000))
+    assert sum(bool(phrases.marked(have, bit(f"other{i}"))) for i in range(3000)) < 10
+    have = phrases.pair_bits(df.selectExpr("lang", "cast(concat(cast(gram AS string), ' b') AS binary) AS gram"))
+    b = np.array([phrases.hashed("en", b"b")] * 3000, dtype=np.uint64)
+    w, o = (np.array([phrases.hashed("en", f"{x}{i}".encode()) for i in range(3000)], dtype=np.uint64) for x in ("wörd", "other"))
+    assert phrases.marked(have, phrases.pair_slots(w, b)).all() and phrases.marked(have, phrases.pair_slots(o, b)).sum() < 10
+    assert phrases.marked(have, phrases.pair_slots(b, w)).sum() < 10
 
 
 def test_scores_beyond_64_bits(spark):
