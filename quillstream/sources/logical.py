@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, where: str = "true") -> DataFrame:
+    """A test table; `where` is a condition on its own columns, for keys that a logical table builds from them."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").where(where)
 
 
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -38,24 +39,24 @@ def failures(spark: SparkSession, d: str) -> DataFrame:
     return raw_messages(spark, d).where("doc_id % 10 = 0").selectExpr("doc_id", "channel_id", "source_ref", "doc_id % 3 + 1 AS attempts", "date AS last_attempt_at")
 
 
-def sources(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "nation").selectExpr("concat('src', n_nationkey) AS channel_id", "concat('source_', n_nationkey) AS source_id", "CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) END AS username", "CASE WHEN n_regionkey = 0 THEN 'error' WHEN n_regionkey = 1 THEN 'paused' ELSE 'active' END AS status")
+def sources(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    return read(spark, d, "nation", where).selectExpr("concat('src', n_nationkey) AS channel_id", "concat('source_', n_nationkey) AS source_id", "CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) END AS username", "CASE WHEN n_regionkey = 0 THEN 'error' WHEN n_regionkey = 1 THEN 'paused' ELSE 'active' END AS status")
 
 
-def tasks(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").selectExpr("event_id AS id", "concat('agent_', user_id % 7) AS agent_name", "event_type AS task_type", "event_type <> 'error' AS success", "CASE WHEN event_id % 17 <> 0 THEN cast(floor(value * 10) AS bigint) END AS ms", "ts AS created_at", "CASE WHEN event_id % 19 <> 0 THEN ts + INTERVAL 14 DAYS END AS expires_at", "concat('src', user_id % 20) AS channel_id", "user_id")
+def tasks(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    return read(spark, d, "events", where).selectExpr("event_id AS id", "concat('agent_', user_id % 7) AS agent_name", "event_type AS task_type", "event_type <> 'error' AS success", "CASE WHEN event_id % 17 <> 0 THEN cast(floor(value * 10) AS bigint) END AS ms", "ts AS created_at", "CASE WHEN event_id % 19 <> 0 THEN ts + INTERVAL 14 DAYS END AS expires_at", "concat('src', user_id % 20) AS channel_id", "user_id")
 
 
-def handoffs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").selectExpr("o_orderkey AS id", "concat('agent_', o_custkey % 7) AS source_agent", "concat('agent_', o_orderkey % 5) AS target_agent", "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'completed' WHEN '2' THEN 'failed' WHEN '3' THEN 'rejected' WHEN '4' THEN 'pending' ELSE 'accepted' END AS status", "CASE WHEN o_orderkey % 11 <> 0 THEN cast(floor(o_totalprice) AS bigint) END AS ms", "cast(o_orderdate AS timestamp_ntz) AS created_at")
+def handoffs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    return read(spark, d, "orders", where).selectExpr("o_orderkey AS id", "concat('agent_', o_custkey % 7) AS source_agent", "concat('agent_', o_orderkey % 5) AS target_agent", "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'completed' WHEN '2' THEN 'failed' WHEN '3' THEN 'rejected' WHEN '4' THEN 'pending' ELSE 'accepted' END AS status", "CASE WHEN o_orderkey % 11 <> 0 THEN cast(floor(o_totalprice) AS bigint) END AS ms", "cast(o_orderdate AS timestamp_ntz) AS created_at")
 
 
-def jobs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").selectExpr("concat('job_', o_orderkey) AS job_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'export' ELSE 'process' END AS job_type", "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status", "cast(o_orderdate AS timestamp_ntz) AS created_at", "o_custkey % 100 AS progress")
+def jobs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    return read(spark, d, "orders", where).selectExpr("concat('job_', o_orderkey) AS job_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'export' ELSE 'process' END AS job_type", "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status", "cast(o_orderdate AS timestamp_ntz) AS created_at", "o_custkey % 100 AS progress")
 
 
-def agents(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "supplier").selectExpr("concat('agent_', s_suppkey) AS name", "CASE WHEN s_suppkey % 4 = 0 THEN 'export' ELSE 'process' END AS agent_type", "s_suppkey % 5 <> 0 AS is_active", "filter(array('text', CASE WHEN s_suppkey % 2 = 0 THEN 'topics' END, CASE WHEN s_suppkey % 3 = 0 THEN 'export' END), x -> x IS NOT NULL) AS capabilities", "s_suppkey * 7 % 50 AS tasks", "s_suppkey % 7 AS errors")
+def agents(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    return read(spark, d, "supplier", where).selectExpr("concat('agent_', s_suppkey) AS name", "CASE WHEN s_suppkey % 4 = 0 THEN 'export' ELSE 'process' END AS agent_type", "s_suppkey % 5 <> 0 AS is_active", "filter(array('text', CASE WHEN s_suppkey % 2 = 0 THEN 'topics' END, CASE WHEN s_suppkey % 3 = 0 THEN 'export' END), x -> x IS NOT NULL) AS capabilities", "s_suppkey * 7 % 50 AS tasks", "s_suppkey % 7 AS errors")
 
 
 def handoff_events(spark: SparkSession, d: str) -> DataFrame:

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quillstream.operators import tables
+
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append what is new in the folder `source` to the Parquet table `target`, each key once.
+    """Append what is new in the folder `source` to the keyed table `target`, each key once; null is a key like others.
 
     The checkpoint, which is the cursor, is committed after the rows are; a batch that is run again finds its keys there.
-    State does not grow with the stream: keys are compared with the stored table.
+    State does not grow with the stream: keys are compared with the slots of the table that they belong to.
     """
     def write(batch: DataFrame, _: int) -> None:
-        old = spark.read.schema(schema).parquet(target).select(key)
-        batch.dropDuplicates([key]).join(old, key, "left_anti").write.mode("append").parquet(target)
+        tables.add(spark, target, batch, [key], [F.col(f"`{c}`") for c in schema.names if c != key] or [F.lit(0)], schema)
 
     # the first run makes the table, without rows; a table that cannot be read later is an error, not a missing one
-    spark.createDataFrame([], schema).write.mode("append").parquet(target)
+    tables.create(spark, target, schema)
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -84,16 +84,6 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(dst).count() == 10
 
 
-def test_versioned_table(spark, tmp_path):
-    from quillstream.operators.store import VersionedTable
-
-    t = VersionedTable(spark, f"file://{tmp_path}/t")
-    assert t.read() is None
-    t.write(spark.range(3))
-    t.write(spark.range(5))
-    assert t.read().count() == 5
-
-
 def test_scorer_isolates_failures(spark):
     from quillstream.operators import scoring
 
