@@ -27,7 +27,7 @@ from quillstream.llm.common import table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters that are encoded at once; parts whose pieces a task remembers; characters of a part that is merged with others at once.
-BLOCK, KNOWN, SHORT = 1 << 21, 1 << 20, 48
+BLOCK, KNOWN, SHORT = 1 << 20, 1 << 19, 48
 #: Kinds of pieces (fixed values).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -411,15 +411,16 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, proto: bytes, begin: bool = True, end: bool = True) -> DataFrame:
+def encode(docs: DataFrame, proto: bytes, begin: bool = True, end: bool = True, decoded: bool = False) -> DataFrame:
     """doc_id, ids, starts, ends for every row of docs, each packed as little-endian unsigned 32-bit numbers.
 
     ids are those of the library, with its begin and end ids if asked for; starts and ends are the bytes of the text that a
     piece stands for (begin id: 0 and 0, end id: the text's length twice; of a character that is spelled as bytes the last
-    byte has it all).  Null text: empty, which has no pieces.  Ids of documents may be null or equal.  Long texts are cut
+    byte has it all).  With decoded also the text that decode makes of the ids, in the same pass.  Null text: empty, which has
+    no pieces.  Ids of documents may be null or equal.  Long texts are cut
     between words only, so a text without spaces is merged at once.  Empty table: no rows.  Other columns are ignored.
     """
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.BinaryType()) for c in ("ids", "starts", "ends")]])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.BinaryType()) for c in ("ids", "starts", "ends")], *[T.StructField("decoded", T.StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(proto)
@@ -431,11 +432,15 @@ def encode(docs: DataFrame, proto: bytes, begin: bool = True, end: bool = True)
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + BLOCK, side="right")) - 1)
                 texts = batch.column("text").slice(lo, hi - lo).to_pylist()
                 out: tuple[list[bytes], ...] = ([], [], [])
+                again = []
                 for text, (ids, a, b) in zip(texts, own.block(texts), strict=True):
                     size = len(text.encode())
                     for into, head, values, tail in zip(out, (first, [0] * begin, [0] * begin), (ids, a, b), (last, [size] * end, [size] * end), strict=True):
                         into.append(packed(np.concatenate((head, values, tail))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(x, type=pa.binary()) for x in out]], names=schema.names)
+                    if decoded:
+                        again.append(own.model.decode(np.frombuffer(out[0][-1], dtype="<u4")))
+                made = [pa.array(x, type=pa.binary()) for x in out] + [pa.array(again, type=pa.string())] * decoded
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *made], names=schema.names)
                 lo = hi
 
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, schema)
@@ -461,5 +466,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     proto = read_model(public_tokenizers.path(MODEL))
-    out = decode(encode(table(spark, sf_dir, "documents"), proto), proto)
+    out = encode(table(spark, sf_dir, "documents"), proto, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
