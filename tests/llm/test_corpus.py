@@ -261,10 +261,10 @@ def test_containment(spark, monkeypatch):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(97, "a text that is too short by far"), (98, "TOO\n short"), (99, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in containment.leaks(d, b).collect()) == [(i, i) for i in range(30)] + [(98, 31)]
     assert sorted(r.doc_id for r in containment.clean(d, b).collect()) == [30, 97, 99]
-    # repeated items and rows, null ids, clashing columns, and a bound that one item exceeds
+    # repeated items and rows, null ids, clashing columns, and bitmaps that say little
     more = b.unionByName(spark.createDataFrame([(100, items[0]), (None, items[1])], b.schema)).withColumn("doc_id", F.lit(5)).withColumn("shared", F.lit("x"))
     twice = d.unionByName(d.where("doc_id = 0")).withColumn("item_id", F.lit(1)).withColumn("th", F.lit("y"))
-    monkeypatch.setattr(containment, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(containment, "fitting", lambda entries: 256)
     want = [(i, i) for i in range(30)] + [(0, 0), (0, 100), (0, 100), (1, None), (98, 31)]
     assert sorted(((r.doc_id, r.item_id) for r in containment.leaks(twice, more).collect()), key=str) == sorted(want, key=str)
 
@@ -283,6 +283,21 @@ def test_containment_finds_scattered_items(spark):
     assert sorted((r.doc_id, r.item_id, r.shared) for r in containment.leaks(d, b).collect()) == [(i, i, 80) for i in range(60)]
 
 
+def test_many_items_are_rows_not_closures(spark):
+    """Ten thousand items: all that are held are found, and the driver gets counts and bitmaps only."""
+    rng = np.random.default_rng(8)
+    vocabulary = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(3000)])
+    items = [" ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(6, 60, 10000)]
+    held = [int(x) for x in rng.choice(10000, 150, replace=False)]
+    texts = [" ".join(rng.choice(vocabulary, 300)) + " " + " ".join(items[i] for i in held[k : k + 3]) for k in range(0, 150, 3)] + [" ".join(rng.choice(vocabulary, 4000)) + " é" * 20]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = containment.leaks(d, b)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} >= {(k // 3, held[k]) for k in range(150)} and all(r.containment >= 0.8 for r in out.collect())
+    plan = out._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "LocalTableScan" not in plan.split("== Physical Plan ==")[1]
+
+
 def test_pii_discovers(spark):
     rows = [(i, f"text here contact id user{i}@x.com and more") for i in range(8)] + [(8, "so contact id anna77 then"), (9, None), (10, "call +1 (743) 555-3824 or 1.2.3.4")]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
