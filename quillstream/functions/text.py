@@ -17,7 +17,7 @@ CYRILLIC, LATIN = "[а-яёА-ЯЁ]", "[a-zA-Z]"
 
 #: Topics and the substrings that bring them in, in order (fixed values).
 TOPIC_KEYWORDS = {
-    "laboratory": ("лаборатория", "laboratory", "анализ", "analysis", "тест", "test"),
+    "laboratory": ("лаборатория", "laboratory", "анализ", "analysis", "test", "тест"),
     "diagnostics": ("диагностика", "diagnostics", "диагноз", "diagnosis"),
     "medicine": ("медицина", "medicine", "врач", "doctor", "лечение", "treatment"),
     "research": ("исследование", "research", "study", "научный", "scientific"),

@@ -18,6 +18,17 @@ def write_ndjson(df: DataFrame, key: str, path: str, compression: str = "none")
     ndjson(df, key).write.option("compression", compression).text(path)
 
 
+def agent_lines(docs: DataFrame) -> DataFrame:
+    """docs with value: the eight fields that agents export, as a JSON object in this order; null stands for a field that a document lacks.
+
+    id falls back on source_ref, also where it is empty; lists and metadata are empty, text is '' and language `unknown` by default.
+    """
+    own = {f.name: f.dataType for f in docs.schema}
+    or_empty = lambda c, empty: F.coalesce(F.col(c), empty.cast(own[c]))
+    fields = [F.coalesce(F.nullif(F.col("id"), F.lit("")), "source_ref").alias("id"), F.col("source_ref"), F.coalesce("text_clean", F.lit("")).alias("text"), F.col("summary"), or_empty("topics", F.array()).alias("topics"), or_empty("entities", F.array()).alias("entities"), F.coalesce("language", F.lit("unknown")).alias("language"), or_empty("metadata", F.create_map()).alias("metadata")]
+    return docs.withColumn("value", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
 def catalogue(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """All rows, which are few (topics), as one JSON array in the order of key."""
     return df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(key, *[c for c in columns if c != key])))).alias("value"))

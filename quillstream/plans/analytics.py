@@ -63,6 +63,13 @@ def _cards(s, d):
     return c.selectExpr("topic_id", "'Untitled Topic' AS title", "concat(type, ' of ', anchors) AS summary", "array(type, channel_id) AS scope_in", "filter(array(CASE WHEN topic_seq > 0 THEN 'singleton' END), x -> x IS NOT NULL) AS scope_out", "CASE WHEN topic_seq % 2 = 0 THEN array(type, 'even') END AS tags", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(last AS int), 0) AS updated_at")
 
 
+def topic_cards(s, d):
+    """Cards with their anchors in order, of one ranking."""
+    g = topics.graded(L.proposals(s, d)).where("passed and role = 'anchor'")
+    refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "anchor_ref"))), lambda x: x.getField("anchor_ref")), ",")
+    return g.groupBy(*topics.TOPIC, "topic_id", "type", "anchors").agg(refs.alias("anchor_refs")).select("topic_id", "type", "anchors", "anchor_refs", F.lit("Untitled Topic").alias("title"))
+
+
 def kb_topics(s, d):
     """Topic cards as knowledge-base entries; the table of their sources is resolved_sources, by topic_id."""
     return topics.kb_entries(_cards(s, d)).withColumns({c: F.array_join(c, ",") for c in ("topics", "tags")})
@@ -82,7 +89,7 @@ def topic_jaccard(s, d):
 
 
 def resolved_sources(s, d):
-    items = topics.resolved_order(topics.bundle_items(_ranked(s, d), L.proposals(s, d)))
+    items = topics.resolved_order(topics.bundle_items(L.proposals(s, d)))
     m = L.raw_messages(s, d).select(C("source_ref").alias("ref"), "channel_id", "id").join(L.sources(s, d).select("channel_id", "username"), "channel_id", "left")
     return items.join(m, "ref", "left").select("topic_id", "ref", "role", "score", "place", message_url(C("channel_id"), C("username"), C("id")).alias("url"))
 
@@ -111,11 +118,11 @@ QUERIES = {
     "anchors_dedup": lambda s, d: topics.dedup_anchors(L.proposals(s, d).unionAll(L.proposals(s, d).withColumn("pos", C("pos") + 1000000))).select("channel_id", "topic_seq", "anchor_ref", "pos"),
     "anchors_top3": lambda s, d: _ranked(s, d).select("channel_id", "topic_seq", "anchor_ref", "score", "rank"),
     "quality_gate": lambda s, d: topics.gate(_ranked(s, d)),
-    "topic_cards": lambda s, d: topics.gate(_ranked(s, d)).where("passed").join(_ranked(s, d).groupBy("channel_id", "topic_seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "anchor_ref"))), lambda x: x.getField("anchor_ref")), ",").alias("anchor_refs")), ["channel_id", "topic_seq"]).select("topic_id", "type", "anchors", "anchor_refs", F.lit("Untitled Topic").alias("title")),
+    "topic_cards": topic_cards,
     "supporting_candidates": lambda s, d: L.proposals(s, d).join(_ranked(s, d), ["channel_id", "topic_seq", "anchor_ref"], "left_anti").select("channel_id", "topic_seq", "anchor_ref", "score"),
-    "topic_bundles": lambda s, d: topics.bundle_items(_ranked(s, d), L.proposals(s, d)),
+    "topic_bundles": lambda s, d: topics.bundle_items(L.proposals(s, d)),
     "resolved_sources": resolved_sources,
-    "card_bundle": lambda s, d: topics.gate(_ranked(s, d)).select("topic_id", "passed").join(topics.bundle_items(_ranked(s, d), L.proposals(s, d)).groupBy("topic_id").agg(F.count("*").alias("items")), "topic_id", "left"),
+    "card_bundle": lambda s, d: topics.gate(_ranked(s, d)).select("topic_id", "passed").join(topics.bundle_items(L.proposals(s, d)).groupBy("topic_id").agg(F.count("*").alias("items")), "topic_id", "left"),
     "kb_topics": kb_topics,
     "keyword_clusters": keyword_clusters,
     "keyword_cluster_members": keyword_cluster_members,

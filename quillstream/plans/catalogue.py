@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstream.plans import analytics, lookups, messages, records, validity
+from quillstream.plans import analytics, artefacts, lookups, messages, records, validity
 
-QUERIES = messages.QUERIES | analytics.QUERIES | records.QUERIES | validity.QUERIES | lookups.QUERIES
-ORACLES = messages.ORACLES | analytics.ORACLES | records.ORACLES | validity.ORACLES | lookups.ORACLES
+QUERIES = messages.QUERIES | analytics.QUERIES | records.QUERIES | validity.QUERIES | lookups.QUERIES | artefacts.QUERIES
+ORACLES = messages.ORACLES | analytics.ORACLES | records.ORACLES | validity.ORACLES | lookups.ORACLES | artefacts.ORACLES

@@ -86,7 +86,7 @@ def merged_sources(s, d):
 
 def topic_details(s, d):
     """A detail for each topic that passes: the name of its file, its items and its sources in order."""
-    items = topics.resolved_order(topics.bundle_items(_ranked(s, d), L.proposals(s, d)))
+    items = topics.resolved_order(topics.bundle_items(L.proposals(s, d)))
     refs = F.transform(F.array_sort(F.collect_list(F.struct("place", "ref"))), lambda x: x.getField("ref"))
     t = items.groupBy("topic_id").agg(F.count("*").alias("n_items"), F.count_if(C("role") == "anchor").alias("n_anchors"), F.array_join(refs, ",").alias("sources"))
     return t.select("topic_id", export.detail_name(C("topic_id")).alias("file"), "n_items", "n_anchors", "sources")
