@@ -85,9 +85,15 @@ def mix(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
 
 
 def sample(docs: DataFrame, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
-    """The rows of docs as often as the mix takes them."""
-    mixed = mix(docs, max_repeats, cycle).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    """The rows of docs as often as the mix takes them, max_repeats times at most; every column stays as it is.
+
+    Null text, null source, repeated rows and empty tables as in mix; a document without words may be left out or repeated like others.
+    """
+    state = thresholds(docs, max_repeats, cycle).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("prefix").alias("__prefix"))
+    joined = docs.join(state, docs["source"].eqNullSafe(state["__source"]))
+    copies = F.least(F.col("__whole") + (_draw(docs["doc_id"]) < F.col("__prefix")).cast("long"), F.lit(max_repeats))
+    taken = joined.withColumn("__copies", copies).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def _refine(narrow: DataFrame, state: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -218,6 +219,38 @@ def test_mixing(docs, rows):
         assert goal[s] <= 3 * sizes[s] and abs(taken[s] - goal[s]) <= most[s]
 
 
+def test_sample_keeps_columns_and_takes_what_the_mix_does(docs):
+    clash = docs.selectExpr("* except (size, target)", "777 AS size", "'t' AS target", "'c' AS copies", "-1 AS taken", "0.5 AS source_size")
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = (want.get((r.doc_id, r.source), (0, 0))[0] + r.copies, max(r.size, want.get((r.doc_id, r.source), (0, 0))[1]))
+    got = mixing.sample(clash)
+    rows = got.collect()
+    assert got.columns == clash.columns and {(r["size"], r.target, r.copies, r.taken, float(r.source_size)) for r in rows} == {(777, "t", "c", -1, 0.5)}
+    seen = Counter((r.doc_id, r.source) for r in rows)
+    assert all(seen[k] == n for k, (n, size) in want.items() if size) and all(seen[k] <= 3 for k in want)
+
+
+def test_sharding_digests_and_weights(docs, rows):
+    got = {r.doc_id: r for r in sharding.shard(docs).collect()}
+    for d, t, _ in rows:
+        raw = (t or "").encode()
+        assert (got[d].size, got[d].text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    many = docs.sparkSession.range(20000).select(F.col("id").alias("doc_id"))
+    base = {r.doc_id: r.shard for r in sharding.assign(many).collect()}
+    twice = {r.doc_id: r.shard for r in sharding.assign(many, weights={5: 2.0}).collect()}
+    moved = {d for d in base if base[d] != twice[d]}
+    # a heavier shard only takes documents: its rack from the region, its region from the other one, none among the rest
+    assert moved and all(twice[d] // 4 == 1 or twice[d] // 12 == 0 for d in moved)
+    assert not {d for d in moved if base[d] // 12 == 1 and twice[d] // 12 == 1}
+    share = Counter(twice.values())
+    assert share[5] / 20000 == pytest.approx(2 / 25, rel=0.15) and max(share[s] for s in range(24) if s != 5) / 20000 == pytest.approx(1 / 25, rel=0.25)
+    none = {r.shard for r in sharding.assign(many, weights={7: 0.0}).collect()}
+    assert none == set(range(24)) - {7}
+    grown = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(many).collect()}
+    assert {b for a, b in grown.values() if a != b} == {24}
+
+
 def test_sharding(docs):
     got = sharding.shard(docs).collect()
     slots = {}
@@ -234,7 +267,10 @@ def test_quality(docs, rows):
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         count = Counter(grams)
         covered = {i + o for i, g in enumerate(grams) if count[g] > 1 for o in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         assert (got[d].n_words, got[d].n_repeat_words) == (len(w), len(covered))
+        assert (got[d].word_chars, got[d].n_symbols, got[d].n_dup_lines) == (sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)))
+        assert got[d].kept == (got[d].rejected_by is None) and (not got[d].base_failed or got[d].rejected_by)
         assert got[d].base_failed == (len(w) < 50 or 2 * len(covered) > len(w))
     kept = quality.keep(docs)
     assert kept.columns == docs.columns
