@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ndjson(df: DataFrame, key: str) -> DataFrame:
@@ -49,3 +51,32 @@ def archive(df: DataFrame, path: str) -> None:
     """Gzipped NDJSON; nothing if there are no rows."""
     if not df.isEmpty():
         df.write.option("compression", "gzip").json(path)
+
+
+def archive_name(prefix: str, at: datetime) -> str:
+    """The name of an archive that is made at this time, which is that of UTC."""
+    return f"{prefix}_{at:%Y%m%d_%H%M%S}.ndjson.gz"
+
+
+def archive_all(tables: Mapping[str, DataFrame], folder: str, at: datetime) -> dict[str, str | None]:
+    """Archive each table under its name and the time, in a folder of files; None for a table without rows."""
+    made: dict[str, str | None] = {}
+    for prefix, df in tables.items():
+        path = f"{folder.rstrip('/')}/{archive_name(prefix, at)}"
+        empty = df.isEmpty()
+        if not empty:
+            archive(df, path)
+        made[prefix] = None if empty else path
+    return made
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """filename, files, size_bytes and created_at of each archive of a folder, the last name first; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+    name = F.regexp_extract("path", r"/([^/]+\.ndjson\.gz)/[^/]+$", 1)
+    own = files.select(name.alias("filename"), "length", "modificationTime").where("filename <> ''")
+    return own.groupBy("filename").agg(F.count("*").alias("files"), F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("created_at")).orderBy(F.desc("filename"))
+
+
+def read_archive(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -142,7 +142,7 @@ QUERIES = {
     "top_agent_pairs": lambda s, d: L.handoffs(s, d).groupBy("source_agent", "target_agent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_agent", "target_agent").limit(10),
     "handoff_fold": lambda s, d: L.handoffs(s, d).groupBy("source_agent", "target_agent").agg(F.max_by("status", "id").alias("status"), F.max("id").alias("last_id"), F.min(F.when(C("status") == "accepted", C("created_at"))).alias("accepted_at")),
     "running_avg": running_avg,
-    "best_agent": lambda s, d: _registry(s, d).withColumn("rn", F.row_number().over(Window.orderBy("error_rate", "mean_ms", "agent_name"))).where("rn = 1").select("agent_name", "error_rate", "mean_ms"),
+    "best_agent": lambda s, d: _registry(s, d).orderBy("error_rate", F.asc_nulls_last("mean_ms"), "agent_name").limit(1).select("agent_name", "error_rate", "mean_ms"),
     "registry_stats": lambda s, d: _registry(s, d).select("agent_name", "tasks", "error_rate", F.round("mean_ms", 2).alias("mean_ms")),
     "error_rate": lambda s, d: L.tasks(s, d).groupBy("task_type").agg(F.round(100.0 * F.count_if(~C("success")) / F.count("*"), 6).alias("error_rate")),
     "latency_histogram": lambda s, d: L.tasks(s, d).groupBy("task_type").agg(*[F.count_if(C("ms") <= b).alias(f"le_{b}") for b in (10, 100, 500, 1000, 5000)], F.count("ms").alias("n")),

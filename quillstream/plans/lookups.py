@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from quillstream.operators import topics
+from quillstream.functions import templates
+from quillstream.operators import export, threads, topics
 from quillstream.plans.analytics import DAILY, RANKED, _daily
 from quillstream.session import shared_folder
+from quillstream.sources import lines
 from quillstream.sources import logical as L
 from quillstream.streaming import rollup
 
@@ -86,10 +89,57 @@ def maintained_daily(s, d):
     return rollup.read(s, path)
 
 
-QUERIES = {"store_lookups": store_lookups, "stats_of_agent": stats_of_agent, "stats_of_day": stats_of_day, "maintained_daily": maintained_daily}
+def _cursors(s, d):
+    """Where threads of three comments and more were left: at their first comment."""
+    c = L.thread_messages(s, d).where("message_type = 'comment'")
+    return c.groupBy("thread_id").agg(F.min("id").alias("last_comment"), F.count("*").alias("n")).where("n >= 3")
+
+
+def comment_scan(s, d, limit=2):
+    """The next comments of each thread: two after its cursor, or the newest two where it has none."""
+    c = L.thread_messages(s, d).where("message_type = 'comment'")
+    return threads.comments_above(c, _cursors(s, d), limit).select("thread_id", "id", C("place").cast("long").alias("place"))
+
+
+PROMPT = "Message {id} of {channel} ({{{lang}}}), {share:.3f} of all:\n{text}"
+
+
+def rendered_prompts(s, d):
+    """A prompt for each message; a language that is not known is N/A."""
+    m = L.raw_messages(s, d)
+    fields = {"id": C("id"), "channel": C("channel_id"), "lang": F.when(C("lang") != "fr", C("lang")), "share": C("doc_id") / F.lit(1000), "text": F.substring("text", 1, 80)}
+    return m.select("doc_id", templates.rendered(PROMPT, fields, "N/A").alias("prompt"))
+
+
+def archived_tasks(s, d):
+    """Expired tasks by day written as archives, listed, and read back: the number of those of each archive."""
+    folder = f"{shared_folder(s)}/archives/{s.range(1).select(F.uuid()).first()[0]}"
+    t = L.tasks(s, d).select("id", "task_type", "ms")
+    made = export.archive_all({k: t.where(C("task_type") == k) for k in ("click", "error", "view", "none")}, folder, datetime(2024, 6, 1, 12, 30, 5))
+    listed = export.archives(s, folder).select("filename")
+    back = None
+    for path in filter(None, made.values()):
+        part = export.read_archive(s, path, t.schema).groupBy(F.lit(path.rpartition("/")[2]).alias("filename")).agg(F.count("*").alias("n"), F.sum("ms").alias("ms"))
+        back = part if back is None else back.unionByName(part)
+    return listed.join(back, "filename").select("filename", "n", "ms")
+
+
+def first_lines(s, d):
+    """The first lines of a written file of messages: 40 lines by their physical number, of which blank ones are left out."""
+    folder = f"{shared_folder(s)}/lines/{s.range(1).select(F.uuid()).first()[0]}"
+    m = L.raw_messages(s, d).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    m.select(F.when(F.length("text") % 3 > 0, F.to_json(F.struct("doc_id", "lang"))).otherwise(" ").alias("value")).coalesce(1).write.text(folder)
+    return lines.first_records(s, folder, "doc_id long, lang string", 40).select("line", "doc_id", "lang")
+
+
+QUERIES = {"comment_scan": comment_scan, "rendered_prompts": rendered_prompts, "archived_tasks": archived_tasks, "first_lines": first_lines, "store_lookups": store_lookups, "stats_of_agent": stats_of_agent, "stats_of_day": stats_of_day, "maintained_daily": maintained_daily}
 
 _t = L.with_tables
 ORACLES = {
+    "comment_scan": _t("SELECT thread_id, id, place FROM (SELECT t.thread_id, t.id, row_number() OVER (PARTITION BY t.thread_id ORDER BY CASE WHEN c.last_comment IS NULL THEN -t.id ELSE t.id END) AS place FROM threads t LEFT JOIN (SELECT thread_id, min(id) AS last_comment FROM threads WHERE message_type = 'comment' GROUP BY 1 HAVING count(*) >= 3) c USING (thread_id) WHERE message_type = 'comment' AND (c.last_comment IS NULL OR t.id > c.last_comment)) WHERE place <= 2", "threads"),
+    "rendered_prompts": _t("SELECT doc_id, 'Message ' || id || ' of ' || channel_id || ' ({' || CASE WHEN lang <> 'fr' THEN lang ELSE 'N/A' END || '}), ' || printf('%.3f', doc_id / 1000) || ' of all:' || chr(10) || substr(text, 1, 80) AS prompt FROM raw", "raw"),
+    "archived_tasks": _t("SELECT task_type || '_20240601_123005.ndjson.gz' AS filename, count(*) AS n, CAST(sum(ms) AS BIGINT) AS ms FROM tasks WHERE task_type IN ('click', 'error', 'view') GROUP BY 1", "tasks"),
+    "first_lines": _t("SELECT line, doc_id, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id, lang, text FROM raw) WHERE line < 40 AND length(text) % 3 > 0", "raw"),
     "store_lookups": _t(f"SELECT 'raw' AS store, source_ref AS key, lang AS what FROM raw WHERE source_ref = '{REF}' UNION ALL SELECT 'processed', source_ref, CAST(date AS VARCHAR) FROM processed WHERE source_ref = '{REF}' UNION ALL SELECT 'card', topic_id, type FROM gate WHERE topic_id = '{CARD}' AND passed UNION ALL SELECT 'bundle', channel_id || '/' || topic_seq, type FROM gate WHERE channel_id || '/' || topic_seq = '{BUNDLE}' UNION ALL SELECT 'source', source_id, status FROM sources WHERE source_id = 'source_5' UNION ALL SELECT 'job', job_id, status FROM jobs WHERE job_id = 'job_7' UNION ALL SELECT 'agent', name, agent_type FROM agents WHERE name = 'agent_3' UNION ALL SELECT 'task', CAST(id AS VARCHAR), task_type FROM tasks WHERE id = 11 UNION ALL SELECT 'handoff', CAST(id AS VARCHAR), status FROM handoffs WHERE id = 32", "processed", "sources", "jobs", "agents", "tasks", "handoffs", "proposals", **RANKED),
     "stats_of_agent": _t(f"SELECT agent_name, day, task_type, tasks, ok, mean_ms FROM ({DAILY}) WHERE agent_name = 'agent_3' AND day BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'", "tasks"),
     "stats_of_day": _t(f"SELECT * FROM ({DAILY}) WHERE agent_name = 'agent_3' AND day = DATE '2024-01-05'", "tasks"),

@@ -65,10 +65,10 @@ def registry_counts(s, d):
 
 
 def best_agent_for(s, d, capability="topics", preferred="export"):
-    """The agent with the capability of least error rate, then fewest tasks, then name; of the preferred type if there is any."""
+    """The agent with the capability of least error rate, then least mean time, then name; of the preferred type if there is any."""
     a = L.agents(s, d).where(C("is_active") & F.array_contains("capabilities", capability))
     rate = text.ratio(C("errors"), C("tasks"))
-    return a.orderBy((C("agent_type") != preferred).cast("int"), rate, "tasks", "name").limit(1).select("name", "agent_type", F.round(rate, 6).alias("error_rate"))
+    return a.orderBy((C("agent_type") != preferred).cast("int"), rate, "mean_ms", "name").limit(1).select("name", "agent_type", F.round(rate, 6).alias("error_rate"))
 
 
 def merged_sources(s, d):
@@ -199,7 +199,7 @@ ORACLES = {
     "registry_counts": _t("SELECT 'total' AS what, count(*) AS n FROM agents UNION ALL SELECT 'active', count(*) FROM agents WHERE is_active UNION ALL SELECT 'type:' || agent_type, count(*) FROM agents GROUP BY 1 UNION ALL SELECT 'capability:' || c, count(*) FROM (SELECT unnest(capabilities) AS c FROM agents) GROUP BY 1", "agents"),
     "registry_health": _t("SELECT count(*) AS total, count(*) FILTER (is_active) AS active, string_agg(DISTINCT agent_type, ',' ORDER BY agent_type) AS types FROM agents", "agents"),
     "capability_index": _t("SELECT unnest(capabilities) AS capability, name FROM agents", "agents"),
-    "best_agent_for": _t("SELECT name, agent_type, round(r, 6) AS error_rate FROM (SELECT *, coalesce(CAST(errors AS DOUBLE) / nullif(tasks, 0), 0) AS r FROM agents) WHERE is_active AND list_contains(capabilities, 'topics') ORDER BY agent_type <> 'export', r, tasks, name LIMIT 1", "agents"),
+    "best_agent_for": _t("SELECT name, agent_type, round(r, 6) AS error_rate FROM (SELECT *, coalesce(CAST(errors AS DOUBLE) / nullif(tasks, 0), 0) AS r FROM agents) WHERE is_active AND list_contains(capabilities, 'topics') ORDER BY agent_type <> 'export', r, mean_ms, name LIMIT 1", "agents"),
     "merged_sources": _t("SELECT coalesce(a.topic_id, i.topic_id) AS topic_id, coalesce(a.ref, i.ref) AS ref, CASE WHEN a.ref IS NOT NULL THEN a.score ELSE i.score END AS score, CASE WHEN a.ref IS NOT NULL THEN '{\"role\":\"anchor\",\"source_ref\":\"' || a.ref || '\"}' ELSE '{\"role\":\"supporting\",\"justification\":\"as ' || i.type || '\",\"source_ref\":\"' || i.ref || '\"}' END AS record FROM (SELECT topic_id, anchor_ref AS ref, score FROM ranked JOIN good USING (channel_id, topic_seq)) a FULL JOIN (SELECT topic_id, anchor_ref AS ref, score, type FROM proposals JOIN good USING (channel_id, topic_seq) WHERE score >= 0.5) i ON a.topic_id = i.topic_id AND a.ref = i.ref", "proposals", **RANKED),
     "topic_details": _t("SELECT topic_id, 'topic_' || replace(topic_id, ':', '_') || '.json' AS file, count(*) AS n_items, count(*) FILTER (role = 'anchor') AS n_anchors, string_agg(ref, ',' ORDER BY place) AS sources FROM resolved GROUP BY topic_id", "proposals", **RANKED, resolved=_RESOLVED),
     "topic_catalogue": _t("SELECT '[' || string_agg('{\"topic_id\":\"' || topic_id || '\",\"summary\":\"' || type || ' of ' || anchors || '\"}', ',' ORDER BY topic_id) || ']' AS value FROM cards", "proposals", **RANKED, cards=_CARDS),

@@ -56,7 +56,7 @@ def jobs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
 
 
 def agents(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
-    return read(spark, d, "supplier", where).selectExpr("concat('agent_', s_suppkey) AS name", "CASE WHEN s_suppkey % 4 = 0 THEN 'export' ELSE 'process' END AS agent_type", "s_suppkey % 5 <> 0 AS is_active", "filter(array('text', CASE WHEN s_suppkey % 2 = 0 THEN 'topics' END, CASE WHEN s_suppkey % 3 = 0 THEN 'export' END), x -> x IS NOT NULL) AS capabilities", "s_suppkey * 7 % 50 AS tasks", "s_suppkey % 7 AS errors")
+    return read(spark, d, "supplier", where).selectExpr("concat('agent_', s_suppkey) AS name", "CASE WHEN s_suppkey % 4 = 0 THEN 'export' ELSE 'process' END AS agent_type", "s_suppkey % 5 <> 0 AS is_active", "filter(array('text', CASE WHEN s_suppkey % 2 = 0 THEN 'topics' END, CASE WHEN s_suppkey % 3 = 0 THEN 'export' END), x -> x IS NOT NULL) AS capabilities", "s_suppkey * 7 % 50 AS tasks", "s_suppkey % 7 AS errors", "s_acctbal AS mean_ms")
 
 
 def handoff_events(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ SQL = {
     "tasks": "SELECT event_id AS id, 'agent_' || (user_id % 7) AS agent_name, event_type AS task_type, event_type <> 'error' AS success, CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS ms, ts AS created_at, CASE WHEN event_id % 19 <> 0 THEN ts + INTERVAL 14 DAY END AS expires_at, 'src' || (user_id % 20) AS channel_id, user_id FROM events",
     "handoffs": "SELECT o_orderkey AS id, 'agent_' || (o_custkey % 7) AS source_agent, 'agent_' || (o_orderkey % 5) AS target_agent, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'completed' WHEN '2' THEN 'failed' WHEN '3' THEN 'rejected' WHEN '4' THEN 'pending' ELSE 'accepted' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS ms, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders",
     "jobs": "SELECT 'job_' || o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'export' ELSE 'process' END AS job_type, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at, o_custkey % 100 AS progress FROM orders",
-    "agents": "SELECT 'agent_' || s_suppkey AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'export' ELSE 'process' END AS agent_type, s_suppkey % 5 <> 0 AS is_active, list_filter(['text', CASE WHEN s_suppkey % 2 = 0 THEN 'topics' END, CASE WHEN s_suppkey % 3 = 0 THEN 'export' END], lambda x: x IS NOT NULL) AS capabilities, s_suppkey * 7 % 50 AS tasks, s_suppkey % 7 AS errors FROM supplier",
+    "agents": "SELECT 'agent_' || s_suppkey AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'export' ELSE 'process' END AS agent_type, s_suppkey % 5 <> 0 AS is_active, list_filter(['text', CASE WHEN s_suppkey % 2 = 0 THEN 'topics' END, CASE WHEN s_suppkey % 3 = 0 THEN 'export' END], lambda x: x IS NOT NULL) AS capabilities, s_suppkey * 7 % 50 AS tasks, s_suppkey % 7 AS errors, s_acctbal AS mean_ms FROM supplier",
     "handoff_events": "SELECT id, 1 AS seq, 'accepted' AS status, created_at + INTERVAL 1 HOUR AS at, 'started' AS result, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS BIGINT) AS ms FROM handoffs UNION ALL SELECT id, 2, status, created_at + INTERVAL 2 HOUR, CASE WHEN status = 'completed' THEN 'r' || id END, CASE WHEN status = 'failed' THEN 'boom' END, ms FROM handoffs WHERE status NOT IN ('pending', 'accepted')",
     "proposals": "SELECT channel_id, CAST(doc_id % 7 AS INTEGER) AS topic_seq, CASE WHEN doc_id % 7 = 0 THEN 'singleton' ELSE 'cluster' END AS type, doc_id AS pos, source_ref AS anchor_ref, CASE WHEN doc_id % 13 <> 0 THEN CAST((doc_id * 37) % 101 AS DOUBLE) / 100.0 END AS score, length(text) AS text_length FROM raw",
 }
