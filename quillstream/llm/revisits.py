@@ -55,8 +55,8 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
 
     records: record_id, url, ts (seconds), revisit (boolean), headers (map, lower-case names), digest.  outcome: resolved;
     mismatch (the latest earlier response's validators differ); no_response.  Earlier: a smaller ts; of responses with
-    equal ts the one with the largest record_id counts.  A null url or ts, or revisit null, leaves a revisit without response and a
-    response unused.  Repeated revisits get a row each.  Empty table: no rows.  Other columns are ignored.
+    equal ts the one with the largest record_id counts.  A null url or ts leaves a revisit without response and a
+    response unused; revisit null: a response.  Repeated revisits get a row each.  Empty table: no rows.  Other columns are ignored.
     """
     r = records.select("record_id", "url", "ts", F.coalesce("revisit", F.lit(False)).alias("revisit"), "headers", "digest")
     r = r.withColumn("canonical", canonical(F.col("url"))).withColumn("slice", F.floor(F.col("ts") / slice_seconds))

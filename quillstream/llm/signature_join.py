@@ -414,10 +414,12 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: in
     texts = texts_of(left)
     late = components(_merge(left, texts, words, percent, True))
     final = rows.select("cid", "comp").distinct().join(late, F.col("comp") == late.node, "left").select("cid", F.coalesce("root", "comp").alias("root"))
-    named = described.drop("map", "h1").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "root", "left")
-    return out.select("doc_id", "th", "root", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # texts without words have no class and take no part in the joins, where they would all be one key
+    named = described.where("n > 0").drop("map", "h1").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = named.join(least, "root").select("doc_id", "th", "root", F.col("n").alias("n_shingles"), "component_id")
+    empty = described.where("n = 0").select("doc_id", "th", F.lit(None).cast(linked.schema["root"].dataType).alias("root"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(empty)
 
 
 def distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

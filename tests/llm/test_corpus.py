@@ -420,6 +420,19 @@ def test_revisits(spark):
     assert {got[k].outcome for k in (5, 7, 8)} == {"no_response"}
 
 
+def test_revisits_ties_and_other_columns(spark):
+    h = "map<string,string>"
+    kind = f"record_id long, url string, ts long, revisit boolean, headers {h}, digest string"
+    rows = [(1, "a.com/x", 10, False, {"etag": "p"}, "d1"), (2, "a.com/x", 10, False, {"etag": "q"}, "d2"), (3, "a.com/x", 10, True, {"etag": "q"}, None), (4, "a.com/x", 11, True, {"etag": "q"}, None), (5, "a.com/x", 11, None, {"etag": "z"}, "d5"), (6, "a.com/x", 12, True, {"etag": "q"}, None)]
+    df = spark.createDataFrame(rows, kind)
+    clash = df.selectExpr("*", "'x' AS outcome", "5 AS response_id", "1 AS canonical", "0 AS slice")
+    for given in (df, clash):
+        got = {r.record_id: (r.outcome, r.response_id, r.digest) for r in revisits.resolve(given).collect()}
+        # a response of the same time is not earlier; of equal ones the largest id counts; what is not said to be a revisit is a response
+        assert got == {3: ("no_response", None, None), 4: ("resolved", 2, "d2"), 6: ("mismatch", None, None)}
+    assert revisits.resolve(df.where("ts < 0")).count() == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("doc_id = -1")
     for f in (suffix_dedup.remove, automata.remove, line_dedup.remove, signature_join.link, mixing.mix, sharding.shard, quality.judge, pii.find, lambda d: containment.leaks(d, spark.createDataFrame([], "item_id long, text string"))):
