@@ -17,9 +17,9 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt out to all cores if it comes from fewer files than there are cores; a larger table is left as it is."""
+    """df dealt out to all cores if it has fewer partitions than there are cores; a larger table is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cleaned_messages(spark: SparkSession, d: str) -> DataFrame:
