@@ -22,6 +22,18 @@ def conflicts(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> D
     return new.join(o, key).where(differs)
 
 
+def conflict_log(old: DataFrame, new: DataFrame, key: str, content: list[str], observed_at: Column, payload: Column) -> DataFrame:
+    """A row for each row of new whose key old has with other content: key, observed_at, reason, new_payload_json and new_<content>.
+
+    reason names the columns that differ; payload is a JSON text of a row of new, null for none.  What old has is not touched.
+    """
+    o = old.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__old_{c}") for c in content])
+    both = new.withColumn("__payload", payload).join(o, F.col(key) == F.col("__key"))
+    differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__old_{c}")), F.lit(c)) for c in content]))
+    out = both.withColumn("__differ", differ).where(F.size("__differ") > 0)
+    return out.select(key, observed_at.alias("observed_at"), F.concat(F.lit("changed: "), F.array_join("__differ", ", ")).alias("reason"), F.nullif(F.col("__payload"), F.lit("{}")).alias("new_payload_json"), *[F.col(c).alias(f"new_{c}") for c in content])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, preserve: list[str] = ()) -> DataFrame:
     """The latest row for each key (null-safe); columns in preserve keep the value of the earliest row.
 

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quillstream.functions import templates
-from quillstream.operators import export, threads, topics
+from quillstream.operators import export, keyed, normalise, threads, topics
 from quillstream.plans.analytics import DAILY, RANKED, _daily
+from quillstream.plans.messages import CLEANED
 from quillstream.session import shared_folder
 from quillstream.sources import lines
 from quillstream.sources import logical as L
@@ -132,10 +133,27 @@ def first_lines(s, d):
     return lines.first_records(s, folder, "doc_id long, lang string", 40).select("line", "doc_id", "lang")
 
 
-QUERIES = {"comment_scan": comment_scan, "rendered_prompts": rendered_prompts, "archived_tasks": archived_tasks, "first_lines": first_lines, "store_lookups": store_lookups, "stats_of_agent": stats_of_agent, "stats_of_day": stats_of_day, "maintained_daily": maintained_daily}
+def normalised_messages(s, d):
+    """Turns of conversations as a source gives them; every fourth thread is not known, system turns have their text as message."""
+    c = L.read(s, d, "conversations").selectExpr("concat('@@conv', conv_id % 5) AS channel", "CASE WHEN turn = 0 THEN 'post' ELSE 'comment' END AS kind", "conv_id * 1000 + turn AS id", "CASE WHEN role <> 'system' THEN text END AS text", "CASE WHEN role = 'system' THEN text END AS message", "CASE WHEN turn % 5 <> 4 THEN timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(conv_id AS int), turn) END AS date", "CASE WHEN turn % 3 = 2 THEN conv_id * 1000 + turn - 1 ELSE 0 END AS reply_to", "CASE WHEN conv_id % 4 <> 0 THEN cast(conv_id * 1000 AS string) END AS thread", "length(text) AS views")
+    return normalise.messages(c, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+
+
+def conflict_log(s, d):
+    """Messages read again in a clean form: where that differs from what is stored, it is logged and not stored."""
+    m = L.raw_messages(s, d).select("source_ref", "text", "date", "lang")
+    new = L.cleaned_messages(s, d).select("source_ref", C("c").alias("text"), "date", "lang")
+    payload = F.to_json(F.struct(F.when(C("lang") != "en", C("lang")).alias("lang")))
+    return keyed.conflict_log(m, new, "source_ref", ["text", "date"], F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), payload)
+
+
+QUERIES = {"normalised_messages": normalised_messages, "conflict_log": conflict_log, "comment_scan": comment_scan, "rendered_prompts": rendered_prompts, "archived_tasks": archived_tasks, "first_lines": first_lines, "store_lookups": store_lookups, "stats_of_agent": stats_of_agent, "stats_of_day": stats_of_day, "maintained_daily": maintained_daily}
 
 _t = L.with_tables
+_STAMP = "'\"' || strftime(date, '%Y-%m-%dT%H:%M:%S') || '+00:00\"'"
 ORACLES = {
+    "normalised_messages": f"SELECT CAST(id AS VARCHAR) AS id, kind AS message_type, 'tg:' || channel || ':' || kind || ':' || id AS source_ref, channel AS channel_id, coalesce(date, TIMESTAMP '2024-06-01') AS date, text, CASE WHEN kind = 'comment' AND conv_id % 4 <> 0 THEN CAST(conv_id * 1000 AS VARCHAR) ELSE CAST(id AS VARCHAR) END AS thread_id, CASE WHEN kind = 'comment' THEN CASE WHEN turn % 3 = 2 THEN CAST(id - 1 AS VARCHAR) WHEN conv_id % 4 <> 0 THEN CAST(conv_id * 1000 AS VARCHAR) ELSE CAST(id AS VARCHAR) END END AS parent_message_id, CAST(NULL AS VARCHAR) AS language, '{{\"date\":' || coalesce({_STAMP}, 'null') || ',\"edit_date\":null,\"forwards\":null,\"grouped_id\":null,\"id\":' || id || ',\"media\":null,\"message\":' || CASE WHEN role = 'system' THEN CAST(to_json(text) AS VARCHAR) ELSE 'null' END || ',\"post_author\":null,\"replies\":null,\"views\":' || length(text) || '}}' AS raw_payload FROM (SELECT *, 'conv' || (conv_id % 5) AS channel, CASE WHEN turn = 0 THEN 'post' ELSE 'comment' END AS kind, conv_id * 1000 + turn AS id, CASE WHEN turn % 5 <> 4 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id AS INTEGER)) + to_seconds(turn) END AS date FROM conversations)",
+    "conflict_log": _t(f"SELECT source_ref, TIMESTAMP '2024-06-01' AS observed_at, 'changed: text' AS reason, CASE WHEN lang <> 'en' THEN '{{\"lang\":\"' || lang || '\"}}' END AS new_payload_json, c AS new_text, date AS new_date FROM cleaned WHERE c <> text", "raw", cleaned=CLEANED),
     "comment_scan": _t("SELECT thread_id, id, place FROM (SELECT t.thread_id, t.id, row_number() OVER (PARTITION BY t.thread_id ORDER BY CASE WHEN c.last_comment IS NULL THEN -t.id ELSE t.id END) AS place FROM threads t LEFT JOIN (SELECT thread_id, min(id) AS last_comment FROM threads WHERE message_type = 'comment' GROUP BY 1 HAVING count(*) >= 3) c USING (thread_id) WHERE message_type = 'comment' AND (c.last_comment IS NULL OR t.id > c.last_comment)) WHERE place <= 2", "threads"),
     "rendered_prompts": _t("SELECT doc_id, 'Message ' || id || ' of ' || channel_id || ' ({' || CASE WHEN lang <> 'fr' THEN lang ELSE 'N/A' END || '}), ' || printf('%.3f', doc_id / 1000) || ' of all:' || chr(10) || substr(text, 1, 80) AS prompt FROM raw", "raw"),
     "archived_tasks": _t("SELECT task_type || '_20240601_123005.ndjson.gz' AS filename, count(*) AS n, CAST(sum(ms) AS BIGINT) AS ms FROM tasks WHERE task_type IN ('click', 'error', 'view') GROUP BY 1", "tasks"),

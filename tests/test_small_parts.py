@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import templates
-from quillstream.operators import export, threads
+from quillstream.operators import export, keyed, normalise, scoring, threads
 from quillstream.sources import lines
 
 
@@ -75,3 +75,24 @@ def test_archives(spark, tmp_path):
     assert sorted(tuple(r) for r in export.read_archive(spark, made["tasks"], df.schema).collect()) == [(i, "я") for i in range(5)]
     plan = export.archives(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan.replace("...", "") or "content" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_conflicts_are_logged_with_what_is_new(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", None, 2), ("c", "z", 3)], "ref string, text string, date int")
+    new = spark.createDataFrame([("a", "x", 1), ("b", "y", 5), ("c", None, 3), ("d", "n", 4)], "ref string, text string, date int")
+    got = {tuple(r) for r in keyed.conflict_log(old, new, "ref", ["text", "date"], F.lit(9), F.to_json(F.struct("text"))).collect()}
+    assert got == {("b", 9, "changed: text, date", '{"text":"y"}', "y", 5), ("c", 9, "changed: text", None, None, 3)}
+
+
+def test_messages_of_a_source(spark):
+    rows = [("@@ch", "post", 5, "t", "m", None, 3, None), ("ch", "comment", 6, "", "m", None, 3, "5"), ("ch", "comment", 7, None, None, None, 0, "5"), ("ch", "comment", 8, None, None, None, None, None), ("a:b", "post", 9, "t", None, None, None, None), ("ch", "story", 10, "t", None, None, None, None)]
+    df = spark.createDataFrame(rows, "channel string, kind string, id long, text string, message string, date timestamp_ntz, reply_to long, thread string")
+    got = [(r.source_ref, r.text, r.thread_id, r.parent_message_id) for r in normalise.messages(df, F.lit("2024-01-01").cast("timestamp_ntz")).collect()]
+    assert got == [("tg:ch:post:5", "t", "5", None), ("tg:ch:comment:6", "m", "5", "3"), ("tg:ch:comment:7", "", "5", "5"), ("tg:ch:comment:8", "", "8", "8"), (None, "t", "9", None), (None, "t", "10", None)]
+
+
+def test_scorers_run_in_as_many_tasks_as_asked_for(spark):
+    docs = spark.range(40).selectExpr("cast(id AS string) AS source_ref", "'x' AS text")
+    for n in (1, 3):
+        scored = scoring.apply(docs, str.upper, parallelism=n)
+        assert scored.rdd.getNumPartitions() == n and scored.where("reply = 'X' and attempts = 1").count() == 40
