@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.session import shared_folder
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,29 +20,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 PART_ROWS, MOST_HOT = 1 << 12, 50_000
 
 
-@cache
-def _local_dir() -> str:
-    """One temporary folder for this process, for tests on one machine."""
-    return f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors that the session names; a temporary one only where none is named and all is local (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = _local_dir()
-    return at.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives lost executors.
 
     The folder's lifetime is the cluster's concern; each call writes to a folder of its own.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df

@@ -7,10 +7,11 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SCRIPT = """
 from pyspark.sql import SparkSession
-from quillstream.llm.common import materialize, scratch_dir
+from quillstream.llm.common import materialize
+from quillstream.session import shared_folder
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
 assert spark.conf.get("spark.checkpoint.dir", None) is None
-assert scratch_dir(spark) == scratch_dir(spark)
+assert shared_folder(spark) == shared_folder(spark)
 assert materialize(spark.range(7), "x").count() == 7
 print("FINE")
 """
