@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillstream.functions import ids, json_ops, text
@@ -41,24 +43,31 @@ def sources_in_full(s, d):
 
 
 def details_in_full(s, d):
-    """The file of each topic: card, bundle, sources, time and version of the export.
+    """The file of each topic, in lines that make it up one after the other: time and version, sources, the bundle's items, the card.
 
-    A file has all of its topic, so its rows meet in one value; sources_in_full has them as rows.
+    A line is a row, so a topic of any size is spread; a writer sorts by part and line.
     """
     items = _items(s, d)
-    record = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.getField("v"))
     part = lambda k: ids.ref_part(C("ref"), k)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     item = json_ops.canonical(channel_id=part(1), justification=C("justification"), message_id=part(3), message_type=part(2), role=C("role"), score=C("score"), source_ref=C("ref"))
-    bundle = items.groupBy("topic_id").agg(record(F.struct("item", item.alias("v"))).alias("items"))
-    sources = topics.resolved_records(items, L.sources(s, d)).groupBy("topic_id").agg(record(F.struct("place", C("record").alias("v"))).alias("sources"))
     cards = topics.full_cards(L.proposals(s, d), _told(s, d), _as_of(), MODEL)
-    card = json_ops.canonical(**{c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if c == "updated_at" else C(c) for c in cards.columns if c != "metadata"})
+    told = json_ops.canonical(**{c: stamp(c) if c == "updated_at" else C(c) for c in cards.columns if c != "metadata"})
     # the metadata is JSON already
-    card = F.concat(F.expr("left(card, length(card) - 1)"), F.lit(',"metadata":'), "metadata", F.lit("}"))
-    made = cards.select(C("id").alias("topic_id"), json_ops.canonical(**{c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if c == "updated_at" else C(c) for c in cards.columns if c != "metadata"}).alias("card"), "metadata").withColumn("card", card)
-    when = F.date_format(_as_of(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    value = F.concat(F.lit(f'{{"export_version":"{VERSION}","exported_at":"'), when, F.lit('","resolved_sources":['), F.array_join("sources", ","), F.lit('],"topic_bundle":{"items":['), F.array_join("items", ","), F.lit('],"topic_id":"'), "topic_id", F.lit('","updated_at":"'), when, F.lit('"},"topic_card":'), "card", F.lit("}"))
-    return made.join(bundle, "topic_id").join(sources, "topic_id").select("topic_id", export.detail_name(C("topic_id")).alias("file"), value.alias("value"))
+    made = cards.select(C("id").alias("topic_id"), told.alias("card"), "metadata").withColumn("card", F.concat(F.expr("left(card, length(card) - 1)"), F.lit(',"metadata":'), "metadata", F.lit("}")))
+    line = lambda df, n, at, value: df.select("topic_id", F.lit(n).alias("part"), at.alias("line"), value.alias("value"))
+    comma = lambda at: F.when(at > 1, ",").otherwise("")
+    one = F.lit(1)
+    head = F.concat(F.lit(f'{{"export_version":"{VERSION}","exported_at":"'), stamp(_as_of()), F.lit('","resolved_sources":['))
+    foot = F.concat(F.lit('],"topic_id":"'), "topic_id", F.lit('","updated_at":"'), stamp(_as_of()), F.lit('"},"topic_card":'), "card", F.lit("}"))
+    parts = [
+        line(made, 0, one, head),
+        line(topics.resolved_records(items, L.sources(s, d)), 1, C("place"), F.concat(comma(C("place")), "record")),
+        line(made, 2, one, F.lit('],"topic_bundle":{"items":[')),
+        line(items, 3, C("item"), F.concat(comma(C("item")), item)),
+        line(made, 4, one, foot),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("file", export.detail_name(C("topic_id")))
 
 
 def entries_in_full(s, d):
@@ -72,7 +81,10 @@ def entries_in_full(s, d):
 
 
 def topic_entries_in_full(s, d):
-    """Cards as whole entries; metadata has the card's own and the resolved sources."""
+    """Cards as whole entries; metadata has the card's own and the resolved sources.
+
+    An entry is one record, so all sources of its topic meet in it; sources_in_full has them as rows.
+    """
     cards = topics.full_cards(L.proposals(s, d), _told(s, d), _as_of(), MODEL)
     sources = sources_in_full(s, d).groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "record"))), lambda x: x.getField("record")).alias("records"))
     e = cards.join(sources, cards["id"] == sources["topic_id"]).drop("topic_id")
@@ -102,7 +114,7 @@ _LIST = lambda c: f"'[\"' || replace({c}, '|', '\",\"') || '\"]'"
 ORACLES = {
     "cards_in_full": _t("SELECT * FROM card", *_FULL, **RANKED, **CARD),
     "sources_in_full": _t("SELECT * FROM source", *_FULL, **RANKED, **CARD),
-    "details_in_full": _t(f"SELECT c.id AS topic_id, 'topic_' || replace(c.id, ':', '_') || '.json' AS file, '{{\"export_version\":\"{VERSION}\",\"exported_at\":\"2024-06-01T00:00:00Z\",\"resolved_sources\":[' || r.v || '],\"topic_bundle\":{{\"items\":[' || i.v || '],\"topic_id\":\"' || c.id || '\",\"updated_at\":\"2024-06-01T00:00:00Z\"}},\"topic_card\":{{\"anchors\":' || anchors || ',\"id\":\"' || c.id || '\",\"scope_in\":' || {_LIST('scope_in')} || ',\"scope_out\":' || {_LIST('scope_out')} || ',\"sources\":' || {_LIST('sources')} || ',\"summary\":\"' || summary || '\",\"tags\":' || CASE WHEN tags IS NULL THEN 'null' ELSE {_LIST('tags')} END || ',\"title\":\"' || title || '\",\"type\":\"' || type || '\",\"updated_at\":\"2024-06-01T00:00:00Z\",\"metadata\":' || metadata || '}}}}' AS value FROM card c JOIN (SELECT topic_id, string_agg(record, ',' ORDER BY place) AS v FROM source GROUP BY 1) r ON r.topic_id = c.id JOIN (SELECT topic_id, string_agg('{{\"channel_id\":\"' || channel_id || '\",\"justification\":' || CASE WHEN justification IS NULL THEN 'null' ELSE '\"' || justification || '\"' END || ',\"message_id\":\"' || message_id || '\",\"message_type\":\"post\",\"role\":\"' || role || '\",\"score\":' || coalesce(CAST(score AS VARCHAR), 'null') || ',\"source_ref\":\"' || ref || '\"}}', ',' ORDER BY item) AS v FROM item GROUP BY 1) i ON i.topic_id = c.id", *_FULL, **RANKED, **CARD),
+    "details_in_full": _t(f"SELECT *, 'topic_' || replace(topic_id, ':', '_') || '.json' AS file FROM (SELECT id AS topic_id, 0 AS part, 1 AS line, '{{\"export_version\":\"{VERSION}\",\"exported_at\":\"2024-06-01T00:00:00Z\",\"resolved_sources\":[' AS value FROM card UNION ALL SELECT topic_id, 1, place, CASE WHEN place > 1 THEN ',' ELSE '' END || record FROM source UNION ALL SELECT id, 2, 1, '],\"topic_bundle\":{{\"items\":[' FROM card UNION ALL SELECT topic_id, 3, item, CASE WHEN item > 1 THEN ',' ELSE '' END || '{{\"channel_id\":\"' || channel_id || '\",\"justification\":' || CASE WHEN justification IS NULL THEN 'null' ELSE '\"' || justification || '\"' END || ',\"message_id\":\"' || message_id || '\",\"message_type\":\"post\",\"role\":\"' || role || '\",\"score\":' || coalesce(CAST(score AS VARCHAR), 'null') || ',\"source_ref\":\"' || ref || '\"}}' FROM item UNION ALL SELECT id, 4, 1, '],\"topic_id\":\"' || id || '\",\"updated_at\":\"2024-06-01T00:00:00Z\"}},\"topic_card\":{{\"anchors\":' || anchors || ',\"id\":\"' || id || '\",\"scope_in\":' || {_LIST('scope_in')} || ',\"scope_out\":' || {_LIST('scope_out')} || ',\"sources\":' || {_LIST('sources')} || ',\"summary\":\"' || summary || '\",\"tags\":' || CASE WHEN tags IS NULL THEN 'null' ELSE {_LIST('tags')} END || ',\"title\":\"' || title || '\",\"type\":\"' || type || '\",\"updated_at\":\"2024-06-01T00:00:00Z\",\"metadata\":' || metadata || '}}}}' FROM card)", *_FULL, **RANKED, **CARD),
     "entries_in_full": _t("SELECT kb_id AS id, '{\"channel_id\":\"' || k.channel_id || '\",\"message_id\":\"' || r.id || '\",\"message_type\":\"post\",\"source_ref\":\"' || r.source_ref || '\",\"type\":\"telegram_message\"}' AS source, r.date AS created_at, title, CASE WHEN length(summary) > 0 THEN summary || chr(10) || chr(10) || c ELSE c END AS content, topics, CASE WHEN k.doc_id % 3 = 0 AND url IS NOT NULL THEN '{\"processing\":{\"language\":\"' || r.lang || '\",\"model_id\":\"m1\"},\"telegram_url\":\"' || url || '\"}' WHEN k.doc_id % 3 = 0 THEN '{\"processing\":{\"language\":\"' || r.lang || '\",\"model_id\":\"m1\"}}' WHEN url IS NOT NULL THEN '{\"telegram_url\":\"' || url || '\"}' END AS metadata FROM kb k JOIN raw r USING (doc_id)", "raw", "sources", **KB_CTE),
     "topic_entries_in_full": _t("SELECT c.id AS topic_id, 'kb:topic:' || c.id AS kb_id, 'topic' AS source_type, updated_at AS created_at, title, summary || chr(10) || chr(10) || '**Scope In:** ' || replace(scope_in, '|', ', ') || chr(10) || '**Scope Out:** ' || scope_out AS content, c.id AS topics, coalesce(tags, '') AS tags, '{\"resolved_sources\":[' || v || '],\"topic_card\":' || metadata || '}' AS metadata FROM card c JOIN (SELECT topic_id, string_agg(record, ',' ORDER BY place) AS v FROM source GROUP BY 1) r ON r.topic_id = c.id", *_FULL, **RANKED, **CARD),
     "agent_lines": _t("SELECT source_ref, '{\"id\":\"' || CASE WHEN doc_id % 5 <> 0 THEN 'doc:' ELSE '' END || source_ref || '\",\"source_ref\":\"' || source_ref || '\",\"text\":\"' || CASE WHEN doc_id % 7 <> 0 THEN CAST(length(text) AS VARCHAR) ELSE '' END || '\",\"summary\":' || CASE WHEN doc_id % 2 = 0 THEN '\"' || channel_id || '\"' ELSE 'null' END || ',\"topics\":' || CASE WHEN doc_id % 3 = 0 THEN '[\"' || lang || '\"]' ELSE '[]' END || ',\"entities\":[],\"language\":\"' || CASE WHEN lang <> 'en' THEN lang ELSE 'unknown' END || '\",\"metadata\":{}}' AS value FROM raw", "raw"),

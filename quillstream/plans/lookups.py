@@ -126,10 +126,11 @@ def archived_tasks(s, d):
 
 
 def first_lines(s, d):
-    """The first lines of a written file of messages: 40 lines by their physical number, of which blank ones are left out."""
+    """The first lines of written files of messages, a file for each ten thousand: 40 lines of each by their physical number, of which
+    blank ones are left out."""
     folder = f"{shared_folder(s)}/lines/{s.range(1).select(F.uuid()).first()[0]}"
-    m = L.raw_messages(s, d).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
-    m.select(F.when(F.length("text") % 3 > 0, F.to_json(F.struct("doc_id", "lang"))).otherwise(" ").alias("value")).coalesce(1).write.text(folder)
+    m = L.raw_messages(s, d).withColumn("part", F.expr("doc_id div 10000")).repartition("part").sortWithinPartitions("part", "doc_id")
+    m.select("part", F.when(F.length("text") % 3 > 0, F.to_json(F.struct("doc_id", "lang"))).otherwise(" ").alias("value")).write.partitionBy("part").text(folder)
     return lines.first_records(s, folder, "doc_id long, lang string", 40).select("line", "doc_id", "lang")
 
 
@@ -157,7 +158,7 @@ ORACLES = {
     "comment_scan": _t("SELECT thread_id, id, place FROM (SELECT t.thread_id, t.id, row_number() OVER (PARTITION BY t.thread_id ORDER BY CASE WHEN c.last_comment IS NULL THEN -t.id ELSE t.id END) AS place FROM threads t LEFT JOIN (SELECT thread_id, min(id) AS last_comment FROM threads WHERE message_type = 'comment' GROUP BY 1 HAVING count(*) >= 3) c USING (thread_id) WHERE message_type = 'comment' AND (c.last_comment IS NULL OR t.id > c.last_comment)) WHERE place <= 2", "threads"),
     "rendered_prompts": _t("SELECT doc_id, 'Message ' || id || ' of ' || channel_id || ' ({' || CASE WHEN lang <> 'fr' THEN lang ELSE 'N/A' END || '}), ' || printf('%.3f', doc_id / 1000) || ' of all:' || chr(10) || substr(text, 1, 80) AS prompt FROM raw", "raw"),
     "archived_tasks": _t("SELECT task_type || '_20240601_123005.ndjson.gz' AS filename, count(*) AS n, CAST(sum(ms) AS BIGINT) AS ms FROM tasks WHERE task_type IN ('click', 'error', 'view') GROUP BY 1", "tasks"),
-    "first_lines": _t("SELECT line, doc_id, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id, lang, text FROM raw) WHERE line < 40 AND length(text) % 3 > 0", "raw"),
+    "first_lines": _t("SELECT line, doc_id, lang FROM (SELECT row_number() OVER (PARTITION BY doc_id // 10000 ORDER BY doc_id) - 1 AS line, doc_id, lang, text FROM raw) WHERE line < 40 AND length(text) % 3 > 0", "raw"),
     "store_lookups": _t(f"SELECT 'raw' AS store, source_ref AS key, lang AS what FROM raw WHERE source_ref = '{REF}' UNION ALL SELECT 'processed', source_ref, CAST(date AS VARCHAR) FROM processed WHERE source_ref = '{REF}' UNION ALL SELECT 'card', topic_id, type FROM gate WHERE topic_id = '{CARD}' AND passed UNION ALL SELECT 'bundle', channel_id || '/' || topic_seq, type FROM gate WHERE channel_id || '/' || topic_seq = '{BUNDLE}' UNION ALL SELECT 'source', source_id, status FROM sources WHERE source_id = 'source_5' UNION ALL SELECT 'job', job_id, status FROM jobs WHERE job_id = 'job_7' UNION ALL SELECT 'agent', name, agent_type FROM agents WHERE name = 'agent_3' UNION ALL SELECT 'task', CAST(id AS VARCHAR), task_type FROM tasks WHERE id = 11 UNION ALL SELECT 'handoff', CAST(id AS VARCHAR), status FROM handoffs WHERE id = 32", "processed", "sources", "jobs", "agents", "tasks", "handoffs", "proposals", **RANKED),
     "stats_of_agent": _t(f"SELECT agent_name, day, task_type, tasks, ok, mean_ms FROM ({DAILY}) WHERE agent_name = 'agent_3' AND day BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'", "tasks"),
     "stats_of_day": _t(f"SELECT * FROM ({DAILY}) WHERE agent_name = 'agent_3' AND day = DATE '2024-01-05'", "tasks"),

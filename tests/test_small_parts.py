@@ -1,5 +1,6 @@
 """Lines with physical numbers, templates, scans of comments, archives."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import templates
 from quillstream.operators import export, keyed, normalise, scoring, threads
+from quillstream.plans import artefacts
 from quillstream.sources import lines
 
 
@@ -96,3 +98,19 @@ def test_scorers_run_in_as_many_tasks_as_asked_for(spark):
     for n in (1, 3):
         scored = scoring.apply(docs, str.upper, parallelism=n)
         assert scored.rdd.getNumPartitions() == n and scored.where("reply = 'X' and attempts = 1").count() == 40
+
+
+def test_the_lines_of_a_detail_are_its_file(spark):
+    rows = artefacts.details_in_full(spark, "/root/testdata/sf0.001").orderBy("topic_id", "part", "line").collect()
+    files = {}
+    for r in rows:
+        files[r.file] = files.get(r.file, "") + r.value
+    assert len(files) > 3
+    for name, text in files.items():
+        made = json.loads(text)
+        assert set(made) == {"export_version", "exported_at", "resolved_sources", "topic_bundle", "topic_card"}
+        card, bundle, found = made["topic_card"], made["topic_bundle"], made["resolved_sources"]
+        assert name == f"topic_{card['id'].replace(':', '_')}.json" and card["id"] == bundle["topic_id"] == "topic:" + card["anchors"][0]["anchor_ref"]
+        refs = {a["anchor_ref"] for a in card["anchors"]} | {i["source_ref"] for i in bundle["items"]}
+        assert refs == {s["source_ref"] for s in found} and len(found) == len(bundle["items"])
+        assert all(s["role"] == "anchor" for s in found[: len(card["anchors"])]) and "topic_card" in text and card["metadata"]["algorithm"] == "llm_clustering"
