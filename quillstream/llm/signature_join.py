@@ -35,6 +35,8 @@ from quillstream.llm.repeats import keyed, same_doc
 WORDS, PERCENT = 3, 90
 #: Sets in one tree with texts, and with bitmaps alone; children of a node; bytes of text that one task takes, about.
 CHUNK, BITMAP_CHUNK, FANOUT, SHARD_BYTES = 512, 2048, 8, 4 << 20
+#: Bytes of a chunk, about, whatever its rows.
+CHUNK_BYTES = 32 << 20
 #: Tokens of a set by which a pair is recognised that met before.
 LEAST = 16
 
@@ -241,15 +243,17 @@ def _meetings(tokens: DataFrame) -> DataFrame:
     return once.withColumn("near", near).where("near").drop("near")
 
 
-def _deal(rows: DataFrame, chunk: int, pairs: bool, weight: int) -> DataFrame:
-    """rows (token, cid, ...) with a group (g1, g2) and a cell in it: one cell for a token, or several for a hot one.
+def _deal(rows: DataFrame, chunk: int, pairs: bool, each: float) -> DataFrame:
+    """rows (token, cid, n, ...) with a group (g1, g2) and a cell in it: one cell for a token, or several for a hot one.
 
-    A token of more than `chunk` rows is cut into chunks; with pairs each pair of chunks has a cell, else each chunk.
+    each: the bytes of a row for each shingle.  A token of more than `chunk` rows or CHUNK_BYTES is cut into chunks; with pairs each pair
+    of chunks has a cell, else each chunk.  So a group has two chunks at most, or a row that is larger than a chunk.
     """
-    count = rows.groupBy("token").count().where(F.col("count") > 1)
+    weight = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * each)
+    count = rows.groupBy("token").agg(F.count("*").alias("count"), F.sum("n").alias("__n")).where(F.col("count") > 1)
     hot = hot_keys(count, ["token"], "count")
     shards = F.lit(max(64, weight // SHARD_BYTES))
-    sized = split_join(rows, count, ["token"], hot, ["cid"]).withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
+    sized = split_join(rows, count, ["token"], hot, ["cid"]).withColumn("chunks", F.greatest(F.ceil(F.col("count") / chunk), F.ceil(F.col("__n") * each / CHUNK_BYTES)).cast("int"))
     sized = sized.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     if pairs:
         sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -263,8 +267,7 @@ def _deal(rows: DataFrame, chunk: int, pairs: bool, weight: int) -> DataFrame:
 
 def _merge(rows: DataFrame, texts: DataFrame, words: int, percent: int, pairs: bool) -> DataFrame:
     """(a, b) edges between numbers `comp` of rows (token, cid, comp, n) whose sets are linked."""
-    weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 7
-    joined = _deal(rows, CHUNK, pairs, weight).join(texts, "cid").select("g1", "g2", "token", "cid", "comp", "text")
+    joined = _deal(rows, CHUNK, pairs, 7.0).join(texts, "cid").select("g1", "g2", "token", "cid", "comp", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[bytes, bytes]] = []
@@ -355,10 +358,9 @@ def _possible(rows: DataFrame, maps: DataFrame, percent: int, once: bool) -> Dat
 
     once: a pair counts only at the first token that both have, if that is one of the LEAST first of either.
     """
-    weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
     least = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("low"))  # of one prefix
     maps = maps.join(least, "cid") if once else maps.withColumn("low", F.array().cast("array<long>"))
-    dealt = _deal(rows.select("token", "cid", "comp", "n", "top"), BITMAP_CHUNK, True, weight).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "top", "map", "low")
+    dealt = _deal(rows.select("token", "cid", "comp", "n", "top"), BITMAP_CHUNK, True, 0.5).join(maps, "cid").select("g1", "g2", "token", "cid", "comp", "n", "top", "map", "low")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         low = np.full((len(group), LEAST), -1, dtype=np.int64)

@@ -153,8 +153,9 @@ def groups(rows, words, percent):
     return [(d, len(s), least.get(up[i])) for i, (d, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("words,percent,part,chunk", [(3, 90, common.PART_ROWS, signature_join.CHUNK), (5, 80, common.PART_ROWS, signature_join.CHUNK), (3, 90, 2, 2)])
-def test_jaccard_join(docs, rows, monkeypatch, words, percent, part, chunk):
+@pytest.mark.parametrize("words,percent,part,chunk,size", [(3, 90, common.PART_ROWS, signature_join.CHUNK, signature_join.CHUNK_BYTES), (5, 80, common.PART_ROWS, signature_join.CHUNK, signature_join.CHUNK_BYTES), (3, 90, 2, 2, signature_join.CHUNK_BYTES), (3, 90, common.PART_ROWS, signature_join.CHUNK, 20_000)])
+def test_jaccard_join(docs, rows, monkeypatch, words, percent, part, chunk, size):
+    monkeypatch.setattr(signature_join, "CHUNK_BYTES", size)
     monkeypatch.setattr(common, "PART_ROWS", part)
     monkeypatch.setattr(signature_join, "CHUNK", chunk)
     monkeypatch.setattr(signature_join, "BITMAP_CHUNK", 2 * chunk)
