@@ -32,6 +32,18 @@ def test_oracle(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(rel.fetchall(), rel.columns)
 
 
+def test_urls_of_numbers_that_begin_with_100(spark, tmp_path):
+    """The numbers of groups and channels meet at ids that the smallest tables do not have."""
+    numbers = [0, 5, 7, 15, 100, 1000, 1001, 1003, 1005, 1015, 10_003, 10_045, 100_005, 1_005_005, 10_000_005]
+    made = [(n, "x", "en", "src3", 1) for n in numbers]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(catalogue.QUERIES["telegram_urls"](spark, str(tmp_path)).collect())
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(own.sql(catalogue.ORACLES["telegram_urls"]).fetchall())
+    assert got[1005] is None and got[1000] == "https://t.me/c/1000/1000" and got[1001] == "https://t.me/en/1001"
+
+
 def test_clusters_have_all_their_members(spark):
     clusters = {r.topic: r for r in catalogue.QUERIES["keyword_clusters"](spark, D).collect()}
     members = {}
