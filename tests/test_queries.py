@@ -69,6 +69,16 @@ def test_no_python_in_text_functions(spark):
     assert "Python" not in plan(catalogue.QUERIES["kb_entries"](spark, D))
 
 
+def test_a_filter_on_topics_cleans_texts_once(spark):
+    """Once where rows are filtered and once for those that stay, not for every keyword."""
+    df = catalogue.QUERIES["kb_filtered"](spark, D)
+    assert plan(df).count("regexp_replace(") <= 2
+    many = spark.createDataFrame([("latest news",), (None,), ("",)], "t string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in many.select(text.keyword_topics(F.col("t"))).collect()] == [["laboratory", "news"], [], []]
+
+
 def test_scan_is_pruned_and_filtered(spark):
     p = plan(catalogue.QUERIES["handoffs_by_agent"](spark, D))
     assert "o_comment" not in p
