@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.functions.text import once
+
 #: What says nothing about whether a record is right.
 NOTES = {"$schema", "$id", "title", "description", "examples", "default", "format"}
 NONE = "array<string>"
@@ -54,6 +56,14 @@ class Columns:
             return Columns(F.try_element_at(self.column, F.lit(name)), self.kind.valueType)
         return Columns(None, None)
 
+    def has(self, name: str) -> Column:
+        return self.field(name).present
+
+    def in_field(self, name: str, check: Callable[[Columns], Column]) -> Column | None:
+        """What is found in a field that the table has."""
+        field = self.field(name)
+        return None if field.column is None else check(field)
+
     def names(self) -> Column:
         if isinstance(self.kind, T.StructType):
             return F.array_compact(F.array(*[F.when(self.column.getField(n).isNotNull(), F.lit(n)) for n in self.kind.names]))
@@ -76,31 +86,42 @@ class Columns:
 
 @dataclass(frozen=True)
 class Json:
-    """A variant; SQL's null is a field that is not there."""
+    """A variant and the name of its type; SQL's null is a field that is not there.
+
+    Both are variables of a lambda, so that a text is parsed once and a field is looked at once, however many rules there are.
+    """
 
     column: Column
+    kind: Column
+
+    @staticmethod
+    def bound(column: Column, check: Callable[[Json], Column]) -> Column:
+        kind = lambda v: F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+        return once(column, lambda v: once(kind(v), lambda k: check(Json(v, k))))
 
     @property
     def present(self) -> Column:
         return self.column.isNotNull()
 
     def is_a(self, name: str) -> Column:
-        kind = F.regexp_extract(F.schema_of_variant(self.column), "^[A-Z]+", 0)
         own = {"string": ("STRING",), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",), "null": ("VOID",), "integer": ("BIGINT", "DECIMAL", "DOUBLE"), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}[name]
-        found = kind.isin(*own)
+        found = self.kind.isin(*own)
         return found & (self.number() == F.floor(self.number())) if name == "integer" else found
 
     def _as(self, kind: str, path: str = "$") -> Column:
         return F.try_variant_get(self.column, path, kind)
 
-    def field(self, name: str) -> Json:
-        return Json(self._as("variant", f"$['{name}']"))
+    def has(self, name: str) -> Column:
+        return self._as("variant", f"$['{name}']").isNotNull()
+
+    def in_field(self, name: str, check: Callable[[Json], Column]) -> Column:
+        return Json.bound(self._as("variant", f"$['{name}']"), check)
 
     def names(self) -> Column:
         return F.map_keys(self._as("map<string,variant>"))
 
     def each(self, check: Callable[[Json, Column], Column]) -> Column:
-        return F.flatten(F.transform(self._as("array<variant>"), lambda x, i: check(Json(x), i)))
+        return F.flatten(F.transform(self._as("array<variant>"), lambda x, i: Json.bound(x, lambda v: check(v, i))))
 
     def size(self) -> Column:
         return F.size(self._as("array<variant>"))
@@ -148,12 +169,13 @@ def _check(value: Columns | Json, schema: Mapping, path: Path | None) -> list[Co
         if rule in schema:
             out.append(_broken(value.is_a(of) & bad(schema[rule]), path, rule))
     for name in schema.get("required", ()):
-        out.append(_broken(value.is_a("object") & ~value.field(name).present, _child(path, name), "required"))
+        out.append(_broken(value.is_a("object") & ~value.has(name), _child(path, name), "required"))
     for name, own in schema.get("properties", {}).items():
-        field = value.field(name)
-        if isinstance(field, Json) or field.column is not None:
-            if (found := _joined(_check(field, own, _child(path, name)))) is not None:
-                out.append(F.when(value.is_a("object") & field.present, found).otherwise(F.array().cast(NONE)))
+        if own.keys() - NOTES:
+            at = _child(path, name)
+            found = value.in_field(name, lambda f: F.when(f.present, _all(f, own, at)).otherwise(F.array().cast(NONE)))  # noqa: B023
+            if found is not None:
+                out.append(F.when(value.is_a("object"), found).otherwise(F.array().cast(NONE)))
     if schema.get("additionalProperties", True) is False:
         more = F.array_except(value.names(), F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast(NONE))
         told = F.transform(more, lambda n: F.concat(n if path is None else F.concat(path, F.lit("."), n), F.lit(": additionalProperties")))
@@ -161,9 +183,8 @@ def _check(value: Columns | Json, schema: Mapping, path: Path | None) -> list[Co
     if "items" in schema:
         def item(x: Columns | Json, i: Column) -> Column:
             at = F.concat(F.lit("$") if path is None else path, F.lit("["), i.cast("string"), F.lit("]"))
-            found = _joined(_check(x, schema["items"], at))
             missing = _broken(F.lit(True), at, "type") if "type" in schema["items"] else F.array().cast(NONE)
-            return F.when(x.present, F.array().cast(NONE) if found is None else found).otherwise(missing)
+            return F.when(x.present, _all(x, schema["items"], at)).otherwise(missing)
 
         out.append(F.when(value.is_a("array"), value.each(item)).otherwise(F.array().cast(NONE)))
     for part in schema.get("allOf", ()):
@@ -180,8 +201,8 @@ def _joined(parts: list[Column]) -> Column | None:
     return F.concat(*parts) if parts else None
 
 
-def _all(value: Columns | Json, schema: Mapping) -> Column:
-    found = _joined(_check(value, schema, None))
+def _all(value: Columns | Json, schema: Mapping, path: Path | None = None) -> Column:
+    found = _joined(_check(value, schema, path))
     return F.array().cast(NONE) if found is None else found
 
 
@@ -192,5 +213,5 @@ def broken(df: DataFrame, schema: Mapping) -> Column:
 
 def broken_json(text: Column, schema: Mapping) -> Column:
     """What a JSON text breaks; a text that is no JSON breaks `$: json`, null breaks nothing and is null."""
-    value = F.try_parse_json(text)
-    return F.when(text.isNotNull() & value.isNull(), F.array(F.lit("$: json"))).otherwise(F.when(text.isNotNull(), _all(Json(value), schema)))
+    told = lambda j: F.when(j.isNotNull(), Json.bound(F.try_parse_json(j), lambda v: F.when(v.present, _all(v, schema)).otherwise(F.array(F.lit("$: json")))))
+    return once(text, told)

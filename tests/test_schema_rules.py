@@ -98,3 +98,13 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(json.dumps(CARD),)], "j string")
     plan = df.select(schema_rules.broken_json(F.col("j"), schemas.TOPIC_CARD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_record_is_parsed_once(spark):
+    """Whatever the number of rules, and although only records that break some are kept."""
+    from quillstream.plans import catalogue
+
+    df = catalogue.QUERIES["message_contract"](spark, "/root/testdata/sf0.001")
+    told = df._jdf.queryExecution().executedPlan().toString()
+    assert told.lower().count("parsejson") == 2  # the record, and the payload that it is made of
+    assert "Filter (" not in told
